@@ -23,6 +23,7 @@ from __future__ import annotations
 import hashlib
 import json
 import unicodedata
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,17 +33,12 @@ from pyspark.sql import DataFrame
 
 from driftline.llm.arrowio import chunks, raw
 
-#: Distinct chunks between blanks whose ids a worker remembers; the memory is emptied when full.
-CACHE_CHUNKS = 400_000
+#: Distinct words whose ids a worker remembers, in each of two generations; the older one goes when the
+#: younger is full.
+CACHE_WORDS = 400_000
 #: Token pairs whose compatibility a worker remembers.
 CACHE_PAIRS = 400_000
 
-#: White space of Unicode, as the pattern class \s of the tokenizer's file has it.
-_SPACE = regex.compile("[\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000]+")
-#: str.split() would also break at these.
-_NOT_SPACE = regex.compile("[\\x1c-\\x1f]")
-
-
 def byte_characters() -> list[str]:
     """The usual printable stand-in for each byte: itself if it is visible Latin-1, else from 256 on."""
     seen = [*range(33, 127), *range(161, 173), *range(174, 256)]
@@ -102,6 +98,7 @@ class Tokenizer:
             self.trie.add_word(a, i)
         self.trie.make_automaton()
         self.by_atoms = by_atoms
+        self.longest = max(map(len, by_atoms))
         # The longest token that is a proper prefix of each token.
         self.shorter: dict[int, int] = {}
         for a, i in by_atoms.items():
@@ -114,10 +111,9 @@ class Tokenizer:
         pieces = [names.get(i, "").encode() + b" " for i in range(max(names) + 1)]
         self.offsets = np.concatenate(([0], np.cumsum([len(p) for p in pieces]))).astype("i8")
         self.table = np.frombuffer(b"".join(pieces), "u1")
-        self._chunk: dict[str, bytes] = {}
         self._word: dict[str, bytes] = {}
+        self._older: dict[str, bytes] = {}
         self._fits: dict[tuple[int, int], bool] = {}
-        self._at_end = str.maketrans({chr(b): chr(b + 256) for b in range(256)})
 
     def fits(self, a: int, b: int) -> bool:
         """Whether the border between the neighbours a and b outlives all merges."""
@@ -147,72 +143,74 @@ class Tokenizer:
                 # equal ranks: the same token twice; the left one was merged first
                 limit, b = rank[b] + 1, left[b]
 
-    def _longest(self, text: str, at: int) -> int | None:
-        n = self.trie.longest_prefix(text[at : at + 64])
-        while n:
-            i = self.by_atoms.get(text[at : at + n])
-            if i is not None:
-                return i
-            n -= 1
-        return None
-
     def merge(self, text: str) -> list[int]:
         """Token ids of one word of atoms."""
         whole = self.by_atoms.get(text)
         if whole is not None:
             return [whole]
-        size, shorter = self.size, self.shorter
-        dead = bytearray(len(text) + 1)
+        known, fits = self._fits, self.fits
+        # The path of longest matches alone; most words need no step back.
+        out = [i for _, i in self.trie.iter_long(text)]
+        for pair in zip(out, out[1:]):
+            if not (known[pair] if pair in known else fits(*pair)):
+                return self._backtrack(text)
+        return out
+
+    def _longest(self, text: str, at: int) -> int:
+        get = self.by_atoms.get
+        for end in range(min(len(text), at + self.longest), at, -1):
+            i = get(text[at:end])
+            if i is not None:
+                return i
+        raise AssertionError("every atom is a token")
+
+    def _backtrack(self, text: str) -> list[int]:
+        size, shorter, known, fits, n = self.size, self.shorter, self._fits, self.fits, len(text)
+        dead = bytearray(n + 1)
         out: list[int] = []
+        last = -1
         at, token = 0, self._longest(text, 0)
         while True:
             end = at + size[token]
-            if not dead[end] and (not out or self.fits(out[-1], token)):
+            if not dead[end] and (last < 0 or (known[last, token] if (last, token) in known else fits(last, token))):
                 out.append(token)
-                at = end
-                if at == len(text):
+                if end == n:
                     return out
+                last, at = token, end
                 token = self._longest(text, at)
                 continue
             token = shorter.get(token)
             while token is None:
                 dead[at] = 1
                 token = out.pop()
+                last = out[-1] if out else -1
                 at -= size[token]
                 token = shorter.get(token)
 
     def _piece(self, piece: str) -> bytes:
         data = piece.encode().decode("latin-1")
-        return np.array(self.merge(data[:-1] + data[-1].translate(self._at_end)), "<u4").tobytes()
-
-    def _encode_chunk(self, chunk: str) -> bytes:
-        """Ids of a text without white space or special tokens."""
-        text = chunk if chunk.isascii() else unicodedata.normalize("NFC", chunk)
-        text = text.lower() if text.isascii() else "".join(map(str.lower, text))
-        out = []
-        for piece in self.pattern.findall(text):
-            got = self._word.get(piece)
-            if got is None:
-                if len(self._word) >= CACHE_CHUNKS:
-                    self._word.clear()
-                got = self._piece(piece)
-                if len(piece) < 64:
-                    self._word[piece] = got
-            out.append(got)
-        return b"".join(out)
+        return array("I", self.merge(data[:-1] + chr(ord(data[-1]) + 256))).tobytes()
 
     def encode_plain(self, text: str) -> bytes:
         """Ids of a text without special tokens, packed as little-endian 32-bit numbers."""
-        parts = text.split() if _NOT_SPACE.search(text) is None else _SPACE.split(text)
-        cache, out = self._chunk, []
-        for part in parts:
-            got = cache.get(part)
+        if text.isascii():
+            text = text.lower()
+        else:
+            text = unicodedata.normalize("NFC", text)
+            # Only capital sigma and dotted capital I have a lower case that depends on their place.
+            text = text.replace("\u03a3", "\u03c3").lower()
+        cache, out = self._word, []
+        for piece in self.pattern.findall(text):
+            got = cache.get(piece)
             if got is None:
-                if len(cache) >= CACHE_CHUNKS:
-                    cache.clear()
-                got = self._encode_chunk(part)
-                if len(part) < 64:
-                    cache[part] = got
+                got = self._older.get(piece)
+                if got is None:
+                    got = self._piece(piece)
+                if len(piece) < 64:
+                    if len(cache) >= CACHE_WORDS:
+                        self._older, self._word = cache, {}
+                        cache = self._word
+                    cache[piece] = got
             out.append(got)
         return b"".join(out)
 
