@@ -19,6 +19,12 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
         sc.setCheckpointDir(named)
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The checkpoint folder, which the driver and all executors can read."""
+    ensure_checkpoint_dir(spark)
+    return spark.sparkContext.getCheckpointDir()
+
+
 def durable(df: DataFrame) -> DataFrame:
     """``df`` computed once and written to the shared checkpoint folder; later plans start there."""
     ensure_checkpoint_dir(df.sparkSession)
