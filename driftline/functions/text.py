@@ -98,7 +98,7 @@ def table_markdown(cells: Column) -> Column:
 
 def page_marker(text: Column) -> Column:
     """The page named by the first marker of a text, or the empty text."""
-    return F.regexp_extract(text, r"(?i)(?:<!--\s*page[: ]*|\[?page[: ]+|第\s*)(\d+)", 1)
+    return F.regexp_extract(text, r"<!--\s*(?:table_)?page\s*[=: ]\s*(\d+)\s*-->", 1)
 
 
 def quote(text: Column, limit: int = 300) -> Column:

@@ -29,7 +29,7 @@ def to_markdown(lines: DataFrame, min_para_len: int = 20) -> DataFrame:
     return df.select("doc_id", "line_no", "page_num", F.when(F.col("kind") == "heading", head).otherwise(F.trim("text")).alias("text"))
 
 
-def page_carry(lines: DataFrame, marker: str = r"^\s*<!--\s*page\s+(\d+)\s*-->\s*$") -> DataFrame:
+def page_carry(lines: DataFrame, marker: str = r"^\s*<!--\s*(?:table_)?page[ =]+(\d+)\s*-->\s*$") -> DataFrame:
     """The page of each line, carried forward from marker lines, which go."""
     found = F.when(F.col("text").rlike(marker), F.regexp_extract("text", marker, 1).cast("int"))
     w = Window.partitionBy("doc_id").orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)
@@ -53,10 +53,12 @@ def sections(lines: DataFrame, compat: bool = False) -> DataFrame:
         nexts = [F.min(F.when(F.col("level") <= n, F.col("line_no"))).over(after) for n in range(1, 7)]
         end = F.coalesce(*(F.when(F.col("level") == n, nexts[n - 1]) for n in range(1, 7)))
     raw = F.trim(F.regexp_replace("text", r"^#{1,6}\s+", ""))
-    first = r"^([A-Za-z0-9]+(?:\.[0-9]+)*)(?:\s+|(?=\.)|$)(.*)$"
-    number = F.when(raw.rlike(first), F.regexp_extract(raw, first, 1)).otherwise("")
-    title = F.when(raw.rlike(first), F.regexp_extract(raw, first, 2)).otherwise(raw)
+    # Any first run of ASCII letters and digits, with dotted parts, counts as the number.
+    number = F.regexp_extract(raw, r"^[0-9A-Za-z]+(?:\.[0-9A-Za-z]+)*", 0)
+    title = F.expr("substring(__raw, length(__number) + 1)")
     seq = F.row_number().over(order) - 1
+    head = head.withColumn("__raw", raw).withColumn("__number", number)
+    raw, number = F.col("__raw"), F.col("__number")
     name = F.regexp_replace(number, "[. ]", "_")
     head = head.select("doc_id", seq.alias("seq"), "level", number.alias("number"), F.trim(title).alias("title"), raw.alias("raw"), "page_num", "line_no", F.coalesce(end, F.lit(2147483647)).alias("end_line"), F.when(name != "", name).otherwise(F.concat(F.lit("untitled_"), seq)).alias("id"))
     body = df.select(F.col("doc_id").alias("d"), F.col("line_no").alias("n"), F.col("text").alias("t"))

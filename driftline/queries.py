@@ -175,7 +175,7 @@ def page_carry(spark, sf_dir):
 def _sections_sql(end: str) -> str:
     return f"""WITH {_SPEC}, h AS (SELECT *, length(regexp_extract(text, '^(#{{1,6}}) ', 1)) AS level, trim(regexp_replace(text, '^#+ ', ''), ' ') AS raw FROM spec WHERE text LIKE '#%'),
  e AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY line_no) - 1 AS seq, {end} AS end_line FROM h)
- SELECT e.doc_id, e.seq, e.level, CASE WHEN regexp_matches(e.raw, '^[A-Za-z0-9]+(\\.[0-9]+)*([ .]|$)') THEN regexp_extract(e.raw, '^([A-Za-z0-9]+(?:\\.[0-9]+)*)', 1) ELSE '' END AS number, e.end_line,
+ SELECT e.doc_id, e.seq, e.level, regexp_extract(e.raw, '^([0-9A-Za-z]+(?:\\.[0-9A-Za-z]+)*)', 1) AS number, e.end_line,
  coalesce((SELECT string_agg(s.text, chr(10) ORDER BY s.line_no) FROM spec s WHERE s.doc_id = e.doc_id AND s.line_no > e.line_no AND s.line_no < coalesce(e.end_line, 1000000000)), '') AS content FROM e"""
 
 
