@@ -9,7 +9,7 @@ than the latest register cannot win, so a shingle stops there.
 Registers in bands of ``ROWS`` make bucket keys. Identical word sequences are first folded into one
 representative by a digest, so copies never meet in a bucket. In a bucket every document is compared with
 the smallest one, not with all; documents that still are in different components afterwards are compared
-pairwise within their bucket, so that no verified link is lost. Verification computes the exact
+with all of their bucket, in large buckets by matrix products of blocks, so that no link is lost. Verification computes the exact
 probability Jaccard similarity; pairs of ``THRESHOLD`` or more link, and components are the classes.
 
 Scale: texts are read once; what is shuffled are bands (``BANDS`` numbers a document) and once the
@@ -42,6 +42,12 @@ ROWS = 5
 BANDS = 26
 REGISTERS = ROWS * BANDS
 CHUNK = 1 << 20
+#: In buckets of at most FEW documents, pairs are listed; larger ones are compared in blocks of about
+#: BLOCK documents or BLOCK_MASS shingles, COLUMNS shingles at a time.
+FEW = 16
+BLOCK = 256
+BLOCK_MASS = 200_000
+COLUMNS = 4096
 
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
 #: An odd base and its inverse modulo 2**64, for hashes of words by sums over their bytes.
@@ -204,6 +210,48 @@ def verify(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
     return joined.mapInArrow(run, joined.select("a", "b").schema)
 
 
+def across(rows: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
+    """Links between components in large buckets; ``rows`` has h, doc_id, c and the bucket's m and mass.
+
+    A bucket is dealt into blocks, and each pair of blocks is one task's matrix product: the share of a
+    document's weight that lies in the other one bounds their similarity from above, and only pairs that
+    it lets through are computed exactly. No row is made but for a block and for a link.
+    """
+    k = F.ceil(F.greatest(F.col("m") / BLOCK, F.col("mass") / BLOCK_MASS)).cast("int")
+    dealt = rows.select("h", "doc_id", "c", k.alias("k"), F.pmod(F.xxhash64("doc_id"), k).cast("int").alias("own"))
+    copies = F.transform(F.sequence(F.lit(0), F.col("k") - 1), lambda o: F.struct(F.least("own", o).alias("i"), F.greatest("own", o).alias("j")))
+    spread = dealt.select("h", "doc_id", "c", "own", F.explode(copies).alias("p")).select("h", "p.i", "p.j", "doc_id", "c", "own").join(sets, "doc_id")
+    kind = rows.schema["doc_id"].dataType.simpleString()
+
+    def run(t: pa.Table) -> pa.Table:
+        ids, comp, own = t.column("doc_id").to_pylist(), np.array(t.column("c").to_pylist()), np.array(t.column("own").to_pylist())
+        members = [np.frombuffer(s, "<u4") for s in t.column("shingles").to_pylist()]
+        weight = [weights(np.frombuffer(c, "<u4")) if c else np.ones(len(s)) for s, c in zip(members, t.column("counts").to_pylist())]
+        row = np.repeat(np.arange(len(ids)), [len(s) for s in members])
+        names, col, often = np.unique(np.concatenate(members), return_inverse=True, return_counts=True)
+        share = np.concatenate([w / w.sum() for w in weight])
+        common = often[col] > 1
+        row, share, col = row[common], share[common], (np.cumsum(often > 1) - 1)[col[common]]
+        order = np.argsort(col, kind="stable")
+        row, share, col = row[order], share[order], col[order]
+        mass = np.zeros((len(ids), len(ids)), "f4")
+        for at in range(0, int(col[-1]) + 1 if len(col) else 0, COLUMNS):
+            lo, hi = np.searchsorted(col, (at, at + COLUMNS))
+            part = np.zeros((2, len(ids), COLUMNS), "f4")
+            part[0, row[lo:hi], col[lo:hi] - at] = share[lo:hi]
+            part[1, row[lo:hi], col[lo:hi] - at] = 1
+            mass += part[0] @ part[1].T
+        near = (mass >= threshold - 1e-4) & (mass.T >= threshold - 1e-4) & (comp[:, None] != comp)
+        # Pairs within a block belong to the task of that block with itself.
+        if own.min() != own.max():
+            near &= own[:, None] != own
+        links = [(ids[x], ids[y]) for x, y in zip(*np.nonzero(np.triu(near, 1))) if similarity(members[x], weight[x], members[y], weight[y]) >= threshold]
+        a, b = zip(*links) if links else ((), ())
+        return pa.table([pa.array(map(min, a, b), t.schema.field("doc_id").type), pa.array(map(max, a, b), t.schema.field("doc_id").type)], ["a", "b"])
+
+    return spread.groupBy("h", "i", "j").applyInArrow(run, f"a {kind}, b {kind}")
+
+
 def classes(documents: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """doc_id and class_id of every document."""
     every = durable(sketch(documents))
@@ -222,16 +270,14 @@ def classes(documents: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     edges = durable(verify(pairs, sets, threshold))
     label = components(edges)
 
-    # What still shares a bucket across components, and can reach the threshold by its size.
-    placed = banded.join(label.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("h", "doc_id", "n", F.coalesce("component", "doc_id").alias("c"))
-    placed = durable(placed)
-    open_ = durable(placed.groupBy("h").agg(F.min("c").alias("low"), F.max("c").alias("high")).filter("low < high").select("h"))
-    rest = durable(placed.join(open_, "h"))
-    x, y = rest.select("h", F.col("doc_id").alias("a"), F.col("n").alias("na"), F.col("c").alias("ca")), rest.select("h", F.col("doc_id").alias("b"), F.col("n").alias("nb"), F.col("c").alias("cb"))
-    # A bucket's hub was compared with all of it already, so each of these pairs is new.
-    more = x.join(y, "h").filter((F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb"))).select("a", "b", "h")
-    more = more.join(buckets, "h").filter("a <> hub").select("a", "b").distinct().join(pairs, ["a", "b"], "left_anti")
-    late = durable(verify(more, sets, threshold))
+    # What still shares a bucket across components.
+    placed = durable(banded.join(label.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("h", "doc_id", "n", F.coalesce("component", "doc_id").alias("c")))
+    open_ = durable(placed.groupBy("h").agg(F.min("c").alias("low"), F.max("c").alias("high"), F.count("*").alias("m"), F.sum("n").alias("mass")).filter("low < high").select("h", "m", "mass"))
+    few = durable(placed.join(open_.filter(F.col("m") <= FEW).select("h"), "h"))
+    x, y = few.select("h", F.col("doc_id").alias("a"), F.col("c").alias("ca")), few.select("h", F.col("doc_id").alias("b"), F.col("c").alias("cb"))
+    more = x.join(y, "h").filter((F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb"))).select("a", "b").distinct().join(pairs, ["a", "b"], "left_anti")
+    many = across(placed.join(open_.filter(F.col("m") > FEW), "h"), sets, threshold)
+    late = durable(verify(more, sets, threshold).union(many))
     if late.limit(1).count():
         label = components(edges.union(late))
     named = member.join(label.withColumnRenamed("node", "rep"), "rep", "left").select("doc_id", F.coalesce("component", "rep").alias("class_id"))
