@@ -228,7 +228,7 @@ def decontaminate(documents: DataFrame, benchmark: DataFrame, window: int = WIND
 
     Hit ranges of at least ``max_words`` words, or of whole short items, are cut out of the text. A
     document of which more than ``max_coverage`` of the words are hit is dropped whole. Texts without a
-    hit pass unchanged, byte for byte.
+    hit pass unchanged, byte for byte. A range of fewer than ``window`` words comes from short items only.
     """
     schema = documents.select("text").schema
     columns = documents.columns
@@ -241,6 +241,7 @@ def decontaminate(documents: DataFrame, benchmark: DataFrame, window: int = WIND
             for text, n, spans in zip(batch.column("text").to_pylist(), batch.column("n_words").to_pylist(), batch.column("hit_ranges").to_pylist()):
                 pairs = list(zip(spans[::2], spans[1::2]))
                 keep.append(not pairs or sum(b - a for a, b in pairs) <= max_coverage * n)
+                pairs = [(a, b) for a, b in pairs if b - a >= max_words or b - a < window]
                 texts.append(_without(text, pairs) if pairs and keep[-1] else text)
             yield pa.RecordBatch.from_arrays([rows, pa.array(texts, pa.string()), pa.array(keep)], ["__row", "text", "keep"])
 
