@@ -2,16 +2,34 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 import pyarrow.compute
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 #: Rows of text handled together inside a Python worker, in bytes; a single longer text stands alone.
 CHUNK_BYTES = 4 << 20
 
+#: Bytes of a batch on its way to a Python worker, unless the session has a value of its own. Each task
+#: holds a few such batches, in the JVM and in every worker it is chained through.
+_BATCH_CONF, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", 4 << 20
+
+
+def map_arrow(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: StructType | str) -> DataFrame:
+    """``mapInArrow`` in batches of bounded bytes; a worker gives its free memory back when a task ends."""
+    conf = df.sparkSession.conf
+    if _BATCH_CONF not in conf.getAll:
+        conf.set(_BATCH_CONF, BATCH_BYTES)
+
+    def tidy(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()
+
+    return df.mapInArrow(tidy, schema)
+
 
 def raw(col: str | Column = "text") -> Column:
     """A text column as UTF-8 bytes; null reads as empty."""

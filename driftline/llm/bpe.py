@@ -31,7 +31,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from driftline.llm.arrowio import chunks, raw
+from driftline.llm.arrowio import chunks, map_arrow, raw
 
 #: Distinct words whose ids a worker remembers, in each of two generations; the older one goes when the
 #: younger is full.
@@ -259,7 +259,7 @@ def encode(documents: DataFrame, path: str | None = None, keep: tuple[str, ...]
             ids = [model.encode(t.decode("utf-8", "replace")) for t in batch.column("__raw").to_pylist()]
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array(ids, pa.binary()), pa.array(map(model.decode, ids), pa.binary())], [*keep, "token_ids", "decoded"])
 
-    return df.mapInArrow(run, schema)
+    return map_arrow(df, run, schema)
 
 
 def encode_digests(documents: DataFrame, path: str | None = None) -> DataFrame:
@@ -279,4 +279,4 @@ def encode_digests(documents: DataFrame, path: str | None = None) -> DataFrame:
                 b.append(hashlib.sha256(model.decode(ids)).hexdigest())
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(a), pa.array(b)], schema.names)
 
-    return df.mapInArrow(run, schema)
+    return map_arrow(df, run, schema)

@@ -16,15 +16,16 @@ an empty benchmark marks nothing; extra columns are ignored by ``scan`` and kept
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
-from driftline.llm.arrowio import chunks, raw
+from driftline.llm.arrowio import chunks, map_arrow, raw
 
 WINDOW = 10
 #: Words of items in one automaton; it has at most twice as many states.
@@ -205,15 +206,21 @@ def _pass(shared, schema: pa.Schema) -> Callable[[Iterator[pa.RecordBatch]], Ite
 
 def scan(documents: DataFrame, benchmark: DataFrame, window: int = WINDOW, keep: tuple[str, ...] = ("doc_id",), block_words: int = BLOCK_WORDS) -> DataFrame:
     """``keep``, n_words, hit_ranges (flat start, end word positions) and hit_items of every document."""
-    from pyspark.sql.pandas.types import to_arrow_schema
+    return _scan(documents, benchmark, window, keep, block_words).drop("__raw")
 
+
+def _scan(documents: DataFrame, benchmark: DataFrame, window: int, keep: tuple[str, ...], block_words: int = BLOCK_WORDS, then: Callable | None = None, schema: StructType | None = None) -> DataFrame:
+    """``then`` takes the last pass's batches, with __raw, in the same worker and returns ``schema``."""
     df = documents.select(*keep, raw().alias("__raw"), F.lit(0).cast("bigint").alias("n_words"), F.array().cast("array<bigint>").alias("hit_ranges"), F.array().cast("array<string>").alias("hit_items"))
     sc = documents.sparkSession.sparkContext
     blocks = list(_blocks(benchmark, block_words)) or [None]
-    for block in blocks:
-        shared = sc.broadcast(Automaton(block, window) if block else None)
-        df = df.mapInArrow(_pass(shared, to_arrow_schema(df.schema)), df.schema)
-    return df.drop("__raw")
+    for left, block in zip(reversed(range(len(blocks))), blocks):
+        one = _pass(sc.broadcast(Automaton(block, window) if block else None), to_arrow_schema(df.schema))
+        if left or then is None:
+            df = map_arrow(df, one, df.schema)
+        else:
+            df = map_arrow(df, lambda batches, one=one: then(one(batches)), schema)
+    return df
 
 
 def digest(found: DataFrame) -> DataFrame:
@@ -230,28 +237,31 @@ def decontaminate(documents: DataFrame, benchmark: DataFrame, window: int = WIND
     document of which more than ``max_coverage`` of the words are hit is dropped whole. Texts without a
     hit pass unchanged, byte for byte. A range of fewer than ``window`` words comes from short items only.
     """
-    schema = documents.select("text").schema
     columns = documents.columns
-    whole = F.struct(*(F.col(c) for c in columns)).alias("__row")
-    df = scan(documents.select("text", whole), benchmark, window, ("__row", "text"))
+    # The text travels once, as __raw; its place in the row only says whether it is null.
+    rest = F.struct(F.col("text").isNull().alias("__none"), *(F.col(c) for c in columns if c != "text")).alias("__row")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows, texts, keep = batch.column("__row"), [], []
-            for text, n, spans in zip(batch.column("text").to_pylist(), batch.column("n_words").to_pylist(), batch.column("hit_ranges").to_pylist()):
+            texts, keep = [], []
+            for text, n, spans in zip(*(batch.column(c).to_pylist() for c in ("__raw", "n_words", "hit_ranges"))):
                 pairs = list(zip(spans[::2], spans[1::2]))
-                keep.append(not pairs or sum(b - a for a, b in pairs) <= max_coverage * n)
-                pairs = [(a, b) for a, b in pairs if b - a >= max_words or b - a < window]
-                texts.append(_without(text, pairs) if pairs and keep[-1] else text)
-            yield pa.RecordBatch.from_arrays([rows, pa.array(texts, pa.string()), pa.array(keep)], ["__row", "text", "keep"])
+                if not pairs or sum(b - a for a, b in pairs) <= max_coverage * n:
+                    pairs = [(a, b) for a, b in pairs if b - a >= max_words or b - a < window]
+                    texts.append(_without(text, pairs) if pairs else text)
+                    keep.append(True)
+                else:
+                    texts.append(b"")
+                    keep.append(False)
+            yield pa.RecordBatch.from_arrays([batch.column("__row"), pa.array(texts, pa.binary()).cast(pa.string()), pa.array(keep)], ["__row", "text", "keep"])
 
-    out = df.mapInArrow(cut, df.select("__row").schema.add(schema["text"]).add("keep", "boolean"))
-    return out.filter("keep").select(*(F.col("text") if c == "text" else F.col("__row")[c].alias(c) for c in columns))
+    out = _scan(documents.select("text", rest), benchmark, window, ("__row",), then=cut, schema=documents.select(rest).schema.add("text", "string").add("keep", "boolean"))
+    text = F.when(~F.col("__row")["__none"], F.col("text")).alias("text")
+    return out.filter("keep").select(*(text if c == "text" else F.col("__row")[c].alias(c) for c in columns))
 
 
-def _without(text: str, pairs: list[tuple[int, int]]) -> str:
-    """``text`` without the words of the ranges; what stands between two removed words goes too."""
-    data = text.encode()
+def _without(data: bytes, pairs: list[tuple[int, int]]) -> bytes:
+    """The text without the words of the ranges; what stands between two removed words goes too."""
     flat = np.frombuffer(data.translate(_WORD_BYTES), "u1") != 32
     edge = np.flatnonzero(np.diff(np.concatenate(([0], flat.view("i1"), [0]))))
     starts, ends = edge[::2], edge[1::2]
@@ -259,12 +269,8 @@ def _without(text: str, pairs: list[tuple[int, int]]) -> str:
     for a, b in pairs:
         out.append(data[at : starts[a]])
         at = ends[b - 1]
-    return b"".join([*out, data[at:]]).decode()
+    return b"".join([*out, data[at:]])
 
 
 def contamination(documents: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
     return digest(scan(documents, benchmark, window))
-
-
-def _sha(names: list[str]) -> str:
-    return hashlib.sha256(",".join(names).encode()).hexdigest()

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from driftline.functions.durable import durable
-from driftline.llm.arrowio import chunks, raw, remainder
+from driftline.llm.arrowio import chunks, map_arrow, raw, remainder
 
 STATES = 6
 ITERATIONS = 3
@@ -80,7 +80,7 @@ def token_counts(texts: DataFrame) -> DataFrame:
     def _emit(held: Counter) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array(held.keys(), pa.binary()), pa.array(held.values(), pa.int64())], ["token", "c"])
 
-    return texts.select("__raw").mapInArrow(run, "token binary, c long").groupBy("token").agg(F.sum("c").alias("c"))
+    return map_arrow(texts.select("__raw"), run, "token binary, c long").groupBy("token").agg(F.sum("c").alias("c"))
 
 
 class Block:
@@ -239,7 +239,7 @@ def score(documents: DataFrame, held_out: F.Column | None = None, states: int =
             yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), *(pa.array(values[:, k]) for k in range(len(pi))), pa.array(fits)], ["sym", *(f"e{k}" for k in range(len(pi))), "fit"])
 
         columns = [f"e{k}" for k in range(states)] + ["fit"]
-        parts = train.mapInArrow(run, "sym long, " + ", ".join(f"{c} double" for c in columns))
+        parts = map_arrow(train, run, "sym long, " + ", ".join(f"{c} double" for c in columns))
         return parts.groupBy("sym").agg(*(F.sum(c).alias(c) for c in columns))
 
     for _ in range(iterations if n_all else 0):
@@ -307,7 +307,7 @@ def score(documents: DataFrame, held_out: F.Column | None = None, states: int =
             yield pa.RecordBatch.from_arrays(list(columns.values()), list(columns))
 
     id_type = documents.schema["doc_id"].dataType.simpleString()
-    rows = docs.mapInArrow(scan, f"uid long, token binary, tf long, doc_id {id_type}, held_out boolean, n long, known long, base double, fit double")
+    rows = map_arrow(docs, scan, f"uid long, token binary, tf long, doc_id {id_type}, held_out boolean, n long, known long, base double, fit double")
     c = F.coalesce("c", F.lit(0)) + 0.1
     mass = F.get(F.array(*(F.lit(float(x)) for x in class_mass)), _class_column())
     joined = rows.join(counts, "token", "left")

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from driftline.llm.arrowio import chunks, raw, remainder
+from driftline.llm.arrowio import chunks, map_arrow, raw, remainder
 from driftline.llm.linear import Sparse, ftrl, in_sample, softmax, temperature
 
 BITS = 14
@@ -96,7 +96,7 @@ def frequencies(texts: DataFrame) -> tuple[np.ndarray, int]:
         at = np.flatnonzero(df)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(df[at])], ["f", "n"])
 
-    got = texts.select("__raw").mapInArrow(run, "f long, n long").groupBy("f").agg(F.sum("n").alias("n")).toArrow()
+    got = map_arrow(texts.select("__raw"), run, "f long, n long").groupBy("f").agg(F.sum("n").alias("n")).toArrow()
     out = np.zeros(DIM + 1, "i8")
     out[np.array(got.column("f"), "i8")] = np.array(got.column("n"), "i8")
     return out[:DIM], int(out[DIM])
@@ -122,7 +122,7 @@ def fit(train: DataFrame, per_language: int = PER_LANGUAGE) -> tuple[list[str],
             yield pa.RecordBatch.from_arrays([batch.column("lang"), batch.column("h"), pa.array(f, pa.binary()), pa.array(c, pa.binary())], ["lang", "h", "f", "c"])
 
     sample = train.filter(in_sample(share)).select("lang", F.xxhash64(F.col("doc_id").cast("string"), F.lit("fold")).alias("h"), "__raw")
-    got = sample.mapInArrow(features, "lang string, h long, f binary, c binary").toArrow().sort_by([("h", "ascending"), ("f", "ascending")])
+    got = map_arrow(sample, features, "lang string, h long, f binary, c binary").toArrow().sort_by([("h", "ascending"), ("f", "ascending")])
     rows = []
     for f, c in zip(got.column("f").to_pylist(), got.column("c").to_pylist()):
         f, c = np.frombuffer(f, "u2").astype("i8"), np.frombuffer(c, "u4")
@@ -161,7 +161,7 @@ def predict(documents: DataFrame, model, keep: tuple[str, ...] = ("doc_id",)) ->
                 score += [float(q[b]) if a else 0.0 for q, b, a in zip(p, best.tolist(), letter.tolist())]
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array(name, pa.string()), pa.array(score, pa.float64())], [*keep, "lang_pred", "score"])
 
-    return df.mapInArrow(run, df.select(*keep).schema.add("lang_pred", "string").add("score", "double"))
+    return map_arrow(df, run, df.select(*keep).schema.add("lang_pred", "string").add("score", "double"))
 
 
 def identify(documents: DataFrame) -> DataFrame:

@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from driftline.functions.durable import durable
-from driftline.llm.arrowio import chunks, raw
+from driftline.llm.arrowio import chunks, map_arrow, raw
 from driftline.llm.decontam import _WORD_BYTES
 from driftline.operators.graph import components
 
@@ -190,7 +190,7 @@ def sketch(documents: DataFrame) -> DataFrame:
             flat = pa.ListArray.from_arrays(np.arange(len(texts) + 1, dtype="i4") * BANDS, pa.array(sig.ravel()))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(keys[0].view("i8")), pa.array(keys[1].view("i8")), pa.array(n.astype("i4")), flat, pa.array(sets, pa.binary()), pa.array(counts, pa.binary())], ["doc_id", "k1", "k2", "n", "bands", "shingles", "counts"])
 
-    return df.mapInArrow(run, f"doc_id {documents.schema['doc_id'].dataType.simpleString()}, {_SKETCH}")
+    return map_arrow(df, run, f"doc_id {documents.schema['doc_id'].dataType.simpleString()}, {_SKETCH}")
 
 
 def verify(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
@@ -207,7 +207,7 @@ def verify(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
             keep = [similarity(*unpack(x["sa"], x["ca"]), *unpack(x["sb"], x["cb"])) >= threshold for k in range(batch.num_rows) for x in batch.slice(k, 1).to_pylist()]
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    return joined.mapInArrow(run, joined.select("a", "b").schema)
+    return map_arrow(joined, run, joined.select("a", "b").schema)
 
 
 def across(rows: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:

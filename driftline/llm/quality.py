@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from driftline.llm.arrowio import chunks, raw
+from driftline.llm.arrowio import chunks, map_arrow, raw
 from driftline.llm.decontam import words
 from driftline.llm.linear import Sparse, ftrl, in_sample, labelled, logistic, sigmoid
 from driftline.llm.toxicity import vocabulary
@@ -84,7 +84,7 @@ def _collect(sample: DataFrame) -> list[dict]:
             yield pa.RecordBatch.from_arrays([batch.column("h"), batch.column("quality"), *packed], ["h", "quality", "content", "meta"])
 
     df = sample.select(F.xxhash64(F.col("doc_id").cast("string"), F.lit("fold")).alias("h"), F.col("quality").cast("int").alias("quality"), raw().alias("__raw"), *_typed(sample))
-    rows = df.mapInArrow(run, "h long, quality int, content binary, meta binary").toArrow()
+    rows = map_arrow(df, run, "h long, quality int, content binary, meta binary").toArrow()
     return rows.sort_by([("h", "ascending"), ("content", "ascending")]).to_pylist()
 
 
@@ -158,7 +158,7 @@ def score(documents: DataFrame, model, keep: tuple[str, ...] = ("doc_id",)) -> D
                 p = np.stack([sigmoid(own[0][0] + own[0][1] * s[:, 0]), sigmoid(own[1][0] + own[1][1] * s[:, 1]), sigmoid(both[0] + s @ both[1:])], 1)
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), *(pa.array(p[:, k]) for k in range(3))], schema.names)
 
-    return df.mapInArrow(run, schema)
+    return map_arrow(df, run, schema)
 
 
 def classify(documents: DataFrame, labels: DataFrame, limit: float = LIMIT) -> DataFrame:

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from driftline.llm.arrowio import chunks, raw
+from driftline.llm.arrowio import chunks, map_arrow, raw
 from driftline.llm.decontam import words
 from driftline.llm.linear import Sparse, ftrl, labelled, sigmoid
 
@@ -42,7 +42,7 @@ def collect_words(sample: DataFrame, keep: list[str]) -> list[dict]:
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array(w, pa.binary())], [*keep, "words"])
 
     df = sample.select(*keep, raw().alias("__raw"))
-    return df.mapInArrow(run, df.select(*keep).schema.add("words", "binary")).toArrow().sort_by([(k, "ascending") for k in keep]).to_pylist()
+    return map_arrow(df, run, df.select(*keep).schema.add("words", "binary")).toArrow().sort_by([(k, "ascending") for k in keep]).to_pylist()
 
 
 def vocabulary(bags: list[set[bytes]], size: int, least: int = 3) -> dict[bytes, int]:
@@ -98,7 +98,7 @@ def score(documents: DataFrame, model, chain: tuple[str, ...] = CHAIN, limit: fl
                     p[i, k] = sigmoid(sums[k] + p[i, :k] @ np.array(tail[:k]) + tail[k])
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(p[:, k]) for k in range(len(chain)))], schema.names)
 
-    return df.mapInArrow(run, schema).withColumn("toxic", F.col(f"p_{chain[-1]}") >= limit)
+    return map_arrow(df, run, schema).withColumn("toxic", F.col(f"p_{chain[-1]}") >= limit)
 
 
 def classify(documents: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:

@@ -27,7 +27,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from driftline.llm.arrowio import chunks, raw
+from driftline.llm.arrowio import chunks, map_arrow, raw
 
 TILE = 576
 FULL = 576 * 16384
@@ -564,4 +564,4 @@ def media(documents: DataFrame, keep_media: bool = False) -> DataFrame:
             kinds = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.binary()]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(c, k) for c, k in zip(zip(*rows), kinds))], schema.names)
 
-    return df.mapInArrow(run, schema)
+    return map_arrow(df, run, schema)
