@@ -3,12 +3,15 @@
 The text view sees the normalised words and what stands between letters (runs of signs), present or not.
 The metadata view sees what is known of the page without reading it: source, language, and measures of
 its layout (length, lines, repeated lines, shares of capitals, digits, signs), in steps. Both are
-logistic models fitted by FTRL. In each round each view labels the sampled unlabelled pages it is surest
-of, and those join the other view's training rows. In the end both are calibrated and combined by a
-logistic model of their two scores on labelled rows held back.
+logistic models fitted by FTRL. In each round each view labels every page outside the labelled sample of
+which it is sure, and all of those join the other view's training rows. In the end both are calibrated and
+combined by a logistic model of their two scores on labelled rows held back.
 
-Scale: fitted on the driver from about ``SAMPLE`` labelled and ``POOL`` unlabelled rows at most, drawn by
-a hash of the id; scoring is one Arrow pass without a shuffle and a broadcast of bounded size.
+Scale: the labelled rows, about ``SAMPLE`` at most, drawn by a hash of the id, are fitted on the driver. A
+round is one Arrow pass over all other documents: each task goes on from that fit with its own sure pages,
+and a feature's weight is the mean over tasks and the labelled fit, weighed by the rows that hold it. Only
+these sums are shuffled. The model grows with the features that have a weight; so do its broadcast and the
+driver. The result depends a little on how rows are dealt over tasks. Scoring is one more pass.
 
 Defined results: null and empty texts are scored by their metadata and the bias; null metadata is a value
 of its own; without labels every score is 1 and all is kept; extra columns are ignored and, in ``keep``,
@@ -17,7 +20,8 @@ returned as they were.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import math
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -26,15 +30,17 @@ from pyspark.sql import functions as F
 
 from driftline.llm.arrowio import chunks, map_arrow, raw
 from driftline.llm.decontam import words
-from driftline.llm.linear import Sparse, ftrl, in_sample, labelled, logistic, sigmoid
+from driftline.llm.linear import in_sample, labelled, logistic, sigmoid
 from driftline.llm.toxicity import vocabulary
 
 SAMPLE = 5000
-POOL = 3000
-ROUNDS = 3
-#: A view hands over at most so many rows of each label a round, all at least this sure.
-HANDED, SURE = 200, 0.95
+ROUNDS, EPOCHS = 3, 3
+#: A view hands over the rows of which it is at least this sure.
+SURE = 0.95
+#: Features of the labelled rows; the other rows add theirs without a bound.
 VOCABULARY = 1 << 15
+#: New features a learning task holds of a view before it emits them and starts a further part.
+HELD = 1_000_000
 LIMIT = 0.5
 
 _LETTERS = bytes([*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)])
@@ -88,52 +94,136 @@ def _collect(sample: DataFrame) -> list[dict]:
     return rows.sort_by([("h", "ascending"), ("content", "ascending")]).to_pylist()
 
 
-def fit(rows: list[dict], pool: list[dict], rounds: int = ROUNDS):
+class Learner:
+    """Logistic FTRL with elastic net on sets of features; its table grows with the features it meets."""
+
+    ALPHA, BETA, L1, L2 = 0.5, 1.0, 0.5, 0.1
+
+    def __init__(self, start: tuple[list[bytes], np.ndarray, np.ndarray] = ([b""], np.zeros(1), np.zeros(1))) -> None:
+        names, z, root = start
+        self.index = {w: k for k, w in enumerate(names)}
+        self.z, self.root, self.seen = z.copy(), root.copy(), np.zeros(len(z), "i8")
+        self.rows = 0
+
+    def _weights(self, z: np.ndarray, root: np.ndarray, free: int) -> np.ndarray:
+        """Weights at these states; the one at place ``free``, the bias, has no penalty."""
+        w = np.copysign(np.maximum(np.abs(z) - self.L1, 0), z)
+        w /= (root + self.BETA) / -self.ALPHA - self.L2
+        w[free] = -z[free] * self.ALPHA / (self.BETA + root[free])
+        return w
+
+    def learn(self, bag: Iterable[bytes], label: int) -> None:
+        index = self.index
+        at = np.array([0, *[index.setdefault(w, len(index)) for w in bag]])
+        if len(index) > len(self.z):
+            more = np.zeros(len(index) + 1024)
+            self.z, self.root, self.seen = np.append(self.z, more), np.append(self.root, more), np.append(self.seen, more.astype("i8"))
+        z, root = self.z[at], self.root[at]
+        w = self._weights(z, root, 0)
+        g = 1 / (1 + math.exp(-min(max(float(w.sum()), -40.0), 40.0))) - label
+        after = np.sqrt(root * root + g * g)
+        w *= (after - root) / self.ALPHA
+        self.z[at] = z - w + g
+        self.root[at] = after
+        self.seen[at] += 1
+        self.rows += 1
+
+    def state(self) -> tuple[list[bytes], np.ndarray, np.ndarray]:
+        return list(self.index), self.z[: len(self.index)], self.root[: len(self.index)]
+
+    def part(self, view: int) -> pa.RecordBatch:
+        """Each feature met, the rows it was met in and its weight times these."""
+        names, z, root = self.state()
+        met = np.flatnonzero(self.seen[: len(names)])
+        seen, w = self.seen[met], self._weights(z, root, 0)[met]
+        return pa.RecordBatch.from_arrays([pa.array([view] * len(met), pa.int32()), pa.array([names[k] for k in met], pa.binary()), pa.array(seen, pa.int64()), pa.array(seen * w, pa.float64())], ["view", "feature", "c", "cw"])
+
+
+def _sums(weights: list[dict], keys: list[set], bias: list[float], bags) -> list[float]:
+    return [bias[v] + math.fsum(map(weights[v].__getitem__, keys[v] & bag)) for v, bag in enumerate(bags)]
+
+
+def hand_over(documents: DataFrame, starts: list[tuple], weights: list[dict], bias: list[float]) -> DataFrame:
+    """Parts (view, feature, c, cw) of both views, fitted to all documents of which the other view is sure.
+
+    Every part goes on from ``starts``, the fit to the labelled rows.
+    """
+    shared = documents.sparkSession.sparkContext.broadcast((starts, weights, bias))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        starts, weights, bias = shared.value
+        keys = [set(w) for w in weights]
+        learners = [Learner(s) for s in starts]
+        sure = math.log(SURE / (1 - SURE))
+        for batch in chunks(batches, "__raw"):
+            for row in zip(*(batch.column(c).to_pylist() for c in ("__raw", *_INPUT))):
+                bags = views(*row)
+                for v, s in enumerate(_sums(weights, keys, bias, bags)):
+                    if abs(s) >= sure:
+                        learners[1 - v].learn(bags[1 - v], int(s > 0))
+            for v in (0, 1):
+                if len(learners[v].index) > len(starts[v][0]) + HELD:
+                    yield learners[v].part(v)
+                    learners[v] = Learner(starts[v])
+        for v in (0, 1):
+            if learners[v].rows:
+                yield learners[v].part(v)
+
+    return map_arrow(documents.select(raw().alias("__raw"), *_typed(documents)), run, "view int, feature binary, c long, cw double")
+
+
+def fit(rows: list[dict], fresh: DataFrame, rounds: int = ROUNDS):
     """Weights of both views and the combining model, or None without labels."""
     if len({r["quality"] for r in rows}) < 2:
         return None
-    views_ = []
-    for view in ("content", "meta"):
-        bags = [set(r[view].split(b" ")) - {b""} for r in rows + pool]
-        vocab = vocabulary(bags, VOCABULARY)
-        views_.append((vocab, [(np.append([vocab[w] for w in sorted(b) if w in vocab], len(vocab)).astype("i8"), np.ones(1 + sum(w in vocab for w in b))) for b in bags]))
-    y = np.array([r["quality"] for r in rows] + [-1] * len(pool))
-    back = np.array([r["h"] % 4 == 0 for r in rows] + [False] * len(pool))
-    if len(set(y[back])) < 2 or len(set(y[(y >= 0) & ~back])) < 2:
+    bags = [[set(r[view].split(b" ")) - {b""} for view in ("content", "meta")] for r in rows]
+    y = np.array([r["quality"] for r in rows])
+    back = np.array([r["h"] % 4 == 0 for r in rows])
+    if len(set(y[back])) < 2 or len(set(y[~back])) < 2:
         back[:] = False
-    known = [np.where((y >= 0) & ~back, y, -1) for _ in views_]
-    models = [None, None]
-    for step in range(rounds + 1):
-        for v, (vocab, feats) in enumerate(views_):
-            at = np.flatnonzero(known[v] >= 0)
-            # Weigh the rarer label up to even shares, so that .5 means the same for either view.
-            models[v] = ftrl(Sparse.of([feats[i] for i in at]), known[v][at][:, None].astype("f8"), len(vocab) + 1, alpha=0.5, l1=0.5, l2=0.1, epochs=3, free=len(vocab))
-        if step == rounds or not pool:
-            break
-        fresh = np.arange(len(rows), len(y))
-        p = [sigmoid(Sparse.of([feats[i] for i in fresh]).dot(m)[:, 0]) for (_, feats), m in zip(views_, models)]
-        for v in (0, 1):
-            for label, sure in ((0, 1 - p[v]), (1, p[v])):
-                open_ = known[1 - v][fresh] < 0
-                order = np.argsort(-np.where(open_, sure, -1), kind="stable")[:HANDED]
-                take = order[(sure[order] >= SURE) & open_[order]]
-                known[1 - v][fresh[take]] = label
-    at = np.flatnonzero(back) if back.any() else np.flatnonzero(y >= 0)
-    scores = np.hstack([Sparse.of([feats[i] for i in at]).dot(m) for (_, feats), m in zip(views_, models)])
+    own_rows = np.flatnonzero(~back)
+    starts, parts = [], []
+    for v in (0, 1):
+        vocab = vocabulary([bags[i][v] for i in own_rows], VOCABULARY)
+        learner, rng = Learner(), np.random.default_rng(3)
+        kept = {int(i): sorted(bags[i][v] & vocab.keys()) for i in own_rows}
+        for epoch in range(EPOCHS):
+            if epoch:
+                learner.seen[:] = 0
+            for i in rng.permutation(own_rows).tolist():
+                learner.learn(kept[i], int(y[i]))
+        starts.append(learner.state())
+        parts.append(learner.part(v))
+    labelled_part = pa.Table.from_batches(parts)
+
+    def model(part: pa.Table) -> tuple[list[dict], list[float]]:
+        weights: list[dict] = [{}, {}]
+        for v, w, c, cw in zip(*(part.column(c).to_pylist() for c in ("view", "feature", "c", "cw"))):
+            if cw:
+                weights[v][w] = cw / c
+        return weights, [w.pop(b"", 0.0) for w in weights]
+
+    weights, bias = model(labelled_part)
+    for _ in range(rounds):
+        found = hand_over(fresh, starts, weights, bias).unionByName(fresh.sparkSession.createDataFrame(labelled_part))
+        mixed = found.groupBy("view", "feature").agg(F.sum("c").alias("c"), F.sum("cw").alias("cw"))
+        weights, bias = model(mixed.filter(F.col("cw") != 0).toArrow())
+    at = np.flatnonzero(back) if back.any() else np.arange(len(y))
+    keys = [set(w) for w in weights]
+    scores = np.array([_sums(weights, keys, bias, bags[i]) for i in at])
     own = [logistic(np.clip(scores[:, [v]], -20, 20), y[at]) for v in (0, 1)]
     both = logistic(np.clip(scores, -20, 20), y[at])
-    weights = [{w: float(m[k, 0]) for w, k in vocab.items() if m[k, 0]} for (vocab, _), m in zip(views_, models)]
-    return weights, [float(m[-1, 0]) for m in models], own, both
+    return weights, bias, own, both
 
 
-def train(documents: DataFrame, labels: DataFrame, sample: int = SAMPLE, pool: int = POOL):
+def train(documents: DataFrame, labels: DataFrame, sample: int = SAMPLE, rounds: int = ROUNDS):
     columns = ["doc_id", "text", *_INPUT]
-    rows = _collect(labelled(documents, labels.filter(F.col("quality").isNotNull()), sample, columns))
-    total = documents.count()
-    share = pool / max(total, pool)
-    ids = labels.select("doc_id").filter(in_sample(share, "pool")).distinct()
-    fresh = documents.select(*columns).filter(in_sample(share, "pool")).join(ids, "doc_id", "left_anti").withColumn("quality", F.lit(None))
-    return fit(rows, _collect(fresh) if rows else [])
+    judged = labels.filter(F.col("quality").isNotNull())
+    rows = _collect(labelled(documents, judged, sample, columns))
+    # The sample's own documents alone are no fresh ones; its ids are as few as it is.
+    total = judged.select(F.count("doc_id")).first()[0]
+    ids = judged.filter(in_sample(sample / max(total, sample))).select("doc_id").distinct()
+    return fit(rows, documents.select(*columns).join(F.broadcast(ids), "doc_id", "left_anti"), rounds)
 
 
 def score(documents: DataFrame, model, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
@@ -152,8 +242,7 @@ def score(documents: DataFrame, model, keep: tuple[str, ...] = ("doc_id",)) -> D
             if model:
                 s = np.empty((batch.num_rows, 2))
                 for i, row in enumerate(zip(*(batch.column(c).to_pylist() for c in ("__raw", *("__" + n for n in _INPUT))))):
-                    for v, bag in enumerate(views(*row)):
-                        s[i, v] = bias[v] + sum(map(weights[v].__getitem__, sorted(keys[v] & bag)))
+                    s[i] = _sums(weights, keys, bias, views(*row))
                 s = np.clip(s, -20, 20)
                 p = np.stack([sigmoid(own[0][0] + own[0][1] * s[:, 0]), sigmoid(own[1][0] + own[1][1] * s[:, 1]), sigmoid(both[0] + s @ both[1:])], 1)
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), *(pa.array(p[:, k]) for k in range(3))], schema.names)

@@ -143,6 +143,21 @@ def test_classifiers_learn(spark, sf_dir):
     assert sum(r.keep == bool(truth[r.doc_id].quality) for r in good) >= 0.9 * len(good)
 
 
+def test_quality_learns_from_every_sure_document(spark):
+    rnd = random.Random(9)
+    word = lambda c: c + "".join(rnd.choices("aeioulmn", k=6))
+    words = [[word(c) for _ in range(40)] for c in "pg"]
+    text = lambda y: " ".join(rnd.choices(words[y], k=12))
+    # Poor documents are in capitals, a trait of the metadata view.
+    rows = [(k, text(1) if k % 2 else text(0).upper()) for k in range(8000)]
+    rare = [word("r") for _ in range(80)]
+    rows += [(9000 + 80 * j + k, " ".join([w] * 12) if k % 2 else " ".join([w] * 12).upper()) for j in range(3) for k, w in enumerate(rare)]
+    d = spark.createDataFrame([(i, t, "en", "web", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    lab = spark.createDataFrame([(k, k % 2, 0) for k in range(400)], "doc_id long, quality int, toxic int")
+    weights = quality.train(d, lab)[0][0]
+    assert all(weights.get(w.encode(), 0) * (1 if k % 2 else -1) > 0 for k, w in enumerate(rare))
+
+
 def test_url_rules_and_mining(spark):
     urls = [(k, f"https://{'bad' if k % 2 else 'fine'}.site.org/en/{k}") for k in range(100)] + [(200, "http://a.Example.com/en/x"), (201, "http://www.example.com/en/"), (202, "//none"), (203, None), (204, "x://net/es/?q"), (205, "http://x.com")]
     pages = spark.createDataFrame([(i, u, "h") for i, u in urls], "page_id long, url string, host string")
