@@ -3,7 +3,8 @@
 Each stage works on everything its predecessor kept: quality classification drops pages of poor quality,
 near-duplicate removal keeps one document of each class, benchmark decontamination cuts leaked passages
 (and drops documents that are mostly benchmark), the secret scan blanks out what it finds, and byte-pair
-encoding returns the token ids of what is left. All but the last return the columns of ``documents``.
+encoding returns the token ids of what is left, their number, the decoded text and digests of both. All but
+the last return the columns of ``documents``.
 """
 
 from __future__ import annotations
@@ -35,7 +36,7 @@ def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def bpe_encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return bpe.encode_digests(docs)
+    return bpe.digests(bpe.encode(docs))
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [

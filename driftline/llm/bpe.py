@@ -20,7 +20,6 @@ those of no bytes. Extra columns are ignored; repeated rows give repeated result
 
 from __future__ import annotations
 
-import hashlib
 import json
 import unicodedata
 from array import array
@@ -30,6 +29,7 @@ import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from driftline.llm.arrowio import chunks, map_arrow, raw
 
@@ -263,20 +263,10 @@ def encode(documents: DataFrame, path: str | None = None, keep: tuple[str, ...]
 
 
 def encode_digests(documents: DataFrame, path: str | None = None) -> DataFrame:
-    """n_tokens and digests of ids and decoded text; texts never leave the worker."""
-    path = path or default_vocabulary()
-    df = documents.select("doc_id", raw().alias("__raw"))
-    schema = df.select("doc_id").schema.add("n_tokens", "long").add("ids_sha256", "string").add("decoded_sha256", "string")
+    """doc_id, n_tokens and the digests of the ids and the decoded text that ``encode`` returns."""
+    return digests(encode(documents, path)).drop("token_ids", "decoded")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = tokenizer(path)
-        for batch in chunks(batches, "__raw"):
-            n, a, b = [], [], []
-            for text in batch.column("__raw").to_pylist():
-                ids = model.encode(text.decode("utf-8", "replace"))
-                n.append(len(ids) // 4)
-                a.append(hashlib.sha256(ids).hexdigest())
-                b.append(hashlib.sha256(model.decode(ids)).hexdigest())
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(a), pa.array(b)], schema.names)
 
-    return map_arrow(df, run, schema)
+def digests(encoded: DataFrame) -> DataFrame:
+    """``encoded`` with n_tokens, ids_sha256 and decoded_sha256 of its token_ids and decoded."""
+    return encoded.withColumns({"n_tokens": F.floor(F.length("token_ids") / 4), "ids_sha256": F.sha2("token_ids", 256), "decoded_sha256": F.sha2("decoded", 256)})

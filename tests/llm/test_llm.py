@@ -72,6 +72,20 @@ def test_bpe_equals_the_library():
         assert mine.decode(mine.encode(text)).decode() == library.decode(ids, skip_special_tokens=False)
 
 
+def test_bpe_operator_returns_ids_and_text(spark, docs):
+    from tokenizers import Tokenizer
+
+    library = Tokenizer.from_file(bpe.default_vocabulary())
+    want = []
+    for i, t in ROWS:
+        ids = library.encode(t or "", add_special_tokens=False).ids
+        want.append((-1 if i is None else i, np.array(ids, "<u4").tobytes(), library.decode(ids, skip_special_tokens=False).encode()))
+    got = [(-1 if r.doc_id is None else r.doc_id, bytes(r.token_ids), bytes(r.decoded)) for r in bpe.encode(docs).collect()]
+    assert sorted(got) == sorted(want)
+    digest = lambda x: hashlib.sha256(x).hexdigest()
+    assert sorted((-1 if r.doc_id is None else r.doc_id, r.n_tokens, r.ids_sha256, r.decoded_sha256) for r in bpe.encode_digests(docs).collect()) == sorted((i, len(a) // 4, digest(a), digest(b)) for i, a, b in want)
+
+
 def test_secrets_base_and_battery(spark):
     rnd = random.Random(2)
     alphabet = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"

@@ -46,6 +46,17 @@ def test_pipeline_against_brute_force(spark, tmp_path):
     assert {r.doc_id: (r.n_tokens, r.ids_sha256) for r in corpus_pipeline.run(spark, path).collect()} == want
 
 
+def test_last_stage_returns_token_ids(spark):
+    import corpus_pipeline
+    from driftline.llm import bpe
+
+    docs = spark.createDataFrame([(1, "one two three"), (2, None)], "doc_id long, text string")
+    got = {r.doc_id: r for r in dict(corpus_pipeline.STAGES)["bpe_encoding"](spark, docs, "").collect()}
+    ids = bpe.tokenizer(bpe.default_vocabulary()).encode("one two three")
+    assert bytes(got[1].token_ids) == ids and got[1].n_tokens == len(ids) // 4 and b"three" in bytes(got[1].decoded)
+    assert bytes(got[2].token_ids) == bytes(got[2].decoded) == b"" and got[2].n_tokens == 0
+
+
 @pytest.mark.parametrize("name", ["op4_decontamination"])
 def test_oracle(name, spark, sf_dir):
     from driftline.llm import queries
