@@ -150,7 +150,7 @@ def _band(n: Column) -> Column:
 
 
 def runs(documents: DataFrame) -> Column:
-    return F.transform(F.filter(_matches(_text(), RUN), lambda m: m["body"].rlike("[0-9A-Z+/_=-]") | (F.length(m["body"]) >= 48)), lambda m: F.struct(m["start"].alias("start"), m["end"].alias("end"), _battery(m["body"]).alias("t")))
+    return F.transform(_matches(_text(), RUN), lambda m: F.struct(m["start"].alias("start"), m["end"].alias("end"), _battery(m["body"]).alias("t")))
 
 
 def _text() -> Column:

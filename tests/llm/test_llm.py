@@ -98,6 +98,17 @@ def test_secrets_base_and_battery(spark):
     assert secrets.redact(df).filter("doc_id = 0").first().text == "é [SECRET] end"
 
 
+def test_secrets_tests_lower_case_runs_of_every_length(spark):
+    rnd = random.Random(10)
+    tokens = ["".join(rnd.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(45)) for _ in range(40)]
+    prose = "internationalisationofeverythingintheworld"
+    df = spark.createDataFrame([(k, f"see {t} end") for k, t in enumerate([*tokens, prose])], "doc_id long, text string")
+    assert df.select(secrets.runs(df).alias("r")).filter("size(r) = 1").count() == 41
+    got = {r.doc_id: r.spans for r in secrets.report(df).collect()}
+    assert sum(got[k] == "random:4:49" for k in range(40)) >= 30 and got[40] == ""
+    assert secrets.redact(df).filter("text = 'see [SECRET] end'").count() >= 30
+
+
 def test_decontamination_against_brute_force(spark):
     rnd = random.Random(3)
     word = lambda: rnd.choice("abcd")
