@@ -7,19 +7,24 @@ arrives first. Two documents agree in a register with the probability Jaccard si
 than the latest register cannot win, so a shingle stops there.
 
 Registers in bands of ``ROWS`` make bucket keys. Identical word sequences are first folded into one
-representative by a digest, so copies never meet in a bucket. In a bucket every document is compared with
-the smallest one, not with all; documents that still are in different components afterwards are compared
-with all of their bucket, in large buckets by matrix products of blocks, so that no link is lost. Verification computes the exact
-probability Jaccard similarity; pairs of ``THRESHOLD`` or more link, and components are the classes.
+representative by a digest of 128 bits, so copies never meet in a bucket. In a bucket every text is
+compared with its first one, not with all. Where a bucket still holds several components, its largest one
+is the main one, and the others' texts (the strays) are compared with a member of the main one drawn for each bucket
+and round; what is left after ``DRAWS`` rounds is compared with all of its bucket, strays times texts,
+by matrix products of blocks, so that no link is lost. Small buckets list their pairs. Verification
+computes the exact probability Jaccard similarity; pairs of ``THRESHOLD`` or more link, and components are
+the classes.
 
 Scale: texts are read once; what is shuffled are bands (``BANDS`` numbers a document) and once the
 shingle sets, 4 bytes a shingle. Hot keys (copies, buckets, hubs) meet in joins of two plain exchanges,
 which adaptive execution splits; aggregations over them are partial first. Recall of banding at 0.8 is
 above 0.9999 by 1 - (1 - 0.8^5)^26.
 
-Defined results: a null or empty text, or one without a word, is a class of its own; a class is named by
-its smallest doc_id; rows of one doc_id with equal texts are one document; a null doc_id with words joins
-the class of its copies, else has a null class; extra columns are ignored or, in ``deduplicate``, kept.
+Defined results: every row of the input is a document of its own, whatever its doc_id, under a row number
+taken once from a checkpointed scan; so rows that share a doc_id, or have none, are compared by their own
+texts. A null or empty text, or one without a word, is a class of its own. A class is named by its smallest
+doc_id (null if it has none); of its rows the first of that doc_id is kept. Extra columns are ignored or,
+in ``deduplicate``, kept; of rows with the same doc_id and the same text one stays, any if their other columns differ.
 """
 
 from __future__ import annotations
@@ -42,9 +47,10 @@ ROWS = 5
 BANDS = 26
 REGISTERS = ROWS * BANDS
 CHUNK = 1 << 20
-#: In buckets of at most FEW documents, pairs are listed; larger ones are compared in blocks of about
-#: BLOCK documents or BLOCK_MASS shingles, COLUMNS shingles at a time.
+#: In buckets of at most FEW texts, pairs are listed. In larger ones strays meet a drawn member in DRAWS
+#: rounds; then blocks of about BLOCK texts or BLOCK_MASS shingles are compared, COLUMNS shingles at a time.
 FEW = 16
+DRAWS = 1
 BLOCK = 256
 BLOCK_MASS = 200_000
 COLUMNS = 4096
@@ -166,15 +172,15 @@ def similarity(sa: np.ndarray, wa: np.ndarray, sb: np.ndarray, wb: np.ndarray) -
     return float((mass / total).sum())
 
 
-_SKETCH = "k1 long, k2 long, n int, bands array<long>, shingles binary, counts binary"
+_SKETCH = "t long, k1 long, k2 long, n int, bands array<long>, shingles binary, counts binary"
 
 
 def sketch(documents: DataFrame) -> DataFrame:
-    """doc_id, digests of the words, number of shingles, bucket keys, shingles and their counts.
+    """doc_id, a hash of the text, digests of its words, number of shingles, bucket keys, shingles and counts.
 
     ``counts`` is empty if every shingle occurs once.
     """
-    df = documents.select("doc_id", raw().alias("__raw"))
+    df = documents.select("doc_id", F.xxhash64("text").alias("t"), raw().alias("__raw"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = Hasher()
@@ -188,109 +194,179 @@ def sketch(documents: DataFrame) -> DataFrame:
             sets = [small[a:b].tobytes() for a, b in zip(cut, cut[1:])]
             counts = [often[a:b].tobytes() if b > a and often[a:b].max() > 1 else b"" for a, b in zip(cut, cut[1:])]
             flat = pa.ListArray.from_arrays(np.arange(len(texts) + 1, dtype="i4") * BANDS, pa.array(sig.ravel()))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(keys[0].view("i8")), pa.array(keys[1].view("i8")), pa.array(n.astype("i4")), flat, pa.array(sets, pa.binary()), pa.array(counts, pa.binary())], ["doc_id", "k1", "k2", "n", "bands", "shingles", "counts"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("t"), pa.array(keys[0].view("i8")), pa.array(keys[1].view("i8")), pa.array(n.astype("i4")), flat, pa.array(sets, pa.binary()), pa.array(counts, pa.binary())], ["doc_id", "t", "k1", "k2", "n", "bands", "shingles", "counts"])
 
     return map_arrow(df, run, f"doc_id {documents.schema['doc_id'].dataType.simpleString()}, {_SKETCH}")
 
 
+def _set(shingles: bytes, counts: bytes) -> tuple[np.ndarray, np.ndarray]:
+    s = np.frombuffer(shingles, "<u4")
+    return s, weights(np.frombuffer(counts, "<u4")) if counts else np.ones(len(s))
+
+
 def verify(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
-    """The pairs (a, b) whose exact similarity reaches ``threshold``."""
-    side = lambda name: sets.select(F.col("doc_id").alias(name), F.col("shingles").alias(f"s{name}"), F.col("counts").alias(f"c{name}"))
-    joined = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "sa", "ca", "sb", "cb")
+    """The pairs (a, b and other columns) whose exact similarity reaches ``threshold``."""
+    side = lambda name: sets.select(F.col("uid").alias(name), F.col("shingles").alias(f"set_{name}"), F.col("counts").alias(f"often_{name}"))
+    joined = pairs.join(side("a"), "a").join(side("b"), "b").select(*pairs.columns, "set_a", "often_a", "set_b", "often_b")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def unpack(s: bytes, c: bytes):
-            s = np.frombuffer(s, "<u4")
-            return s, weights(np.frombuffer(c, "<u4")) if c else np.ones(len(s))
-
         for batch in batches:
-            keep = [similarity(*unpack(x["sa"], x["ca"]), *unpack(x["sb"], x["cb"])) >= threshold for k in range(batch.num_rows) for x in batch.slice(k, 1).to_pylist()]
-            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+            keep = [similarity(*_set(x["set_a"], x["often_a"]), *_set(x["set_b"], x["often_b"])) >= threshold for k in range(batch.num_rows) for x in batch.slice(k, 1).to_pylist()]
+            yield batch.select(names).filter(pa.array(keep, pa.bool_()))
+
+    names = pairs.columns
+    return map_arrow(joined, run, joined.select(*names).schema)
 
-    return map_arrow(joined, run, joined.select("a", "b").schema)
+
+def _dealt(rows: DataFrame, m: str, mass: str) -> DataFrame:
+    """``rows`` with the block of their bucket they belong to, ``own``."""
+    return rows.withColumn("own", F.pmod(F.xxhash64("uid"), _blocks(m, mass)).cast("int"))
+
+
+def _blocks(m: str, mass: str) -> F.Column:
+    return F.ceil(F.greatest(F.col(m) / BLOCK, F.col(mass) / BLOCK_MASS)).cast("int")
 
 
 def across(rows: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
-    """Links between components in large buckets; ``rows`` has h, doc_id, c and the bucket's m and mass.
+    """(ca, cb): components that a link joins, of strays and all texts of their bucket.
 
-    A bucket is dealt into blocks, and each pair of blocks is one task's matrix product: the share of a
-    document's weight that lies in the other one bounds their similarity from above, and only pairs that
-    it lets through are computed exactly. No row is made but for a block and for a link.
+    ``rows`` has h, uid, c0, c, the bucket's main component, its texts m and shingles mass, and those of its
+    strays, sm and smass. Blocks of strays meet blocks of all texts. The shares x and y of two texts' weights
+    that lie in the other one bound their similarity by xy / (x + y - xy); only pairs that this lets through
+    are computed exactly. A task returns each pair of components once.
     """
-    k = F.ceil(F.greatest(F.col("m") / BLOCK, F.col("mass") / BLOCK_MASS)).cast("int")
-    dealt = rows.select("h", "doc_id", "c", k.alias("k"), F.pmod(F.xxhash64("doc_id"), k).cast("int").alias("own"))
-    copies = F.transform(F.sequence(F.lit(0), F.col("k") - 1), lambda o: F.struct(F.least("own", o).alias("i"), F.greatest("own", o).alias("j")))
-    spread = dealt.select("h", "doc_id", "c", "own", F.explode(copies).alias("p")).select("h", "p.i", "p.j", "doc_id", "c", "own").join(sets, "doc_id")
-    kind = rows.schema["doc_id"].dataType.simpleString()
+    stray = F.col("c") != F.col("main")
+    probe = _dealt(rows.filter(stray), "sm", "smass").select("h", F.col("own").alias("i"), F.explode(F.sequence(F.lit(0), _blocks("m", "mass") - 1)).alias("j"), F.lit(True).alias("probe"), "uid", "c0", "c", stray.alias("stray"))
+    every = _dealt(rows, "m", "mass").select("h", F.explode(F.sequence(F.lit(0), _blocks("sm", "smass") - 1)).alias("i"), F.col("own").alias("j"), F.lit(False).alias("probe"), "uid", "c0", "c", stray.alias("stray"))
+    spread = probe.unionByName(every).join(sets, "uid")
 
     def run(t: pa.Table) -> pa.Table:
-        ids, comp, own = t.column("doc_id").to_pylist(), np.array(t.column("c").to_pylist()), np.array(t.column("own").to_pylist())
-        members = [np.frombuffer(s, "<u4") for s in t.column("shingles").to_pylist()]
-        weight = [weights(np.frombuffer(c, "<u4")) if c else np.ones(len(s)) for s, c in zip(members, t.column("counts").to_pylist())]
+        ids, comp, home = (np.array(t.column(c).to_pylist()) for c in ("uid", "c", "c0"))
+        left, stray = np.array(t.column("probe").to_pylist()), np.array(t.column("stray").to_pylist())
+        members, weight = zip(*(_set(s, c) for s, c in zip(t.column("shingles").to_pylist(), t.column("counts").to_pylist())))
+        p, e = np.flatnonzero(left), np.flatnonzero(~left)
         row = np.repeat(np.arange(len(ids)), [len(s) for s in members])
-        names, col, often = np.unique(np.concatenate(members), return_inverse=True, return_counts=True)
+        _, col, often = np.unique(np.concatenate(members), return_inverse=True, return_counts=True)
         share = np.concatenate([w / w.sum() for w in weight])
         common = often[col] > 1
         row, share, col = row[common], share[common], (np.cumsum(often > 1) - 1)[col[common]]
         order = np.argsort(col, kind="stable")
         row, share, col = row[order], share[order], col[order]
-        mass = np.zeros((len(ids), len(ids)), "f4")
+        mass, back = np.zeros((len(p), len(e)), "f4"), np.zeros((len(p), len(e)), "f4")
         for at in range(0, int(col[-1]) + 1 if len(col) else 0, COLUMNS):
             lo, hi = np.searchsorted(col, (at, at + COLUMNS))
             part = np.zeros((2, len(ids), COLUMNS), "f4")
             part[0, row[lo:hi], col[lo:hi] - at] = share[lo:hi]
             part[1, row[lo:hi], col[lo:hi] - at] = 1
-            mass += part[0] @ part[1].T
-        near = (mass >= threshold - 1e-4) & (mass.T >= threshold - 1e-4) & (comp[:, None] != comp)
-        # Pairs within a block belong to the task of that block with itself.
-        if own.min() != own.max():
-            near &= own[:, None] != own
-        links = [(ids[x], ids[y]) for x, y in zip(*np.nonzero(np.triu(near, 1))) if similarity(members[x], weight[x], members[y], weight[y]) >= threshold]
-        a, b = zip(*links) if links else ((), ())
-        return pa.table([pa.array(map(min, a, b), t.schema.field("doc_id").type), pa.array(map(max, a, b), t.schema.field("doc_id").type)], ["a", "b"])
-
-    return spread.groupBy("h", "i", "j").applyInArrow(run, f"a {kind}, b {kind}")
+            mass += part[0, p] @ part[1, e].T
+            back += part[1, p] @ part[0, e].T
+        # By concavity no weights with these shares are more alike than that; equal weights are just so.
+        bound = mass * back / np.maximum(mass + back - mass * back, 1e-9)
+        near = (bound >= threshold - 1e-4) & (comp[p][:, None] != comp[e])
+        # Two strays meet in both orders.
+        near &= ~stray[e] | (ids[p][:, None] < ids[e])
+        found = set()
+        for x, y in zip(*np.nonzero(near)):
+            key = (int(home[p[x]]), int(home[e[y]]))
+            if key not in found and similarity(members[p[x]], weight[p[x]], members[e[y]], weight[e[y]]) >= threshold:
+                found.add(key)
+        a, b = zip(*sorted(found)) if found else ((), ())
+        return pa.table([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["ca", "cb"])
+
+    return spread.groupBy("h", "i", "j").applyInArrow(run, "ca long, cb long")
+
+
+def _open(placed: DataFrame) -> DataFrame:
+    """The rows of buckets with several components, with what ``across`` needs of the bucket."""
+    by = placed.groupBy("h", "c").agg(F.count("*").alias("k"), F.sum("n").alias("ks"))
+    top = F.max(F.struct("k", "ks", "c"))
+    per = by.groupBy("h").agg(top.alias("top"), F.sum("k").alias("m"), F.sum("ks").alias("mass")).filter("top.k < m")
+    per = per.select("h", F.col("top.c").alias("main"), "m", "mass", (F.col("m") - F.col("top.k")).alias("sm"), (F.col("mass") - F.col("top.ks")).alias("smass"))
+    return durable(placed.join(durable(per), "h").select("h", "uid", "n", "c0", "c", "main", "m", "mass", "sm", "smass"))
+
+
+def _joined(placed: DataFrame, links: DataFrame | None) -> DataFrame:
+    """``placed`` with ``c`` by all links between first components so far."""
+    if links is None:
+        return placed.select("h", "uid", "n", "c0", "c")
+    up = components(links, "ca", "cb").select(F.col("node").alias("c0"), "component")
+    return placed.select("h", "uid", "n", "c0").join(up, "c0", "left").select("h", "uid", "n", "c0", F.coalesce("component", "c0").alias("c"))
+
+
+def _late(shared: DataFrame, label: DataFrame, sets: DataFrame, threshold: float) -> DataFrame | None:
+    """(ca, cb): links between the components of buckets that hold several."""
+    placed = shared.join(label.withColumnRenamed("node", "uid"), "uid", "left").select("h", "uid", "n", F.coalesce("component", "uid").alias("c0")).withColumn("c", F.col("c0"))
+    placed = _open(placed)
+    few = placed.filter(F.col("m") <= FEW)
+    x, y = few.select("h", F.col("uid").alias("a"), F.col("c").alias("ca")), few.select("h", F.col("uid").alias("b"), F.col("c").alias("cb"))
+    first = x.join(y, "h").filter((F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb"))).select("a", "b", "ca", "cb").distinct()
+    links, placed = None, placed.filter(F.col("m") > FEW)
+
+    def add(more: DataFrame) -> DataFrame | None:
+        more = durable(more.select("ca", "cb").distinct())
+        if more.isEmpty():
+            return links
+        return more if links is None else durable(links.union(more))
+
+    links = add(verify(first, sets, threshold))
+    for k in range(DRAWS):
+        if placed.isEmpty():
+            return links
+        placed = _open(_joined(placed, links))
+        drawn = placed.filter("c = main").groupBy("h").agg(F.min_by(F.struct("uid", "c0"), F.xxhash64("uid", "h", F.lit(k))).alias("d"))
+        tried = placed.filter("c <> main").join(durable(drawn), "h").select(F.col("d.uid").alias("a"), F.col("uid").alias("b"), F.col("d.c0").alias("ca"), F.col("c0").alias("cb")).distinct()
+        links = add(verify(tried, sets, threshold))
+    placed = _open(_joined(placed, links))
+    return links if placed.isEmpty() else add(across(placed, sets, threshold))
 
 
 def classes(documents: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """doc_id and class_id of every document."""
-    every = durable(sketch(documents))
+    """uid, doc_id, hash of the text, class_id, class_size and kept of every row, which ``uid`` numbers."""
+    every = durable(sketch(documents).withColumn("uid", F.monotonically_increasing_id()))
     solid = every.filter("n > 0")
-    copies = durable(solid.groupBy("k1", "k2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("size")).filter("size > 1 AND rep IS NOT NULL").drop("size"))
-    member = every.filter("n > 0").select("doc_id", "k1", "k2").join(copies, ["k1", "k2"], "left").select("doc_id", F.coalesce("rep", "doc_id").alias("rep"))
-    member = durable(member)
-    reps = solid.join(member.filter("doc_id <> rep").select("doc_id").distinct(), "doc_id", "left_anti").filter("doc_id IS NOT NULL")
-
-    banded = durable(reps.select("doc_id", "n", F.explode("bands").alias("h")))
-    buckets = durable(banded.groupBy("h").agg(F.min("doc_id").alias("hub"), F.max("doc_id").alias("top")).filter("hub < top").drop("top"))
-    pairs = durable(banded.join(buckets, "h").filter("doc_id <> hub").select(F.col("hub").alias("a"), F.col("doc_id").alias("b")).distinct())
-
-    ids = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
-    sets = durable(every.select("doc_id", "shingles", "counts").join(ids, "doc_id", "left_semi").dropDuplicates(["doc_id"]))
-    edges = durable(verify(pairs, sets, threshold))
-    label = components(edges)
-
-    # What still shares a bucket across components.
-    placed = durable(banded.join(label.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("h", "doc_id", "n", F.coalesce("component", "doc_id").alias("c")))
-    open_ = durable(placed.groupBy("h").agg(F.min("c").alias("low"), F.max("c").alias("high"), F.count("*").alias("m"), F.sum("n").alias("mass")).filter("low < high").select("h", "m", "mass"))
-    few = durable(placed.join(open_.filter(F.col("m") <= FEW).select("h"), "h"))
-    x, y = few.select("h", F.col("doc_id").alias("a"), F.col("c").alias("ca")), few.select("h", F.col("doc_id").alias("b"), F.col("c").alias("cb"))
-    more = x.join(y, "h").filter((F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb"))).select("a", "b").distinct().join(pairs, ["a", "b"], "left_anti")
-    many = across(placed.join(open_.filter(F.col("m") > FEW), "h"), sets, threshold)
-    late = durable(verify(more, sets, threshold).union(many))
-    if late.limit(1).count():
-        label = components(edges.union(late))
-    named = member.join(label.withColumnRenamed("node", "rep"), "rep", "left").select("doc_id", F.coalesce("component", "rep").alias("class_id"))
-    return named.union(every.filter("n = 0").select("doc_id", F.col("doc_id").alias("class_id")))
+    copies = durable(solid.groupBy("k1", "k2").agg(F.min("uid").alias("head"), F.count("*").alias("size")).filter("size > 1").drop("size"))
+    member = durable(solid.select("uid", "doc_id", "t", "k1", "k2").join(copies, ["k1", "k2"], "left").select("uid", "doc_id", "t", F.coalesce("head", "uid").alias("head")))
+    reps = solid.join(member.filter("uid <> head").select("uid"), "uid", "left_anti")
+
+    banded = durable(reps.select("uid", "n", F.explode("bands").alias("h")))
+    buckets = durable(banded.groupBy("h").agg(F.min("uid").alias("hub"), F.max("uid").alias("top")).filter("hub < top").drop("top"))
+    shared = durable(banded.join(buckets, "h").select("h", "hub", "uid", "n"))
+    pairs = durable(shared.filter("uid <> hub").select(F.col("hub").alias("a"), F.col("uid").alias("b")).distinct())
+
+    ids = pairs.select(F.col("a").alias("uid")).union(pairs.select("b")).distinct()
+    sets = durable(every.select("uid", "shingles", "counts").join(ids, "uid", "left_semi"))
+    label = components(durable(verify(pairs, sets, threshold)))
+    late = _late(shared.select("h", "uid", "n"), label, sets, threshold)
+    home = member.join(label.withColumnRenamed("node", "head"), "head", "left").select("uid", "doc_id", "t", "head", F.coalesce("component", "head").alias("c"))
+    if late is not None:
+        home = home.join(components(late, "ca", "cb").withColumnRenamed("node", "c"), "c", "left").select("uid", "doc_id", "t", "head", F.coalesce("component", "c").alias("c"))
+    # A row is alone unless another one has its component, which is the smallest row number of its class.
+    home = durable(home)
+    crowd = home.groupBy("c").agg(F.count("*").alias("class_size"), F.min("doc_id").alias("class_id"), F.min("uid").alias("low"), F.max("uid").alias("high"))
+    crowd = durable(crowd.filter("low < high").drop("low", "high"))
+    inside = home.join(crowd, "c", "left")
+    kept = durable(home.join(crowd, "c").filter(F.col("doc_id").eqNullSafe(F.col("class_id"))).groupBy("c").agg(F.min("uid").alias("keeper")))
+    named = inside.join(kept, "c", "left").select("uid", "doc_id", "t", F.when(F.col("class_size").isNull(), F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"), F.coalesce("class_size", F.lit(1)).cast("long").alias("class_size"), (F.col("uid") == F.coalesce("keeper", "uid")).alias("kept"))
+    alone = every.filter("n = 0").select("uid", "doc_id", "t", F.col("doc_id").alias("class_id"), F.lit(1).cast("long").alias("class_size"), F.lit(True).alias("kept"))
+    return named.unionByName(alone)
 
 
 def near_duplicates(documents: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """doc_id, class_id and kept: whether the document stands for its class."""
-    return classes(documents, threshold).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("class_id")))
+    """doc_id, class_id, kept (whether the row stands for its class) and class_size, the rows of the class."""
+    return classes(documents, threshold).select("doc_id", "class_id", "kept", "class_size")
 
 
 def deduplicate(documents: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """One document of each class, in its own columns."""
-    gone = durable(classes(documents, threshold).filter("doc_id <> class_id").select("doc_id").distinct())
-    left = documents.join(gone, "doc_id", "left_anti").withColumn("__text", F.xxhash64("text"))
-    return left.dropDuplicates(["doc_id", "__text"]).select(*documents.columns)
+    found = durable(classes(documents, threshold).select("doc_id", "t", "kept", "class_size"))
+    # Rows are known again by doc_id and the hash of the text; where both recur, one row stays.
+    each = found.filter("class_size > 1").groupBy("doc_id", "t").agg(F.max("kept").alias("kept"), F.count("*").alias("times"))
+    each = durable(each.select(F.col("doc_id").alias("__doc_id"), F.col("t").alias("__t"), "kept", "times"))
+    same = lambda df, found: df["doc_id"].eqNullSafe(found["__doc_id"]) & (df["__text"] == found["__t"])
+    gone, twice = each.filter("NOT kept").drop("kept", "times"), each.filter("kept AND times > 1").drop("kept", "times")
+    rows = documents.withColumn("__text", F.xxhash64("text"))
+    left = rows.join(gone, same(rows, gone), "left_anti")
+    if not twice.isEmpty():
+        again = left.join(twice, same(left, twice), "left_semi").dropDuplicates(["doc_id", "__text"])
+        left = left.join(twice, same(left, twice), "left_anti").unionByName(again)
+    return left.select(*documents.columns)

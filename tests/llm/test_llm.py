@@ -128,32 +128,72 @@ def test_decontamination_against_brute_force(spark):
         assert (got[i].n_words, got[i].n_hit, got[i].items_sha256) == (len(w), len(hit), hashlib.sha256(",".join(sorted(found)).encode()).hexdigest())
 
 
-def test_near_duplicates_against_brute_force(spark, monkeypatch):
-    rnd = random.Random(4)
-    base = [f"w{rnd.randrange(400)}" for _ in range(150)]
-    texts = []
-    for k in range(60):
-        w = list(base) if k < 45 else [f"v{rnd.randrange(400)}" for _ in range(80)]
-        for _ in range(rnd.randrange(0, 8)):
-            w[rnd.randrange(len(w))] = f"z{rnd.randrange(10**6)}"
-        texts.append((k, " ".join(w)))
-    texts += [(100, texts[3][1].upper()), (101, ""), (102, None)]
+def brute_classes(texts):
+    """(smallest id, size) of the class of each row, by comparing all rows."""
     h = neardup.Hasher()
-    sets = {}
-    for k, t in texts:
+    sets = []
+    for _, t in texts:
         _, s, c, _ = h.shingles([(t or "").encode()])
-        sets[k] = s, neardup.weights(c)
-    label = {k: k for k in sets}
-    for _ in sets:
-        for a in sets:
-            for b in sets:
-                if len(sets[a][0]) and neardup.similarity(*sets[a], *sets[b]) >= 0.8:
-                    label[a] = label[b] = min(label[a], label[b])
-    df = spark.createDataFrame(texts, "doc_id long, text string")
-    for few in (16, 1):
-        monkeypatch.setattr(neardup, "FEW", few)
-        monkeypatch.setattr(neardup, "BLOCK", 8)
-        assert {r.doc_id: r.class_id for r in neardup.near_duplicates(df).collect()} == label
+        sets.append((s, neardup.weights(c)))
+    label = list(range(len(texts)))
+    for a in range(len(texts)):
+        for b in range(a):
+            if label[a] != label[b] and len(sets[a][0]) and neardup.similarity(*sets[a], *sets[b]) >= 0.8:
+                old, new = label[a], label[b]
+                label = [new if x == old else x for x in label]
+    rows = {x: [k for k in range(len(texts)) if label[k] == x] for x in label}
+    return [(min((texts[k][0] for k in rows[x] if texts[k][0] is not None), default=None), len(rows[x])) for x in label], label
+
+
+def edited(rnd, base, most, n=1):
+    out = []
+    for _ in range(n):
+        w = list(base)
+        for _ in range(rnd.randrange(0, most)):
+            w[rnd.randrange(len(w))] = f"z{rnd.randrange(10**6)}"
+        out.append(" ".join(w))
+    return out
+
+
+@pytest.mark.parametrize("few, draws", [(16, 1), (1, 0), (1, 2)])
+def test_near_duplicates_against_brute_force(spark, monkeypatch, few, draws):
+    rnd = random.Random(4)
+    base = [f"w{rnd.randrange(400)}" for _ in range(150)]
+    found = edited(rnd, base, 8, 45) + [edited(rnd, [f"v{rnd.randrange(400)}" for _ in range(80)], 8)[0] for _ in range(15)]
+    texts = list(enumerate(found)) + [(100, found[3].upper()), (101, ""), (102, None)]
+    want = {i: x for (i, _), x in zip(texts, brute_classes(texts)[0])}
+    monkeypatch.setattr(neardup, "FEW", few)
+    monkeypatch.setattr(neardup, "DRAWS", draws)
+    monkeypatch.setattr(neardup, "BLOCK", 8)
+    got = neardup.near_duplicates(spark.createDataFrame(texts, "doc_id long, text string")).collect()
+    assert {r.doc_id: (r.class_id, r.class_size) for r in got} == want
+    assert sorted(r.doc_id for r in got if r.kept) == sorted({x for x, _ in want.values()})
+
+
+def test_near_duplicates_of_rows_that_share_or_lack_an_id(spark):
+    rnd = random.Random(11)
+    t, u, v = ([f"{c}{rnd.randrange(300)}" for _ in range(90)] for c in "tuv")
+    say = " ".join
+    texts = [(1, say(t)), (1, say(u)), (2, say([*t, "x"])), (3, say([*u, "y"])), (None, say(v)), (None, say([*v, "x"])), (None, say(t)), (7, "alone here"), (7, "alone here"), (None, None), (8, say(u).upper()), (8, say(u).upper())]
+    want, label = brute_classes(texts)
+    df = spark.createDataFrame([(i, x, k) for k, (i, x) in enumerate(texts)], "doc_id long, text string, c long")
+    got = neardup.near_duplicates(df).collect()
+    key = lambda x: repr(x)
+    assert sorted([(r.doc_id, r.class_id, r.class_size) for r in got], key=key) == sorted([(i, *w) for (i, _), w in zip(texts, want)], key=key)
+    left = neardup.deduplicate(df).collect()
+    assert sorted(label[r.c] for r in left) == sorted(set(label)) and {r.text for r in left} >= {say(t), say(u), None}
+
+
+def test_near_duplicate_recall_against_all_rows(spark, sf_dir):
+    """Every pair of 0.8 or more between a row whose id ends in 0 and any row is within a class."""
+    d = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    of = {r.doc_id: r.class_id for r in neardup.near_duplicates(d).collect()}
+    h, sets = neardup.Hasher(), {}
+    for r in d.collect():
+        _, s, c, _ = h.shingles([(r.text or "").encode()])
+        sets[r.doc_id] = s, neardup.weights(c)
+    pairs = [(a, b) for a in sets if a % 10 == 0 for b in sets if a != b and len(sets[a][0]) and neardup.similarity(*sets[a], *sets[b]) >= 0.8]
+    assert pairs and sum(of[a] == of[b] for a, b in pairs) >= 0.9 * len(pairs)
 
 
 def test_classifiers_learn(spark, sf_dir):
