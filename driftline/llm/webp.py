@@ -2,13 +2,16 @@
 
 The decoder reads prefix codes, back-references, colour caches and entropy images and inverts the
 predictor, cross-colour, subtract-green and colour-indexing (palette) transforms, as the published
-bitstream specification (RFC 9649) has them; it returns pixel arrays. Pictures with nothing but literals
-in one channel take a short cut in which several symbols are read from each window of bits at once; it
-reads the same codes from the same bits.
+bitstream specification (RFC 9649) has them; it returns pixel arrays. Where the codes of red, blue and alpha
+have one symbol each and there is no cache, it reads several green literals from each window of bits at once
+and stops at back-references only.
 
-The encoder writes a payload as the green samples of 24 (or 576) pixel wide pictures under one of two
-prefix codes, text-like or flat, whichever is shorter. Payloads beyond 576 x 16384 samples become several
-RIFF files, one after another.
+The encoder writes a payload as the green samples of 24 (or 576) pixel wide pictures. Repeats of LEAST
+bytes or more become back-references. Samples of at most 16 values are packed by a palette transform
+if that is shorter. Of three fixed prefix codes the shortest one is taken: text-like, flat, or one that
+takes samples seen a short while ago from a colour cache. A predictor, cross-colour or subtract-green
+transform would only lengthen such pictures, whose neighbours are not alike and which have one channel. Payloads
+beyond 576 x 16384 samples become several RIFF files, one after another.
 
 Scale: one Arrow pass, no shuffle; memory is a small multiple of the longest text.
 
@@ -133,11 +136,47 @@ def _extra(symbol: int, bits: Bits) -> int:
     return (2 + (symbol & 1) << n) + bits.read(n) + 1
 
 
+def _distance(d: int, width: int) -> int:
+    """How many pixels back a distance code points."""
+    if d > 120:
+        return d - 120
+    dx, dy = NEAR[d - 1]
+    return max(1, dx + dy * width)
+
+
 def _alphabets(cache: int) -> tuple[int, ...]:
     return 280 + (1 << cache if cache else 0), 256, 256, 256, 40
 
 
-def _pixels(bits: Bits, width: int, height: int, main: bool) -> list[int]:
+class Group:
+    """The five prefix codes of a part of a picture."""
+
+    def __init__(self, codes: list[Code]) -> None:
+        self.codes = codes
+        #: Red, blue and alpha, if they are the same throughout.
+        self.rest = None if any(c.single is None for c in codes[1:4]) else codes[3].single << 24 | codes[1].single << 16 | codes[2].single
+        self.green: Green | None = None
+
+
+#: Code groups read before: the bits that announce them, their number, the cache's size, the group.
+_SEEN: list[tuple[int, int, int, Group]] = []
+
+
+def _group(bits: Bits, cache_bits: int) -> Group:
+    start = bits.at
+    for head, n, size, group in _SEEN:
+        k = start >> 3
+        if size == cache_bits and int.from_bytes(bits.data[k : k + (n + 15 >> 3)], "little") >> (start & 7) & (1 << n) - 1 == head:
+            bits.at += n
+            return group
+    group = Group([read_code(bits, n) for n in _alphabets(cache_bits)])
+    if len(_SEEN) < 8:
+        k, n = start >> 3, bits.at - start
+        _SEEN.append((int.from_bytes(bits.data[k : k + (n + 15 >> 3)], "little") >> (start & 7) & (1 << n) - 1, n, cache_bits, group))
+    return group
+
+
+def _pixels(bits: Bits, width: int, height: int, main: bool) -> np.ndarray:
     """An entropy-coded picture, as 0xAARRGGBB numbers."""
     cache_bits = bits.read(4) if bits.read(1) else 0
     if cache_bits > 11:
@@ -146,8 +185,12 @@ def _pixels(bits: Bits, width: int, height: int, main: bool) -> list[int]:
     if main and bits.read(1):
         shift = bits.read(3) + 2
         across = -(-width >> shift)
-        meta = [p >> 8 & 0xFFFF for p in _pixels(bits, across, -(-height >> shift), False)]
-    groups = [[read_code(bits, n) for n in _alphabets(cache_bits)] for _ in range(max(meta) + 1 if meta else 1)]
+        meta = (_pixels(bits, across, -(-height >> shift), False) >> 8 & 0xFFFF).tolist()
+    whole = [_group(bits, cache_bits) for _ in range(max(meta) + 1 if meta else 1)]
+    if not meta and not cache_bits and whole[0].rest is not None and whole[0].codes[0].single is None:
+        whole[0].green = whole[0].green or Green(whole[0].codes[0], whole[0].codes[4])
+        return whole[0].green.read(bits, width, width * height).astype("u4") << np.uint32(8) | np.uint32(whole[0].rest)
+    groups = [g.codes for g in whole]
     out: list[int] = []
     cache, drop = [0] * (1 << cache_bits), 32 - cache_bits
     total, group = width * height, groups[0]
@@ -162,12 +205,7 @@ def _pixels(bits: Bits, width: int, height: int, main: bool) -> list[int]:
             new = [group[3].next(bits) << 24 | red << 16 | s << 8 | blue]
         elif s < 280:
             n = _extra(s - 256, bits)
-            d = _extra(group[4].next(bits), bits)
-            if d > 120:
-                d -= 120
-            else:
-                dx, dy = NEAR[d - 1]
-                d = max(1, dx + dy * width)
+            d = _distance(_extra(group[4].next(bits), bits), width)
             if d > len(out) or len(out) + n > total:
                 raise ValueError("a back-reference leaves the picture")
             for _ in range(n):
@@ -180,7 +218,7 @@ def _pixels(bits: Bits, width: int, height: int, main: bool) -> list[int]:
             for p in new:
                 cache[(p * HASH & 0xFFFFFFFF) >> drop] = p
         out += new
-    return out
+    return np.array(out, "u4")
 
 
 def _average(a: int, b: int) -> int:
@@ -269,16 +307,15 @@ def _uncross(pixels: list[int], width: int, shift: int, factors: list[int]) -> l
     return out
 
 
-def _unindex(pixels: list[int], width: int, pack: int, table: list[int]) -> list[int]:
-    if not pack:
-        return [table[p >> 8 & 255] if (p >> 8 & 255) < len(table) else 0 for p in pixels]
-    per, size = 1 << pack, 8 >> pack
-    across, out = -(-width >> pack), []
-    for y in range(len(pixels) // across):
-        for x in range(width):
-            i = (pixels[y * across + (x >> pack)] >> 8 & 255) >> (x & per - 1) * size & (1 << size) - 1
-            out.append(table[i] if i < len(table) else 0)
-    return out
+def _unindex(pixels: np.ndarray, width: int, pack: int, table: list[int]) -> np.ndarray:
+    index = (pixels >> 8 & 255).reshape(-1, -(-width >> pack))
+    if pack:
+        size = 8 >> pack
+        x = np.arange(width)
+        index = index[:, x >> pack] >> ((x & (1 << pack) - 1) * size).astype("u4") & (1 << size) - 1
+    colours = np.zeros(256, "u4")
+    colours[: len(table)] = table
+    return colours[index.ravel()]
 
 
 def chunk(media: bytes, at: int = 0) -> tuple[bytes, int]:
@@ -297,7 +334,7 @@ def chunk(media: bytes, at: int = 0) -> tuple[bytes, int]:
     raise ValueError("no lossless picture")
 
 
-def decode(data: bytes) -> tuple[int, int, list[int]]:
+def decode(data: bytes) -> tuple[int, int, np.ndarray]:
     """Width, height and 0xAARRGGBB pixels of a lossless picture's data."""
     bits = Bits(data)
     if bits.read(8) != 0x2F:
@@ -307,6 +344,7 @@ def decode(data: bytes) -> tuple[int, int, list[int]]:
     if bits.read(3):
         raise ValueError("unknown version")
     inner, undo, seen = width, [], set()
+    each = lambda f: lambda p, *args: np.array(f(p.tolist(), *args), "u4")
     while bits.read(1):
         kind = bits.read(2)
         if kind in seen:
@@ -314,13 +352,13 @@ def decode(data: bytes) -> tuple[int, int, list[int]]:
         seen.add(kind)
         if kind < 2:
             shift = bits.read(3) + 2
-            data_ = _pixels(bits, -(-inner >> shift), -(-height >> shift), False)
-            undo.append((_unpredict if kind == 0 else _uncross, inner, shift, data_))
+            data_ = _pixels(bits, -(-inner >> shift), -(-height >> shift), False).tolist()
+            undo.append((each(_unpredict if kind == 0 else _uncross), inner, shift, data_))
         elif kind == 2:
-            undo.append((lambda p, *_: [(q & 0xFF00FF00) | ((q >> 16) + (q >> 8) & 255) << 16 | (q + (q >> 8) & 255) for q in p], 0, 0, []))
+            undo.append((each(lambda p, *_: [(q & 0xFF00FF00) | ((q >> 16) + (q >> 8) & 255) << 16 | (q + (q >> 8) & 255) for q in p]), 0, 0, []))
         else:
             size = bits.read(8) + 1
-            table = _pixels(bits, size, 1, False)
+            table = _pixels(bits, size, 1, False).tolist()
             for k in range(1, size):
                 table[k] = _plus(table[k], table[k - 1])
             pack = 3 if size <= 2 else 2 if size <= 4 else 1 if size <= 16 else 0
@@ -335,10 +373,89 @@ def decode(data: bytes) -> tuple[int, int, list[int]]:
 def samples(media: bytes) -> np.ndarray:
     """Height x width x 4 array (red, green, blue, alpha) of a WebP file."""
     width, height, pixels = decode(chunk(media)[0])
-    p = np.array(pixels, "u4").reshape(height, width)
+    p = pixels.reshape(height, width)
     return np.stack([p >> 16 & 255, p >> 8 & 255, p & 255, p >> 24], -1).astype("u1")
 
 
+class Green:
+    """Reads pictures of one channel: several literals from each window of 16 bits, and back-references."""
+
+    def __init__(self, code: Code, distance: Code) -> None:
+        window = np.arange(1 << 16)
+        used, self.count = np.zeros(1 << 16, "i8"), np.zeros(1 << 16, "i8")
+        self.symbols = np.zeros((1 << 16, 8), "u1")
+        for k in range(8):
+            rest = window >> used & 0x7FFF
+            n = code.size[rest].astype("i8")
+            fits = (used + n <= 16) & (self.count == k) & (code.symbol[rest] < 256)
+            self.symbols[fits, k] = code.symbol[rest[fits]]
+            self.count += fits
+            used += np.where(fits, n, 0)
+        #: Bits of a window's literals; 0 where a back-reference begins.
+        self.advance = used.astype("u1").tobytes()
+        pairs = lambda c: [(0, c.single)] * (1 << 15) if c.single is not None else list(zip(c.size.tolist(), c.symbol.tolist()))
+        self.lengths, self.distances = pairs(code), pairs(distance)
+
+    def read(self, bits: Bits, width: int, total: int) -> np.ndarray:
+        data, at, last = bits.data, bits.at, len(bits.data) * 8
+        b = np.frombuffer(data + b"\0\0\0\0", "u1").astype("u4")
+        advance, lengths, distances, block = self.advance, self.lengths, self.distances, 1 << 16
+        out = bytearray()
+        while len(out) < total:
+            if at >= last:
+                raise ValueError("the stream ends too early")
+            base = at >> 3
+            part = b[base : base + block + 2]
+            joined = part[:-2] | part[1:-1] << 8 | part[2:] << 16
+            windows = np.empty((len(joined), 8), "u2")
+            for k in range(8):
+                windows[:, k] = joined >> k
+            view, end, start = memoryview(windows.ravel()), len(joined) * 8, base * 8
+            p, seen, cuts = at - start, [], []
+            note, stop = seen.append, min(end, last - start)
+            while p < stop:
+                w = view[p]
+                n = advance[w]
+                if n:
+                    note(w)
+                    p += n
+                    continue
+                q = start + p
+                v = int.from_bytes(data[q >> 3 : (q >> 3) + 9], "little") >> (q & 7)
+                n, s = lengths[v & 0x7FFF]
+                s -= 256
+                v, p = v >> n, p + n
+                n = s - 2 >> 1 if s >= 4 else 0
+                length = ((2 + (s & 1) << n) + (v & (1 << n) - 1) if s >= 4 else s) + 1
+                v, p = v >> n, p + n
+                n, s = distances[v & 0x7FFF]
+                v, p = v >> n, p + n
+                n = s - 2 >> 1 if s >= 4 else 0
+                d = ((2 + (s & 1) << n) + (v & (1 << n) - 1) if s >= 4 else s) + 1
+                p += n
+                cuts.append((len(seen), length, d))
+            seen = np.array(seen, "u2")
+            count = self.count[seen]
+            literal = self.symbols[seen][np.arange(8) < count[:, None]].tobytes()
+            places = np.concatenate(([0], np.cumsum(count)))[[c[0] for c in cuts]].tolist() if cuts else []
+            done = 0
+            for place, (_, length, d) in zip(places, cuts):
+                out += literal[done:place]
+                done = place
+                if len(out) >= total:
+                    break
+                d = _distance(d, width)
+                if d > len(out) or len(out) + length > total:
+                    raise ValueError("a back-reference leaves the picture")
+                k = len(out) - d
+                out += out[k : k + length] if d >= length else (out[k:] * (length // d + 1))[:length]
+            out += literal[done:]
+            at = start + p
+        # What stands for more than the picture was read from the padding.
+        bits.at = min(at, last)
+        return np.frombuffer(bytes(out[:total]), "u1")
+
+
 # ---- writing
 
 
@@ -382,57 +499,229 @@ def _lengths(weights: list[int]) -> list[int]:
     return out
 
 
+def _write_code(w: Writer, lengths: list[int]) -> None:
+    """A prefix code's header: one symbol simply, else the lengths in runs under a code of their own."""
+    used = [k for k, n in enumerate(lengths) if n]
+    if len(used) <= 2 and used[-1] < 256:
+        for value, n in ((1, 1), (len(used) - 1, 1), (1, 1), (used[0], 8), *((k, 8) for k in used[1:])):
+            w.put(value, n)
+        return
+    runs, k = [], 0
+    while k < len(lengths):
+        n = next((j for j in range(k, len(lengths)) if lengths[j] != lengths[k]), len(lengths)) - k
+        value = lengths[k]
+        if value:
+            runs.append((value, 0, 0))
+            k, n = k + 1, n - 1
+            least, most, symbol, extra = 3, 6, 16, 2
+        else:
+            least, most, symbol, extra = (11, 138, 18, 7) if n >= 11 else (3, 10, 17, 3)
+        while n >= least:
+            m = min(n, most)
+            runs.append((symbol, m - least, extra))
+            k, n = k + m, n - m
+        runs += [(value, 0, 0)] * n
+        k += n
+    seen = [sum(r[0] == s for r in runs) for s in range(19)]
+    size = _lengths_of([c for c in seen if c])
+    if max(size) > 7:
+        size = [5] * len(size) if len(size) > 16 else [4] * len(size)
+    kinds = [s for s in range(19) if seen[s]]
+    if sum(2.0**-n for n in size) != 1:
+        # A flat code over more symbols than are used stays complete.
+        flat = max(size)
+        kinds = sorted({*kinds, *range(19)}, key=lambda s: (s not in kinds, s))[: 1 << flat]
+        size = [flat] * len(kinds)
+        if len(kinds) < 1 << flat:
+            size[: (1 << flat) - len(kinds)] = [flat - 1] * ((1 << flat) - len(kinds))
+    of = dict(zip(kinds, size))
+    w.put(0, 1)
+    count = max(4, 1 + max(LENGTH_ORDER.index(s) for s in kinds))
+    w.put(count - 4, 4)
+    for s in LENGTH_ORDER[:count]:
+        w.put(of.get(s, 0), 3)
+    w.put(0, 1)
+    codes = _canonical([of.get(s, 0) for s in range(19)])
+    for symbol, value, extra in runs:
+        if len(kinds) > 1:
+            w.put(*codes[symbol])
+        w.put(value, extra)
+
+
+def _canonical(lengths: list[int]) -> dict[int, tuple[int, int]]:
+    """(code, bits) of each symbol, the code with its first bit lowest."""
+    out, code, last = {}, 0, 0
+    for n, s in sorted((n, s) for s, n in enumerate(lengths) if n):
+        code <<= n - last
+        out[s] = int(f"{code:0{n}b}"[::-1], 2), n
+        code, last = code + 1, n
+    return out
+
+
+def _lengths_of(weights: list[int]) -> list[int]:
+    return _lengths(weights) if len(weights) > 1 else [1]
+
+
 class Model:
-    """A green code and the header bits that announce it, with literals only."""
+    """A code for green samples, lengths and cache entries, one for distances, and their header."""
 
-    def __init__(self, lengths: list[int]) -> None:
+    def __init__(self, weights: list[int], cache: int = 0) -> None:
+        lengths = _lengths(weights[:256] + [max(1, sum(weights) // 600)] * 24 + weights[256:])
+        distance = _lengths([1 if s < 12 else 40 for s in range(40)])
         head = Writer()
-        head.put(0, 3)  # no transform, no colour cache, no entropy image
-        head.put(0, 1)
-        # Code lengths are written by a flat code of 16 symbols of 4 bits.
-        head.put(15, 4)
-        for k in LENGTH_ORDER:
-            head.put(4 if k < 16 else 0, 3)
-        head.put(0, 1)
-        for n in lengths + [0] * 24:
-            head.put(int(f"{n:04b}"[::-1], 2), 4)
-        for symbol in (0, 0, 255, 0):
+        if cache:
             head.put(1, 1)
+            head.put(cache, 4)
+        else:
             head.put(0, 1)
-            head.put(1, 1)
-            head.put(symbol, 8)
+        self.cache = cache
+        head.put(0, 1)  # no entropy image
+        for code in (lengths, [1], [1], [0] * 255 + [1], distance):
+            _write_code(head, code)
         self.head = head
-        self.size = np.array(lengths, "u1")
-        self.bits = np.zeros(256, "u8")
-        code = last = 0
-        for n, s in sorted((n, s) for s, n in enumerate(lengths)):
-            code <<= n - last
-            self.bits[s] = int(f"{code:0{n}b}"[::-1], 2)
-            code, last = code + 1, n
+        green, far = _canonical(lengths), _canonical(distance)
+        self.size = np.array([green[s][1] for s in range(len(lengths))], "i8")
+        self.bits = np.array([green[s][0] for s in range(len(lengths))], "u8")
+        self.far_size = np.array([far[s][1] for s in range(40)], "i8")
+        self.far_bits = np.array([far[s][0] for s in range(40)], "u8")
 
 
 _MODELS: list[Model] = []
+CACHE = 6
 
 
 def _models() -> list[Model]:
     if not _MODELS:
-        _MODELS.extend((Model(_lengths(_prior())), Model([8] * 256)))
+        _MODELS.extend((Model(_prior()), Model([100] * 256), Model([4] * 256 + [400] * (1 << CACHE), CACHE)))
     return _MODELS
 
 
-def _picture(data: np.ndarray) -> bytes:
-    """One RIFF file with the samples of ``data``, a multiple of TILE long."""
-    width = 24 if len(data) <= 24 * 16384 else 576
-    model, total = min(((m, int(m.size[data].sum(dtype="i8"))) for m in _models()), key=lambda x: x[1])
-    top = Writer()
-    for value, n in ((0x2F, 8), (width - 1, 14), (len(data) // width - 1, 14), (0, 4)):
-        top.put(value, n)
+#: Bytes that must recur for a back-reference; the most it copies; how far back it may point.
+LEAST, MOST, REACH = 10, 4096, (1 << 20) - 120
+_KEY = 8
+
+
+def repeats(data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Start, length and distance of back-references, not overlapping, in order.
+
+    Each place meets the last one before it with the same 8 bytes; neighbours with one distance are one
+    repeat.
+    """
+    n = len(data) - _KEY + 1
+    if n < 2:
+        return (np.empty(0, "i8"),) * 3
+    key = np.lib.stride_tricks.as_strided(np.frombuffer(data.tobytes(), "u1"), (n, _KEY), (1, 1)).copy().view("u8").ravel()
+    order = np.argsort(key, kind="stable")
+    same = np.flatnonzero(key[order[1:]] == key[order[:-1]])
+    back = np.zeros(n, "i8")
+    back[order[same + 1]] = order[same + 1] - order[same]
+    back[back > REACH] = 0
+    edge = np.flatnonzero(np.concatenate(([True], back[1:] != back[:-1], [True])))
+    start, size, far = edge[:-1], np.diff(edge), back[edge[:-1]]
+    good = (far > 0) & (size + _KEY - 1 >= LEAST)
+    start, end, far = start[good].tolist(), (start + size + _KEY - 1)[good].tolist(), far[good].tolist()
+    out, at = [], 0
+    for a, b, d in zip(start, end, far):
+        a = max(a, at)
+        while b - a >= LEAST:
+            m = min(b - a, MOST)
+            out.append((a, m, d))
+            a += m
+            at = a
+    if not out:
+        return (np.empty(0, "i8"),) * 3
+    return tuple(np.array(out, "i8").T)
+
+
+def _prefix(value: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Symbol, extra bits and their number of lengths or distances."""
+    x = value - 1
+    high = np.maximum(np.frexp(np.maximum(x, 1).astype("f8"))[1] - 1, 1)
+    n = np.where(x < 4, 0, high - 1)
+    return np.where(x < 4, x, 2 * high + (x >> high - 1 & 1)), x & (1 << n) - 1, n
+
+
+def _recent(data: np.ndarray) -> np.ndarray:
+    """The cache entry that holds each sample when its turn comes, or -1."""
+    slot = ((np.arange(256, dtype="u8") << np.uint64(8) | np.uint64(0xFF000000)) * np.uint64(HASH) & np.uint64(0xFFFFFFFF)) >> np.uint64(32 - CACHE)
+    own = slot.astype("u1")[data]
+    order = np.argsort(own, kind="stable")
+    hit = np.zeros(len(data), bool)
+    hit[order[1:]] = (own[order[1:]] == own[order[:-1]]) & (data[order[1:]] == data[order[:-1]])
+    return np.where(hit, own.astype("i8"), -1)
+
+
+def _coded(data: np.ndarray) -> tuple[Model, np.ndarray, np.ndarray]:
+    """The model with the fewest bits, and the codes and sizes that it writes for the samples."""
+    start, length, far = repeats(data)
+    keep = np.ones(len(data), bool)
+    if len(start):
+        inside = np.zeros(len(data) + 1, "i8")
+        np.add.at(inside, start, 1)
+        np.add.at(inside, start + length, -1)
+        keep = np.cumsum(inside[:-1]) == 0
+        keep[start] = True
+    at = np.flatnonzero(keep)
+    j = np.searchsorted(at, start)
+    run, far = _prefix(length), _prefix(far + 120)
+    literal = np.bincount(data[keep if not len(start) else np.delete(at, j)], minlength=256)
+    best = None
+    for model in _models():
+        copies = int((model.size[256 + run[0]] + run[2] + model.far_size[far[0]] + far[2]).sum()) if len(start) else 0
+        entry = None
+        if model.cache:
+            # Not even if every literal came from the cache.
+            if model.head.n + copies + int(literal.sum()) * int(model.size[280:].min()) >= best[0]:
+                continue
+            entry = _recent(data)[at]
+            symbol = np.where(entry >= 0, 280 + entry, data[at])
+            total = model.head.n + copies + int(model.size[symbol if not len(start) else np.delete(symbol, j)].sum())
+        else:
+            total = model.head.n + copies + int(model.size[:256] @ literal)
+        if best is None or total < best[0]:
+            best = total, model, entry
+    _, model, entry = best
+    symbol = data[at].astype("i8") if entry is None else np.where(entry >= 0, 280 + entry, data[at])
+    code, size = model.bits[symbol], model.size[symbol]
+    if len(start):
+        s, extra, n = run
+        code[j], size[j] = model.bits[256 + s] | extra.astype("u8") << model.size[256 + s].astype("u8"), model.size[256 + s] + n
+        s, extra, n = far
+        code[j] |= (model.far_bits[s] | extra.astype("u8") << model.far_size[s].astype("u8")) << size[j].astype("u8")
+        size[j] += model.far_size[s] + n
+    return model, code, size
+
+
+def _palette(top: Writer, values: np.ndarray) -> None:
+    """The colour-indexing transform of samples with these values, coded as their differences."""
+    top.put(1, 1)
+    top.put(3, 2)
+    top.put(len(values) - 1, 8)
+    top.put(0, 1)  # no colour cache
+    steps = [int(values[0]), *np.diff(values).tolist()]
+    kinds = sorted(set(steps))
+    lengths = [0] * 280
+    for s, n in zip(kinds, _lengths_of([steps.count(s) for s in kinds])):
+        lengths[s] = n
+    opaque = [1] + [0] * 254 + [1] if len(values) > 1 else [0] * 255 + [1]
+    for code in (lengths, [1], [1], opaque, [1]):
+        _write_code(top, code)
+    codes = _canonical(lengths)
+    for k, s in enumerate(steps):
+        if len(kinds) > 1:
+            top.put(*codes[s])
+        if len(values) > 1:
+            top.put(0 if k else 1, 1)
+
+
+def _body(top: Writer, data: np.ndarray) -> bytes:
+    """What ``top`` holds and then the samples."""
+    model, code, size = _coded(data)
+    top.put(0, 1)  # no further transform
     top.put(model.head.value, model.head.n)
-    skip, n_bits = top.n, top.n + total
-    size = model.size[data].astype("i8")
+    skip, n_bits = top.n, top.n + int(size.sum())
     place = np.cumsum(size) - size + (skip & 63)
     word, off = place >> 6, (place & 63).astype("u8")
-    code = model.bits[data]
     first = np.flatnonzero(np.concatenate(([True], word[1:] != word[:-1])))
     words = np.zeros(int(word[-1]) + 2, "u8")
     words[word[first]] = np.add.reduceat(code << off, first)
@@ -441,7 +730,27 @@ def _picture(data: np.ndarray) -> bytes:
     whole = top.value >> (skip >> 6 << 6)
     words[0] |= np.uint64(whole)
     body = (top.value & (1 << (skip >> 6 << 6)) - 1).to_bytes(skip >> 6 << 3, "little") + words.astype("<u8").tobytes()
-    body = body[: n_bits + 7 >> 3]
+    return body[: n_bits + 7 >> 3]
+
+
+def _picture(data: np.ndarray) -> bytes:
+    """One RIFF file with the samples of ``data``, a multiple of TILE long."""
+    width = 24 if len(data) <= 24 * 16384 else 576
+
+    def top() -> Writer:
+        w = Writer()
+        for value, n in ((0x2F, 8), (width - 1, 14), (len(data) // width - 1, 14), (0, 4)):
+            w.put(value, n)
+        return w
+
+    body = _body(top(), data)
+    values = np.flatnonzero(np.bincount(data, minlength=256))
+    if len(values) <= 16:
+        per = 8 if len(values) <= 2 else 4 if len(values) <= 4 else 2
+        index = np.searchsorted(values, data).reshape(-1, per)
+        packed = top()
+        _palette(packed, values)
+        body = min(body, _body(packed, (index << np.arange(per) * (8 // per)).sum(1).astype("u1")), key=len)
     pad = b"\0" * (len(body) & 1)
     return b"RIFF" + (12 + len(body) + len(pad)).to_bytes(4, "little") + b"WEBPVP8L" + len(body).to_bytes(4, "little") + body + pad
 
@@ -452,91 +761,17 @@ def store(payload: bytes) -> bytes:
     return b"".join(_picture(data[k : k + FULL]) for k in range(0, len(data), FULL))
 
 
-class Green:
-    """Pictures of green literals alone: several symbols from each window of 16 bits."""
-
-    def __init__(self, code: Code) -> None:
-        window = np.arange(1 << 16)
-        self.used, self.count = np.zeros(1 << 16, "i8"), np.zeros(1 << 16, "i8")
-        self.symbols = np.zeros((1 << 16, 8), "u1")
-        for k in range(8):
-            rest = window >> self.used & 0x7FFF
-            n = code.size[rest].astype("i8")
-            fits = (self.used + n <= 16) & (self.count == k)
-            self.symbols[fits, k] = code.symbol[rest[fits]]
-            self.count += fits
-            self.used += np.where(fits, n, 0)
-        self.advance = self.used.astype("u1").tobytes()
-
-    def read(self, data: bytes, at: int, total: int) -> np.ndarray:
-        out, left = [], total
-        b = np.frombuffer(data + b"\0\0\0\0", "u1").astype("u4")
-        block = 1 << 16
-        while left > 0:
-            base = at >> 3
-            part = b[base : base + block + 2]
-            if len(part) < 3:
-                raise ValueError("the stream ends too early")
-            joined = part[:-2] | part[1:-1] << 8 | part[2:] << 16
-            windows = np.empty((len(joined), 8), "u2")
-            for k in range(8):
-                windows[:, k] = joined >> k
-            view, end = memoryview(windows.ravel()), len(joined) * 8
-            p, seen, advance = at - base * 8, [], self.advance
-            note = seen.append
-            while p < end:
-                w = view[p]
-                note(w)
-                p += advance[w]
-            seen = np.array(seen, "u2")
-            count = self.count[seen]
-            got = self.symbols[seen][np.arange(8) < count[:, None]]
-            # Steps beyond what is left may have run into the padding.
-            out.append(got[:left])
-            left -= len(out[-1])
-            at = base * 8 + p
-        return np.concatenate(out)
-
-
-#: What follows the sizes in pictures read before: (bits of the header, their number, reader).
-_SEEN: list[tuple[int, int, Green]] = []
-
-
-def _green(data: bytes) -> np.ndarray | None:
-    """Samples of a picture with literals in green alone under one code, else None."""
-    if data[0] != 0x2F or data[4] >> 5 or len(data) < 8:
-        return None
-    width, height = (int.from_bytes(data[1:5], "little") & 0x3FFF) + 1, (int.from_bytes(data[1:5], "little") >> 14 & 0x3FFF) + 1
-    for head, n, reader in _SEEN:
-        if int.from_bytes(data[5 : 5 + (n + 7 >> 3)], "little") & (1 << n) - 1 == head:
-            return reader.read(data, 40 + n, width * height)
-    bits = Bits(data, 40)
-    if bits.read(3):
-        return None
-    codes = [read_code(bits, n) for n in _alphabets(0)]
-    if any(codes[0].lengths[256:]) or codes[0].single is not None or [c.single for c in codes[1:4]] != [0, 0, 255]:
-        return None
-    n = bits.at - 40
-    if len(_SEEN) < 8:
-        _SEEN.append((int.from_bytes(data[5 : 5 + (n + 7 >> 3)], "little") & (1 << n) - 1, n, Green(codes[0])))
-    return Green(codes[0]).read(data, bits.at, width * height)
-
-
-def load(media: bytes) -> bytes:
-    """The payload of ``store``."""
+def load(media: bytes) -> np.ndarray:
+    """The payload of ``store``: the green samples of its pictures, row by row."""
     out, at = [], 0
     while at < len(media):
         data, at = chunk(media, at)
-        part = _green(data)
-        if part is None:
-            part = np.array([p >> 8 & 255 for p in decode(data)[2]], "u1")
-        out.append(part.tobytes())
-    return b"".join(out)
+        out.append((decode(data)[2] >> 8).astype("u1"))
+    return np.concatenate(out)
 
 
-def feature(payload: bytes) -> str:
-    """Mean, deviation and share of neighbours that are equal, of the samples."""
-    x = np.frombuffer(payload, "u1")
+def feature(x: np.ndarray) -> str:
+    """Mean, deviation and share of neighbours that are equal, of the samples read back."""
     return f"mean={x.mean():.3f};std={x.std():.3f};flat={np.count_nonzero(x[1:] == x[:-1]) / (len(x) - 1):.4f}"
 
 
@@ -558,8 +793,9 @@ def media(documents: DataFrame, keep_media: bool = False) -> DataFrame:
             rows = []
             for text in batch.column("__raw").to_pylist():
                 stored = store(payload_of(text))
-                back = load(stored)
-                row = (len(text), len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-32:]), len(stored), hashlib.sha256(stored).hexdigest(), feature(back))
+                pixels = load(stored)
+                back = pixels.tobytes()
+                row = (len(text), len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-32:]), len(stored), hashlib.sha256(stored).hexdigest(), feature(pixels))
                 rows.append((*row, stored) if keep_media else row)
             kinds = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.binary()]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(c, k) for c, k in zip(zip(*rows), kinds))], schema.names)
