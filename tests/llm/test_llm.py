@@ -360,7 +360,7 @@ def test_webp_round_trip_and_damage():
         "": ([], 0),
         "a": ([], 0),
         "".join(rnd.choices("01", k=2000)): ([3], webp.CACHE),
-        "".join(rnd.choices("0123456789-", k=2000)): ([3], webp.CACHE),
+        "".join(rnd.choices("0123456789-", k=2000)): ([3], 0),
         LONG: ([], 0),
         far.decode() * 2 + "unlike" + "x" * 9000: ([], 0),
         "".join(rnd.choice("абвгдежзийклмнопрстуфхц") for _ in range(4000)): ([], webp.CACHE),
