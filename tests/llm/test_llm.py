@@ -3,6 +3,7 @@
 import hashlib
 import math
 import random
+import re
 import zlib
 from collections import Counter
 
@@ -86,16 +87,83 @@ def test_bpe_operator_returns_ids_and_text(spark, docs):
     assert sorted((-1 if r.doc_id is None else r.doc_id, r.n_tokens, r.ids_sha256, r.decoded_sha256) for r in bpe.encode_digests(docs).collect()) == sorted((i, len(a) // 4, digest(a), digest(b)) for i, a, b in want)
 
 
-def test_secrets_base_and_battery(spark):
-    rnd = random.Random(2)
-    alphabet = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"
-    key = "".join(rnd.choice(alphabet) for _ in range(64))
-    texts = [f"é {key} end", "secret=token: abcdefgh", "Api_Key = 'abcdef' AKIA" + "A1" * 9, "deadbeef" * 4, "Internationalization-of-everything/in-the-world-of-words"]
-    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+BASE64 = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"
+
+
+def base_findings(text):
+    """The base findings by Python's own patterns."""
+    found = [(m.start(), 0, m.end()) for m in re.finditer(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", text, re.I | re.A) if len(m[2]) >= 6]
+    found += [(m.start(), 1, m.end()) for m in re.finditer("AKIA[A-Z0-9]+", text) if len(m[0]) >= 20]
+    found += [(m.start(), 2, m.end()) for m in re.finditer("[0-9a-f]+", text) if len(m[0]) >= 24]
+    return sorted(found)
+
+
+def test_secrets_base_against_an_independent_scan(spark):
+    rnd = random.Random(13)
+    parts = ["password", "PassWD", "token=", "api_key", "ApiKey: ", "secret", "'", '"', " ", "=", ":", "é", "😀", "\n", "\u212a", "\u017f", "AKIA", "A1B2" * 5, "deadbeef" * 3, "0f" * 11, "abc", "x.y-z", "Z9", "-", "AKIAAKIA", "ABCDEFGH"]
+    texts = [(k, "".join(rnd.choices(parts, k=rnd.randrange(60)))) for k in range(300)] + [(1000, None), (1001, "é" + " token=abcdef AKIA" * 900)]
+    df = spark.createDataFrame(texts, "doc_id long, text string")
     got = {r.doc_id: r for r in secrets.report(df).collect()}
-    assert got[0].spans == "random:2:66" and got[0].base_sha256 == hashlib.sha256(b"").hexdigest()
-    assert got[1].n_assign == 0 and got[2].n_assign == got[2].n_access == 1 and got[3].n_hex == 1 and got[4].spans == ""
-    assert secrets.redact(df).filter("doc_id = 0").first().text == "é [SECRET] end"
+    for k, text in texts:
+        want, name = base_findings(text or ""), ("assign", "access", "hex")
+        assert [got[k].n_assign, got[k].n_access, got[k].n_hex] == [sum(f[1] == j for f in want) for j in range(3)]
+        assert got[k].base_sha256 == hashlib.sha256(",".join(f"{name[j]}:{a}:{b}" for a, j, b in want).encode()).hexdigest()
+    clean = {r.doc_id: r.text for r in secrets.redact(df).collect()}
+    assert clean[1000] is None
+    for k, text in texts:
+        spans, out, at = [list(map(int, x.split(":")[1:])) for x in got[k].spans.split(",") if x], [], 0
+        for a, b in spans:
+            out += [text[at:a], "[SECRET]"] if a >= at else []
+            at = max(at, b)
+        assert text is None or clean[k] == "".join(out) + text[at:]
+
+
+def test_secrets_battery_finds_planted_keys_by_length(spark):
+    """Keys of 20 to 128 characters among as many runs of joined words; the share of text among what is found."""
+    rnd = random.Random(2)
+    syllables = [a + b for a in "bcdfglmnprst" for b in ("a", "e", "i", "o", "en", "ar")]
+    word = lambda: "".join(rnd.choices(syllables, k=rnd.randrange(2, 6)))
+    rows, truth = [], {}
+    for n in (20, 32, 48, 64, 128):
+        for j in range(60):
+            key = "".join(rnd.choices(BASE64, k=n))
+            prose = ""
+            while len(prose) < n:
+                prose += word().title()
+            for kind, run in (("key", key), ("text", prose[:n])):
+                truth[len(rows)] = n, kind, 2 + len(run)
+                rows.append((len(rows), f"é {run} end " + " ".join(word() for _ in range(30))))
+    rows.append((len(rows), "Internationalization-of-everything/in-the-world-of-words"))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r.spans for r in secrets.report(df).collect()}
+    found = {k: got[k] == f"random:2:{end}" for k, (_, _, end) in truth.items()}
+    share = lambda n, kind: sum(found[k] for k, t in truth.items() if t[:2] == (n, kind)) / 60
+    assert share(20, "key") >= 0.3 and all(share(n, "key") >= 0.9 for n in (32, 48, 64, 128)) and got[len(rows) - 1] == ""
+    assert sum(share(n, "text") for n in (20, 32, 48, 64, 128)) <= 0.1 * sum(share(n, "key") for n in (20, 32, 48, 64, 128))
+
+
+def test_secrets_battery_against_a_plain_one(spark):
+    """The statistics of single runs by plain Python."""
+    rnd = random.Random(14)
+    model = secrets.text_model(np.zeros((64, 64)))
+    runs = ["".join(rnd.choices(a, k=n)) for _, _, a in secrets.ENCODINGS for n in (20, 45)]
+    df = spark.createDataFrame([(k, r) for k, r in enumerate(runs)], "k long, text string").select("k", secrets.runs(model).alias("r"))
+    for k, r in enumerate(df.orderBy("k").collect()):
+        t, run = r.r[0].t, runs[k]
+        e = next(j for j, (_, pattern, _) in enumerate(secrets.ENCODINGS) if re.search(pattern, run))
+        a, (s2, s3, q, rho) = secrets.ENCODINGS[e][2], model[e]
+        x, n, size = np.array([a.index(c) + 1 for c in run]), len(run), len(a)
+        count, high = np.bincount(x), x > (size + 1) / 2
+        chi = ((count[1:] - n / size) ** 2 / (n / size)).sum() + (size - len(count) + 1) * n / size
+        changes, up = int((high[1:] != high[:-1]).sum()), int(high.sum())
+        mean = 2 * up * (n - up) / n + 1
+        serial = ((x[1:] - x.mean()) * (x[:-1] - x.mean())).sum() / ((x - x.mean()) ** 2).sum() + 1 / n
+        random_z = ((chi / (size - 1)) ** (1 / 3) - 1 + 2 / (9 * (size - 1))) / math.sqrt(2 / (9 * (size - 1))), abs(changes + 1 - mean) / math.sqrt((mean - 1) * (mean - 2) / (n - 1)), abs(serial) * math.sqrt(n)
+        wide, side, above = math.sqrt(2 * n * (n - 1) * (s2 + 2 * (n - 2) * s3 - (2 * n - 3) * s2**2)), math.sqrt((n - 1) * q * (1 - q)), size // 2 / size
+        z = np.array([((count * (count - 1)).sum() - n * (n - 1) * s2) / wide, (changes - (n - 1) * q) / side, (serial - rho) * math.sqrt(n)])
+        far = np.array([n * (n - 1) * (1 / size - s2) / wide, (n - 1) * (2 * above * (1 - above) - q) / side, -rho * math.sqrt(n)])
+        ok = max(random_z) <= secrets.PASS_Z
+        assert (t.n, t.ok) == (n, ok) and abs(t.z - (z @ far / math.sqrt(far @ far + 1e-9) if ok else 0)) < 1e-6
 
 
 def test_secrets_tests_lower_case_runs_of_every_length(spark):
@@ -103,12 +171,18 @@ def test_secrets_tests_lower_case_runs_of_every_length(spark):
     tokens = ["".join(rnd.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(45)) for _ in range(40)]
     prose = "internationalisationofeverythingintheworld"
     df = spark.createDataFrame([(k, f"see {t} end") for k, t in enumerate([*tokens, prose])], "doc_id long, text string")
-    assert df.select(secrets.runs(df).alias("r")).filter("size(r) = 1").count() == 41
+    model = secrets.text_model(secrets.neighbours(df))
+    assert df.select(secrets.runs(model).alias("r")).filter("size(r) = 1").count() == 41
     got = {r.doc_id: r.spans for r in secrets.report(df).collect()}
     assert sum(got[k] == "random:4:49" for k in range(40)) >= 30 and got[40] == ""
     assert secrets.redact(df).filter("text = 'see [SECRET] end'").count() >= 30
 
 
+def test_redaction_keeps_columns_of_any_name(spark):
+    df = spark.createDataFrame([(1, "token=abcdef", "b", "s", "x")], "doc_id long, text string, base string, spans string, __base string")
+    assert secrets.redact(df).collect() == [(1, "[SECRET]", "b", "s", "x")]
+
+
 def test_decontamination_against_brute_force(spark):
     rnd = random.Random(3)
     word = lambda: rnd.choice("abcd")
