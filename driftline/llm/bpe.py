@@ -8,10 +8,12 @@ once. Two tokens are compatible if merging their concatenation by rank would lea
 the answers are kept in a bounded table. The result is exactly the ranked merges' one.
 
 Normalisation, as in the tokenizer's file: the special tokens are split off first; then NFC, white space
-to one blank, each character lower-cased alone; then words by pattern. Decoding without a decoder joins
-the token strings with blanks.
+to one blank, each character lower-cased alone; then words by pattern. The tables of Unicode behind this
+differ in age between Python and the tokenizers library: the driver compares both on every assigned
+character, and texts with one that the two read differently, or that Python's tables don't know, are cut into
+words by the library's normaliser and pre-tokenizer. Decoding without a decoder joins the token strings with blanks.
 
-Scale: one Arrow pass, no shuffle. The vocabulary is loaded once per Python process from its path, which
+Scale: one Arrow pass, no shuffle, with a broadcast of 136 KB for the odd characters. The vocabulary is loaded once per Python process from its path, which
 every executor must see, as for any installed package. Caches are bounded.
 
 Defined results: null and empty texts have no tokens and decode to the empty text; the digests are then
@@ -46,6 +48,43 @@ def byte_characters() -> list[str]:
     return [chr(b) if b in seen else chr(next(extra)) for b in range(256)]
 
 
+def odd_characters(path: str) -> bytes:
+    """A bit for each code point: whether Python and the tokenizers library may read it differently."""
+    if path not in _ODD:
+        from tokenizers import Tokenizer as Library
+
+        library, own = Library.from_file(path), tokenizer(path)
+        odd = np.array([not 0xD800 <= c < 0xE000 and unicodedata.category(chr(c)) in ("Cn", "Co") for c in range(0x110000)])
+        known = [c for c in range(0x110000) if not odd[c] and not 0xD800 <= c < 0xE000]
+        text = " ".join(f"a{chr(c)}b" for c in known)
+        # Each character stands between letters; its pieces are told apart by the blanks before them.
+        theirs, mine, byte_of = [[]], [[]], {c: b for b, c in enumerate(byte_characters())}
+        plain = library.normalizer.normalize_str(text)
+        last = 0
+        for piece, (start, end) in library.pre_tokenizer.pre_tokenize_str(plain):
+            if " " in plain[last:start]:
+                theirs.append([])
+            theirs[-1].append(bytes(byte_of[c] for c in piece))
+            last = end
+        plain, last = own.normal(text), 0
+        for m in own.pattern.finditer(plain):
+            if own.space.search(plain, last, m.start()):
+                mine.append([])
+            mine[-1].append(m[0].encode())
+            last = m.end()
+        if theirs != mine:
+            # Rare: then one by one.
+            for c in known:
+                t = f"a{chr(c)}b"
+                a = [bytes(byte_of[x] for x in p) for p, _ in library.pre_tokenizer.pre_tokenize_str(library.normalizer.normalize_str(t))]
+                odd[c] = a != [p.encode() for p in own.pattern.findall(own.normal(t))]
+        _ODD[path] = np.packbits(odd).tobytes()
+    return _ODD[path]
+
+
+_ODD: dict[str, bytes] = {}
+
+
 class Tokenizer:
     """A vocabulary with ranked merges and a word-end suffix, read from a tokenizers JSON file."""
 
@@ -58,11 +97,13 @@ class Tokenizer:
         pattern = next(p["pattern"]["Regex"] for p in spec["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split")
         self.pattern = regex.compile(pattern)
         special = {t["content"]: t["id"] for t in spec["added_tokens"]}
-        self.special = special
+        self.special, self.path = special, path
+        self.odd: np.ndarray | None = None
+        self.space = regex.compile(r"\s")
         self.split_special = regex.compile("(" + "|".join(map(regex.escape, sorted(special, key=len, reverse=True))) + ")") if special else None
 
         chars = byte_characters()
-        byte_of = {c: b for b, c in enumerate(chars)}
+        self.byte_of = byte_of = {c: b for b, c in enumerate(chars)}
 
         def atoms(token: str) -> str:
             ends = token.endswith(suffix) and len(token) > len(suffix)
@@ -111,6 +152,7 @@ class Tokenizer:
         pieces = [names.get(i, "").encode() + b" " for i in range(max(names) + 1)]
         self.offsets = np.concatenate(([0], np.cumsum([len(p) for p in pieces]))).astype("i8")
         self.table = np.frombuffer(b"".join(pieces), "u1")
+        self._theirs = None
         self._word: dict[str, bytes] = {}
         self._older: dict[str, bytes] = {}
         self._fits: dict[tuple[int, int], bool] = {}
@@ -187,25 +229,41 @@ class Tokenizer:
                 at -= size[token]
                 token = shorter.get(token)
 
-    def _piece(self, piece: str) -> bytes:
-        data = piece.encode().decode("latin-1")
+    def _piece(self, piece: bytes) -> bytes:
+        data = piece.decode("latin-1")
         return array("I", self.merge(data[:-1] + chr(ord(data[-1]) + 256))).tobytes()
 
+    @staticmethod
+    def normal(text: str) -> str:
+        if text.isascii():
+            return text.lower()
+        # Only capital sigma has a lower case that depends on its place.
+        return unicodedata.normalize("NFC", text).replace("\u03a3", "\u03c3").lower()
+
+    def pieces(self, text: str) -> list[str]:
+        """The words of a text without special tokens."""
+        if self.odd is not None and not text.isascii() and self.odd[np.frombuffer(text.encode("utf-32-le", "replace"), "<u4")].any():
+            library = self._library()
+            plain = library.normalizer.normalize_str(text)
+            return [bytes(self.byte_of[c] for c in piece).decode() for piece, _ in library.pre_tokenizer.pre_tokenize_str(plain)]
+        return self.pattern.findall(self.normal(text))
+
+    def _library(self):
+        if self._theirs is None:
+            from tokenizers import Tokenizer as Library
+
+            self._theirs = Library.from_file(self.path)
+        return self._theirs
+
     def encode_plain(self, text: str) -> bytes:
         """Ids of a text without special tokens, packed as little-endian 32-bit numbers."""
-        if text.isascii():
-            text = text.lower()
-        else:
-            text = unicodedata.normalize("NFC", text)
-            # Only capital sigma and dotted capital I have a lower case that depends on their place.
-            text = text.replace("\u03a3", "\u03c3").lower()
         cache, out = self._word, []
-        for piece in self.pattern.findall(text):
+        for piece in self.pieces(text):
             got = cache.get(piece)
             if got is None:
                 got = self._older.get(piece)
                 if got is None:
-                    got = self._piece(piece)
+                    got = self._piece(piece.encode())
                 if len(piece) < 64:
                     if len(cache) >= CACHE_WORDS:
                         self._older, self._word = cache, {}
@@ -215,7 +273,7 @@ class Tokenizer:
         return b"".join(out)
 
     def encode(self, text: str) -> bytes:
-        if self.split_special is None or "<|" not in text:
+        if not any(t in text for t in self.special):
             return self.encode_plain(text)
         return b"".join(self.special[p].to_bytes(4, "little") if p in self.special else self.encode_plain(p) for p in self.split_special.split(text))
 
@@ -235,10 +293,14 @@ class Tokenizer:
 _LOADED: dict[str, Tokenizer] = {}
 
 
-def tokenizer(path: str) -> Tokenizer:
+def tokenizer(path: str, odd: bytes | None = None) -> Tokenizer:
+    """The tokenizer of a file, loaded once a process; ``odd`` is what ``odd_characters`` says."""
     if path not in _LOADED:
         _LOADED[path] = Tokenizer(path)
-    return _LOADED[path]
+    out = _LOADED[path]
+    if odd is not None and out.odd is None:
+        out.odd = np.unpackbits(np.frombuffer(odd, "u1")).astype(bool)
+    return out
 
 
 def default_vocabulary() -> str:
@@ -252,9 +314,10 @@ def encode(documents: DataFrame, path: str | None = None, keep: tuple[str, ...]
     path = path or default_vocabulary()
     df = documents.select(*keep, raw().alias("__raw"))
     schema = df.select(*keep).schema.add("token_ids", "binary").add("decoded", "binary")
+    odd = documents.sparkSession.sparkContext.broadcast(odd_characters(path))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = tokenizer(path)
+        model = tokenizer(path, odd.value)
         for batch in chunks(batches, "__raw"):
             ids = [model.encode(t.decode("utf-8", "replace")) for t in batch.column("__raw").to_pylist()]
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array(ids, pa.binary()), pa.array(map(model.decode, ids), pa.binary())], [*keep, "token_ids", "decoded"])

@@ -64,7 +64,7 @@ def test_bpe_equals_the_library():
     from tokenizers import Tokenizer
 
     path = bpe.default_vocabulary()
-    mine, library = bpe.tokenizer(path), Tokenizer.from_file(path)
+    mine, library = bpe.tokenizer(path, bpe.odd_characters(path)), Tokenizer.from_file(path)
     rnd = random.Random(5)
     pool = "abcdeinorstABC 0123'é\u0301İΣσ \t\n\x1c\x85\u3000!@#<|endoftext|>日本😀ſ"
     for text in ["", "a<|endoftext|>b", "I'LL we've", LONG] + ["".join(rnd.choice(pool) for _ in range(rnd.randrange(50))) for _ in range(500)]:
@@ -73,6 +73,19 @@ def test_bpe_equals_the_library():
         assert mine.decode(mine.encode(text)).decode() == library.decode(ids, skip_special_tokens=False)
 
 
+def test_bpe_equals_the_library_on_every_code_point():
+    from tokenizers import Tokenizer
+
+    path = bpe.default_vocabulary()
+    mine, library = bpe.tokenizer(path, bpe.odd_characters(path)), Tokenizer.from_file(path)
+    points = [c for c in range(0x110000) if not 0xD800 <= c < 0xE000 and not 0x30000 <= c < 0xE0000 and c < 0xF0100]
+    texts = [f"A{chr(c)}b" for c in points]
+    for k in range(0, len(texts), 4096):
+        part = texts[k : k + 4096]
+        for text, got in zip(part, library.encode_batch(part, add_special_tokens=False)):
+            assert mine.encode(text) == np.array(got.ids, "<u4").tobytes(), hex(ord(text[1]))
+
+
 def test_bpe_operator_returns_ids_and_text(spark, docs):
     from tokenizers import Tokenizer
 
