@@ -14,8 +14,9 @@ these sums are shuffled. The model grows with the features that have a weight; s
 driver. The result depends a little on how rows are dealt over tasks. Scoring is one more pass.
 
 Defined results: null and empty texts are scored by their metadata and the bias; null metadata is a value
-of its own; without labels every score is 1 and all is kept; extra columns are ignored and, in ``keep``,
-returned as they were.
+of its own; without labels every score is 1 and all is kept; with labels of one class alone every score is
+the smoothed share of good ones among them; extra columns are ignored and, in ``keep``, returned as they
+were; a source or language is one feature, whatever characters it holds.
 """
 
 from __future__ import annotations
@@ -86,12 +87,12 @@ def _collect(sample: DataFrame) -> list[dict]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in chunks(batches, "__raw"):
             both = [views(*row) for row in zip(*(batch.column(c).to_pylist() for c in ("__raw", *_INPUT)))]
-            packed = [pa.array([b" ".join(sorted(x)) for x in view], pa.binary()) for view in zip(*both)]
+            packed = [pa.array([sorted(x) for x in view], pa.list_(pa.binary())) for view in zip(*both)]
             yield pa.RecordBatch.from_arrays([batch.column("h"), batch.column("quality"), *packed], ["h", "quality", "content", "meta"])
 
     df = sample.select(F.xxhash64(F.col("doc_id").cast("string"), F.lit("fold")).alias("h"), F.col("quality").cast("int").alias("quality"), raw().alias("__raw"), *_typed(sample))
-    rows = map_arrow(df, run, "h long, quality int, content binary, meta binary").toArrow()
-    return rows.sort_by([("h", "ascending"), ("content", "ascending")]).to_pylist()
+    rows = map_arrow(df, run, "h long, quality int, content array<binary>, meta array<binary>").toArrow().to_pylist()
+    return sorted(rows, key=lambda r: (r["h"], r["content"], r["meta"], r["quality"]))
 
 
 class Learner:
@@ -112,9 +113,15 @@ class Learner:
         w[free] = -z[free] * self.ALPHA / (self.BETA + root[free])
         return w
 
-    def learn(self, bag: Iterable[bytes], label: int) -> None:
+    def places(self, bag: Iterable[bytes]) -> list[int | None]:
+        """Where the features are in the tables; None for those not met yet."""
+        return list(map(self.index.get, bag))
+
+    def learn(self, bag: Iterable[bytes], label: int, places: list[int | None] | None = None) -> None:
         index = self.index
-        at = np.array([0, *[index.setdefault(w, len(index)) for w in bag]])
+        if places is None or None in places:
+            places = [index.setdefault(w, len(index)) for w in bag]
+        at = np.array([0, *places])
         if len(index) > len(self.z):
             more = np.zeros(len(index) + 1024)
             self.z, self.root, self.seen = np.append(self.z, more), np.append(self.root, more), np.append(self.seen, more.astype("i8"))
@@ -143,28 +150,40 @@ def _sums(weights: list[dict], keys: list[set], bias: list[float], bags) -> list
     return [bias[v] + math.fsum(map(weights[v].__getitem__, keys[v] & bag)) for v, bag in enumerate(bags)]
 
 
+def _union(start: tuple, weights: dict) -> tuple[tuple, np.ndarray]:
+    """The state of the fit to the labelled rows with room for every feature that has a weight, and the weights."""
+    names, z, root = start
+    known = set(names)
+    more = [w for w in weights if w not in known]
+    place = np.zeros(len(names) + len(more))
+    place[:] = [weights.get(w, 0.0) for w in [*names, *more]]
+    return ([*names, *more], np.append(z, np.zeros(len(more))), np.append(root, np.zeros(len(more)))), place
+
+
 def hand_over(documents: DataFrame, starts: list[tuple], weights: list[dict], bias: list[float]) -> DataFrame:
     """Parts (view, feature, c, cw) of both views, fitted to all documents of which the other view is sure.
 
     Every part goes on from ``starts``, the fit to the labelled rows.
     """
-    shared = documents.sparkSession.sparkContext.broadcast((starts, weights, bias))
+    shared = documents.sparkSession.sparkContext.broadcast(([_union(s, w) for s, w in zip(starts, weights)], bias))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        starts, weights, bias = shared.value
-        keys = [set(w) for w in weights]
-        learners = [Learner(s) for s in starts]
+        both, bias = shared.value
+        learners, known = [Learner(s) for s, _ in both], [len(s[0]) for s, _ in both]
         sure = math.log(SURE / (1 - SURE))
         for batch in chunks(batches, "__raw"):
             for row in zip(*(batch.column(c).to_pylist() for c in ("__raw", *_INPUT))):
                 bags = views(*row)
-                for v, s in enumerate(_sums(weights, keys, bias, bags)):
+                places = [x.places(bag) for x, bag in zip(learners, bags)]
+                for v in (0, 1):
+                    # Features beyond the first ones were met in this task and have no weight yet.
+                    s = bias[v] + float(both[v][1][[k for k in places[v] if k is not None and k < known[v]]].sum())
                     if abs(s) >= sure:
-                        learners[1 - v].learn(bags[1 - v], int(s > 0))
+                        learners[1 - v].learn(bags[1 - v], int(s > 0), places[1 - v])
             for v in (0, 1):
-                if len(learners[v].index) > len(starts[v][0]) + HELD:
+                if len(learners[v].index) > known[v] + HELD:
                     yield learners[v].part(v)
-                    learners[v] = Learner(starts[v])
+                    learners[v] = Learner(both[v][0])
         for v in (0, 1):
             if learners[v].rows:
                 yield learners[v].part(v)
@@ -173,10 +192,12 @@ def hand_over(documents: DataFrame, starts: list[tuple], weights: list[dict], bi
 
 
 def fit(rows: list[dict], fresh: DataFrame, rounds: int = ROUNDS):
-    """Weights of both views and the combining model, or None without labels."""
-    if len({r["quality"] for r in rows}) < 2:
+    """Weights of both views and the combining model; without labels None, with one class its smoothed share."""
+    if not rows:
         return None
-    bags = [[set(r[view].split(b" ")) - {b""} for view in ("content", "meta")] for r in rows]
+    if len({r["quality"] for r in rows}) < 2:
+        return (sum(r["quality"] for r in rows) + 1) / (len(rows) + 2)
+    bags = [[set(r[view]) for view in ("content", "meta")] for r in rows]
     y = np.array([r["quality"] for r in rows])
     back = np.array([r["h"] % 4 == 0 for r in rows])
     if len(set(y[back])) < 2 or len(set(y[~back])) < 2:
@@ -234,12 +255,12 @@ def score(documents: DataFrame, model, keep: tuple[str, ...] = ("doc_id",)) -> D
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
-        if model:
+        if isinstance(model, tuple):
             weights, bias, own, both = model
             keys = [set(w) for w in weights]
         for batch in chunks(batches, "__raw"):
-            p = np.ones((batch.num_rows, 3))
-            if model:
+            p = np.full((batch.num_rows, 3), 1.0 if model is None else model if isinstance(model, float) else 0.0)
+            if isinstance(model, tuple):
                 s = np.empty((batch.num_rows, 2))
                 for i, row in enumerate(zip(*(batch.column(c).to_pylist() for c in ("__raw", *("__" + n for n in _INPUT))))):
                     s[i] = _sums(weights, keys, bias, views(*row))
