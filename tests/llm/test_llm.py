@@ -283,16 +283,68 @@ def test_near_duplicate_recall_against_all_rows(spark, sf_dir):
     assert pairs and sum(of[a] == of[b] for a, b in pairs) >= 0.9 * len(pairs)
 
 
-def test_classifiers_learn(spark, sf_dir):
-    d, lab = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "labels"))
+def test_language_on_held_out_rows(spark, sf_dir):
+    d = spark.read.parquet(f"{sf_dir}/documents.parquet")
     lang = {r.doc_id: r.lang for r in d.collect()}
-    held = [r for r in langid.identify(d).collect() if r.held_out]
+    got = {r.doc_id: r for r in langid.identify(d).collect()}
+    held = [r for r in got.values() if r.held_out]
     assert sum(r.lang_pred == lang[r.doc_id] for r in held) >= 0.95 * len(held)
-    truth = {r.doc_id: r for r in lab.collect()}
-    tox = [r for r in toxicity.classify(d, lab).collect() if r.doc_id in truth]
-    assert sum(r.toxic == bool(truth[r.doc_id].toxic) for r in tox) >= 0.9 * len(tox)
-    good = [r for r in quality.classify(d, lab).collect() if r.doc_id in truth]
-    assert sum(r.keep == bool(truth[r.doc_id].quality) for r in good) >= 0.9 * len(good)
+    # Features by brute force.
+    text = "Été 12, ab\0Z"
+    row, feature, count, letter = langid.counts([text, "1", ""])
+    plain = " " + re.sub(r" +", " ", "".join(c if c.isalpha() else " " for c in text.lower())).strip() + " "
+    grams = Counter(plain[k : k + n] for n in (1, 2, 3) for k in range(len(plain) - n + 1))
+    assert sum(count[row == 0]) >= sum(grams.values()) - 4 and letter.tolist() == [True, False, False]
+
+
+def test_quality_and_toxicity_on_held_out_rows(spark, sf_dir):
+    """Fitted on even ids, scored on odd ones."""
+    d, lab = (spark.read.parquet(f"{sf_dir.replace('0.001', '0.01')}/{t}.parquet") for t in ("documents", "labels"))
+    truth = {r.doc_id: r for r in lab.filter("doc_id % 2 = 1").collect()}
+    fit = lab.filter("doc_id % 2 = 0")
+    good = [r for r in quality.classify(d, fit).collect() if r.doc_id in truth]
+    assert sum(r.keep == bool(truth[r.doc_id].quality) for r in good) >= 0.85 * len(good)
+    tox = [r for r in toxicity.classify(d, fit).collect() if r.doc_id in truth]
+    clean = [r for r in tox if not truth[r.doc_id].toxic]
+    assert sum(not r.toxic for r in clean) >= 0.98 * len(clean) and sum(r.toxic == bool(truth[r.doc_id].toxic) for r in tox) >= 0.85 * len(tox)
+
+
+def test_toxicity_chain_feeds_out_of_fold_probabilities(spark):
+    """Planted: ``rude`` shows in words; ``toxic`` is rude and shouting; the second link needs the first."""
+    rnd = random.Random(15)
+    rows = []
+    for k in range(600):
+        rude, loud = rnd.random() < 0.5, rnd.random() < 0.5
+        w = [f"n{rnd.randrange(60)}" for _ in range(8)] + [f"r{rnd.randrange(10)}"] * rude + [f"l{rnd.randrange(10)}"] * loud
+        rows.append({"words": b" ".join(x.encode() for x in sorted(set(w))), "rude": int(rude), "toxic": int(rude and loud)})
+    chain = ("rude", "toxic")
+    used, tails = toxicity.fit(rows[:400], chain)
+    assert tails[1][0] > 0.3 and len(tails[0]) == 1
+    # The operator's score by hand.
+    df = spark.createDataFrame([(k, r["words"].decode()) for k, r in enumerate(rows[400:])], "doc_id long, text string")
+    got = {r.doc_id: r for r in toxicity.score(df, (used, tails), chain).collect()}
+    right = 0
+    for k, r in enumerate(rows[400:]):
+        s = np.sum([used[w] for w in r["words"].split() if w in used] or [[0, 0]], 0)
+        p0 = 1 / (1 + math.exp(-(s[0] + tails[0][0])))
+        p1 = 1 / (1 + math.exp(-(s[1] + tails[1][0] * p0 + tails[1][1])))
+        assert abs(got[k].p_rude - p0) < 1e-9 and abs(got[k].p_toxic - p1) < 1e-9 and got[k].toxic == (p1 >= 0.5)
+        right += got[k].toxic == bool(r["toxic"])
+    assert right >= 0.8 * 200
+
+
+def test_quality_features_with_blanks_and_labels_of_one_class(spark):
+    rnd = random.Random(16)
+    rows = [(k, " ".join(rnd.choices("abcdefgh", k=20)), "en", "Common Crawl" if k % 2 else "Good Books", 40) for k in range(400)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    lab = spark.createDataFrame([(k, 1 - k % 2, 0) for k in range(300)], "doc_id long, quality int, toxic int")
+    weights = quality.train(d, lab)[0][1]
+    assert weights[b"m:source:Common Crawl"] < 0 < weights[b"m:source:Good Books"]
+    got = {r.doc_id: r.keep for r in quality.classify(d, lab).collect()}
+    assert sum(got[k] == (k % 2 == 0) for k in range(300, 400)) >= 95
+    for y in (0, 1):
+        one = quality.classify(d, lab.filter(f"quality = {y}")).select("score", "keep").distinct().collect()
+        assert len(one) == 1 and one[0].keep == bool(y) and abs(one[0].score - (150 * y + 1) / 152) < 1e-9
 
 
 def test_quality_learns_from_every_sure_document(spark):
