@@ -6,6 +6,7 @@ import random
 import re
 import zlib
 from collections import Counter
+from itertools import combinations
 
 import numpy as np
 import pytest
@@ -362,14 +363,70 @@ def test_quality_learns_from_every_sure_document(spark):
     assert all(weights.get(w.encode(), 0) * (1 if k % 2 else -1) > 0 for k, w in enumerate(rare))
 
 
-def test_url_rules_and_mining(spark):
-    urls = [(k, f"https://{'bad' if k % 2 else 'fine'}.site.org/en/{k}") for k in range(100)] + [(200, "http://a.Example.com/en/x"), (201, "http://www.example.com/en/"), (202, "//none"), (203, None), (204, "x://net/es/?q"), (205, "http://x.com")]
-    pages = spark.createDataFrame([(i, u, "h") for i, u in urls], "page_id long, url string, host string")
-    labels = spark.createDataFrame([(k, 0 if k % 2 else 1, 0) for k in range(80)], "doc_id long, quality int, toxic int")
-    got = {r.page_id: r for r in urlrules.judge(pages, labels).collect()}
-    assert got[99].verdict == "block" and got[99].mined == "host=bad" and got[98].verdict == "allow"
-    assert [got[k].rule for k in range(200, 206)] == ["example.com/en/", "www.example.com/en/", None, None, "net/es/", None]
-    assert (got[202].host, got[203].path, got[204].path) == ("", "", "/es/")
+def brute_rules(rows, least, confidence, lift):
+    """{(need, label): confidence} of the pruned rules, by counting every combination of token classes."""
+    where = {}
+    for k, (tokens, _) in enumerate(rows):
+        for t in tokens:
+            where.setdefault(t, set()).add(k)
+    where = {t: at for t, at in where.items() if len(at) >= urlrules.LEAST}
+    name = {t: min(u for u in where if where[u] == where[t]) for t in where}
+    names, found = sorted(set(name.values())), {}
+    for n in range(1, len(names) + 1):
+        for need in combinations(names, n):
+            at = set.intersection(*(where[t] for t in need))
+            for label in ("label=allow", "label=block"):
+                both = sum(rows[k][1] == label for k in at)
+                share = sum(y == label for _, y in rows) / len(rows)
+                if both >= least and both >= confidence * len(at) - 1e-9 and both / len(at) >= lift * share - 1e-9:
+                    found[need, label] = both / len(at)
+    return {(need, y): c for (need, y), c in found.items() if not any(z == y and set(part) < set(need) and d >= c for (part, z), d in found.items())}, name
+
+
+def test_url_rules_against_brute_force(spark):
+    rnd = random.Random(17)
+    rows = []
+    for k in range(500):
+        host = rnd.choice(["shop", "news", "m", "www"]) + "." + rnd.choice(["casino", "alpha", "beta"]) + ".org"
+        url = f"https://{host}/{rnd.choice(['en', 'it', 'pt'])}/{rnd.choice(['a', 'b', 'win'])}/{k}" + rnd.choice(["", "?ref=1", "?ref=2&page=1"])
+        odds = 0.9 if "casino" in url and "win" in url else 0.7 if "shop" in url and "page" in url else 0.15
+        rows.append((k, url, int(rnd.random() < odds)))
+    pages = spark.createDataFrame([(k, u, "x") for k, u, _ in rows], "page_id long, url string, tokens string")
+    labels = spark.createDataFrame([(k, 1 - bad, 0) for k, _, bad in rows[:400]], "doc_id long, quality int, toxic int")
+    split = pages.select("page_id", "url").withColumns({"host": urlrules.host(), "path": urlrules.path()}).withColumn("tokens", urlrules.tokens())
+    tokens = {r.page_id: r.tokens for r in split.collect()}
+    learned = [(tokens[k], "label=block" if bad else "label=allow") for k, _, bad in rows[:400]]
+    want, name = brute_rules(learned, max(urlrules.LEAST, 0.002 * 400), urlrules.CONFIDENCE, urlrules.LIFT)
+    got = {(tuple(r.need), r.label): r.confidence for r in urlrules.mine(split, labels)[0].collect()}
+    assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-9 for k in want)
+    assert {y for _, y in want} == {"label=block", "label=allow"} and any(len(need) > 1 for need, _ in want)
+    judged = {r.page_id: r for r in urlrules.judge(pages, labels).collect()}
+    for k, _, _ in rows:
+        held = {name[t] for t in tokens[k] if t in name}
+        best = min(((-c, y != "label=block", " & ".join(need), y[6:]) for (need, y), c in want.items() if held >= set(need)), default=(0, 0, None, "allow"))
+        assert (judged[k].mined, judged[k].verdict) == best[2:]
+
+
+def test_url_tokens_that_always_go_together_count_once(spark):
+    deep = "/".join(f"part{c}" for c in "abcdefghijklmnopqrstuvwxyz") * 1
+    pages = spark.createDataFrame([(k, f"https://x.org/{deep}" if k % 2 else f"https://y.org/{k}") for k in range(200)], "page_id long, url string")
+    labels = spark.createDataFrame([(k, 1 - k % 2, 0) for k in range(200)], "doc_id long, quality int, toxic int")
+    got = urlrules.judge(pages, labels).collect()
+    assert all(r.verdict == ("block" if r.page_id % 2 else "allow") and r.mined for r in got)
+
+
+def test_url_rules_on_awkward_and_empty_tables(spark):
+    urls = [(200, "http://a.Example.com/en/x"), (201, "http://www.example.com/en/"), (202, "//none"), (203, None), (204, "x://net/es/?q"), (205, "http://x.com"), (206, "://net/fr/x"), (206, "://net/fr/x"), (None, "http://a.net/fr"), (207, "http://" + "a" * 100000 + ".net/es/" + "b/" * 50000), (208, "HTTP://EXAMPLE.COM/en/?a://b"), (209, "")]
+    pages = spark.createDataFrame([(i, u, "h", "p", "r") for i, u in urls], "page_id long, url string, host string, path string, rule string")
+    labels = spark.createDataFrame([(200, 0, 0), (200, None, None), (None, 0, 1), (999, 0, 1)], "doc_id long, quality int, toxic int")
+    for lab in (labels, labels.limit(0)):
+        got = urlrules.judge(pages, lab).collect()
+        assert len(got) == len(urls)
+        by = {r.page_id: r for r in got}
+        assert [by[k].rule for k in (200, 201, 202, 203, 204, 205, 206, None, 207, 208, 209)] == ["example.com/en/", "www.example.com/en/", None, None, "net/es/", None, "net/fr/", None, "net/es/", "example.com/en/", None]
+        assert [by[k].verdict for k in (200, 201, 202, 203, 204, 205, 206, None, 209)] == ["block", "allow", "allow", "allow", "block", "allow", "block", "allow", "allow"]
+        assert (by[202].host, by[203].path, by[204].path, by[208].host) == ("", "", "/es/", "example.com")
+        assert urlrules.judge(pages.limit(0), lab).count() == 0
 
 
 def flat(w, alphabet, length):
