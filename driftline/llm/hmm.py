@@ -8,24 +8,25 @@ size: (SYMBOLS + CLASSES) x STATES numbers, however large the corpus.
 
 Training: token counts over all training texts, then ``ITERATIONS`` rounds of Baum-Welch. Each task runs
 scaled forward-backward over its texts in blocks sorted by length and emits its expected counts, which
-are summed by symbol. Scoring: one pass runs the scaled forward recursion on all texts; counts of the
-rare tokens come by a join on the token, pre-aggregated per text, and one aggregation per row sums up.
-
-Defined results: null and empty texts have the end alone; repeated rows are scored alone; an empty
-training set leaves the uniform model with N = V = 0; extra columns are ignored; a null ``doc_id`` reads
-as the empty text in the split. Training texts above ``SEGMENT`` tokens are trained as consecutive
-segments, all of them; scoring never cuts a text.
+are summed by symbol. The texts' symbols are found once and kept, two bytes a token. A text above ``PIECE`` tokens is cut for speed only: products of its pieces' transfer
+matrices give the forward variable that enters and the backward variable that leaves each piece, so that the
+counts and likelihoods are those of the whole text. Scoring: one pass runs the scaled forward recursion on all
+texts; counts of the rare tokens come by a join on the token, pre-aggregated per text, and one
+aggregation per text sums up. Texts are known by doc_id and a hash, not by their place, so that a task that
+is run again changes nothing.
+
+Defined results: null and empty texts have the end alone; repeated rows have equal results and are returned as
+often as they occur; an empty training set leaves the uniform model with N = V = 0; extra columns are
+ignored; a null ``doc_id`` reads as the empty text in the split.
 """
 
 from __future__ import annotations
 
-import math
 from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -34,11 +35,14 @@ from driftline.llm.arrowio import chunks, map_arrow, raw, remainder
 
 STATES = 6
 ITERATIONS = 3
-SYMBOLS = 1 << 16
 CLASSES = 32
-#: Tokens in one block of forward-backward, and the most tokens trained as one sequence.
+#: Symbols and classes together fit numbers of two bytes.
+SYMBOLS = (1 << 16) - CLASSES
+#: Tokens in one block of forward-backward, and in one piece of a text.
 BLOCK = 400_000
-SEGMENT = 1 << 15
+PIECE = 512
+#: Bins of token counts for each doubling, to find how many occurrences make a symbol.
+PER_DOUBLING = 16
 #: Distinct tokens a counting task holds before it emits partial counts.
 HELD = 400_000
 #: Added to each expected count, so that no symbol is impossible in a state.
@@ -98,14 +102,17 @@ class Block:
         self.x = np.empty(len(self.seq), flat.dtype)
         self.x[self.place] = flat[np.repeat(starts, self.sizes) + step]
 
-    def forward(self, pi: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Scaled forward variables, in place of the emissions, and the scale of each step."""
+    def forward(self, start: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Scaled forward variables, in place of the emissions, and the scale of each step.
+
+        ``start`` is the state distribution before the first step, one for all or one a sequence.
+        """
         alpha = b[self.x]
         scale = np.empty(len(self.x), b.dtype)
         off = self.offset.tolist()
-        ones = np.ones(len(pi), b.dtype)
+        ones = np.ones(len(a), b.dtype)
         cur = alpha[: off[1]]
-        cur *= pi
+        cur *= start if start.ndim == 1 else start[self.order]
         for t in range(len(off) - 1):
             lo, hi = off[t], off[t + 1]
             nxt = alpha[lo:hi]
@@ -117,34 +124,65 @@ class Block:
             cur = nxt
         return alpha, scale
 
-    def likelihoods(self, pi: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    def transfer(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Scaled matrices from the state before each sequence to the one at its end."""
+        emit, off, k = b[self.x].astype("f8"), self.offset.tolist(), len(a)
+        out = np.zeros((len(self.sizes), k, k))
+        out[:, range(k), range(k)] = 1.0
+        for t in range(len(off) - 1):
+            lo, hi = off[t], off[t + 1]
+            cur = out[: hi - lo]
+            if t:
+                cur = (cur.reshape(-1, k) @ a).reshape(-1, k, k)
+            cur = cur * emit[lo:hi, None, :]
+            out[: hi - lo] = cur / cur.sum((1, 2), keepdims=True)
+        back = np.empty_like(out)
+        back[self.order] = out
+        return back
+
+    def likelihoods(self, start: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """log10 probability of each sequence, in the order given."""
-        _, scale = self.forward(pi, a, b)
+        _, scale = self.forward(start, a, b)
         sums = np.bincount(self.seq, np.log10(scale)[self.place], len(self.sizes))
         out = np.empty(len(sums))
         out[self.order] = sums
         return out
 
-    def expect(self, pi: np.ndarray, a: np.ndarray, b: np.ndarray, emit: np.ndarray, move: np.ndarray, begin: np.ndarray) -> float:
-        """Add expected emission, transition and first-state counts; returns the log likelihood."""
-        alpha, scale = self.forward(pi, a, b)
+    def expect(self, start: np.ndarray, a: np.ndarray, b: np.ndarray, emit: np.ndarray, move: np.ndarray, begin: np.ndarray, first: np.ndarray | None = None, end: np.ndarray | None = None, enter: np.ndarray | None = None) -> float:
+        """Add expected emission, transition and first-state counts; returns the log likelihood.
+
+        For pieces of a text: ``first`` says which ones begin it, ``end`` is the backward variable at the
+        end of each and ``enter`` the forward variable at the end of the piece before.
+        """
+        alpha, scale = self.forward(start, a, b)
         off = self.offset.tolist()
+        last = np.ones((len(self.sizes), len(a)), b.dtype) if end is None else end[self.order].astype(b.dtype)
         e = b[self.x]
         e /= scale[:, None]
         beta = None
         for t in range(len(off) - 2, -1, -1):
             lo, hi = off[t], off[t + 1]
-            if beta is not None:
-                n = len(beta)
+            n = 0 if beta is None else len(beta)
+            if n:
                 move += a * (alpha[lo : lo + n].T @ beta)
                 back = beta @ a.T
                 alpha[lo : lo + n] *= back
-                beta = e[lo:hi]
+            beta = e[lo:hi]
+            if n:
                 beta[:n] *= back
-            else:
-                beta = e[lo:hi]
-        begin += alpha[: off[1]].sum(0)
-        for k in range(len(pi)):
+            if n < hi - lo:
+                # Both variables agree on the likelihood where a sequence ends.
+                mine = last[n : hi - lo]
+                mine /= np.einsum("ij,ij->i", alpha[lo + n : hi], mine)[:, None]
+                alpha[lo + n : hi] *= mine
+                beta[n:] *= mine
+        if first is None:
+            begin += alpha[: off[1]].sum(0)
+        else:
+            head = first[self.order]
+            begin += alpha[: off[1]][head].sum(0)
+            move += a * (enter[self.order][~head].T @ beta[~head])
+        for k in range(len(a)):
             emit[:, k] += np.bincount(self.x, alpha[:, k], len(emit))
         return float(np.log10(scale).sum())
 
@@ -164,16 +202,65 @@ def _blocks(seqs: list[np.ndarray], limit: int = BLOCK) -> Iterator[tuple[list[i
         yield held, Block(np.concatenate([seqs[j] for j in held]), np.array([len(seqs[j]) for j in held]))
 
 
-def long_likelihood(ids: np.ndarray, pi: np.ndarray, a: np.ndarray, b: np.ndarray) -> float:
-    """The forward recursion on one long text, its emissions gathered in blocks."""
-    cur, total = None, 0.0
-    for k in range(0, len(ids), 1 << 16):
-        for e in b[ids[k : k + (1 << 16)]]:
-            cur = (pi if cur is None else cur @ a) * e
-            s = cur.sum()
-            cur /= s
-            total += math.log10(s)
-    return total
+class Pieces:
+    """Texts as pieces of at most ``PIECE`` tokens, with what passes between them under a model."""
+
+    def __init__(self, texts: list[np.ndarray], pi: np.ndarray, a: np.ndarray, b: np.ndarray, piece: int | None = None) -> None:
+        piece = piece or PIECE
+        self.model = pi, a, b
+        self.seqs = [x[k : k + piece] for x in texts for k in range(0, len(x), piece)]
+        self.text = np.repeat(np.arange(len(texts)), [-(-len(x) // piece) for x in texts])
+        n, k = len(self.seqs), len(a)
+        self.first = np.concatenate(([True], self.text[1:] != self.text[:-1])) if n else np.empty(0, bool)
+        self.start, self.end, self.enter = np.tile(pi.astype("f8"), (n, 1)), np.ones((n, k)), np.ones((n, k))
+        many = np.flatnonzero(~(self.first & np.append(self.first[1:], True)))
+        if not len(many):
+            return
+        through = np.empty((len(many), k, k))
+        for held, block in _blocks([self.seqs[j] for j in many]):
+            through[held] = block.transfer(a, b)
+        at = a.astype("f8")
+        for x, j in enumerate(many.tolist()):
+            if not self.first[j]:
+                out = self.start[j - 1] @ through[x - 1]
+                self.enter[j] = out / out.sum()
+                self.start[j] = self.enter[j] @ at
+        for x in range(len(many) - 2, -1, -1):
+            j = many[x]
+            if not self.first[j + 1]:
+                out = at @ (through[x + 1] @ self.end[j + 1])
+                self.end[j] = out / out.sum()
+
+    def likelihoods(self, texts: int) -> np.ndarray:
+        """log10 probability of each text."""
+        _, a, b = self.model
+        out = np.zeros(len(self.seqs))
+        for held, block in _blocks(self.seqs):
+            out[held] = block.likelihoods(self.start[held].astype(b.dtype), a, b)
+        return np.bincount(self.text, out, texts)
+
+    def expect(self, emit: np.ndarray, move: np.ndarray, begin: np.ndarray) -> float:
+        _, a, b = self.model
+        fit = 0.0
+        for held, block in _blocks(self.seqs):
+            fit += block.expect(self.start[held].astype(b.dtype), a, b, emit, move, begin, self.first[held], self.end[held], self.enter[held])
+        return fit
+
+
+def frequent(counts: DataFrame, symbols: int) -> DataFrame:
+    """At most ``symbols`` tokens: all that occur at least so often, and the end of texts.
+
+    A histogram of counts in steps of 1 / ``PER_DOUBLING`` of a doubling finds how often, so that no task sorts tokens.
+    """
+    bin_ = F.floor(F.log2(F.col("c").cast("double")) * PER_DOUBLING).cast("int")
+    sizes = sorted(counts.groupBy(bin_.alias("b")).count().collect(), reverse=True)
+    total, cut = 1, 1 << 30
+    for b, n in sizes:
+        total += n
+        if total > symbols:
+            break
+        cut = b
+    return counts.filter((bin_ >= cut) | (F.length("token") == 0))
 
 
 def score(documents: DataFrame, held_out: F.Column | None = None, states: int = STATES, iterations: int = ITERATIONS, symbols: int = SYMBOLS, seed: int = 7) -> DataFrame:
@@ -181,13 +268,13 @@ def score(documents: DataFrame, held_out: F.Column | None = None, states: int =
     spark = documents.sparkSession
     sc = spark.sparkContext
     held_out = held_out if held_out is not None else remainder(10) == 0
-    docs = documents.select("doc_id", held_out.alias("held_out"), raw().alias("__raw"))
+    docs = documents.select("doc_id", held_out.alias("held_out"), F.xxhash64("doc_id", raw()).alias("h"), raw().alias("__raw"))
     train = docs.filter(~F.col("held_out")).select("__raw")
 
     counts = durable(token_counts(train))
     n_all, v_all = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
-    head = counts.orderBy(F.desc("c"), "token").limit(symbols).toArrow()
-    names, top = head.column("token").to_pylist(), np.array(head.column("c").to_pylist(), "i8")
+    head = sorted(frequent(counts, symbols).toArrow().to_pylist(), key=lambda r: (-r["c"], r["token"]))
+    names, top = [r["token"] for r in head], np.array([r["c"] for r in head], "i8")
     vocab = {t: k for k, t in enumerate(names)}
     # What the open classes hold: all of a class less its symbols.
     per_class = np.zeros((CLASSES, 2))
@@ -216,18 +303,22 @@ def score(documents: DataFrame, held_out: F.Column | None = None, states: int =
             out[k] = base + token_class(tokens[k])
         return out
 
+    def numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in chunks(batches, "__raw"):
+            packed = [ids(_tokens(text), shared_vocab.value).astype(kind).tobytes() for text in batch.column("__raw").to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array(packed, pa.binary())], ["ids"])
+
+    kind = "<u2" if n_symbols <= 1 << 16 else "<i4"
+    sequences = durable(map_arrow(train, numbered, "ids binary")) if n_all and iterations else None
+
     def e_step(model) -> DataFrame:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            index, (pi, a, b) = shared_vocab.value, (x.astype("f4") for x in model.value)
-            emit, move, begin, fit, steps = np.zeros((len(index) + CLASSES, len(pi))), np.zeros((len(pi), len(pi))), np.zeros(len(pi)), 0.0, 0
-            for batch in chunks(batches, "__raw", CHUNK):
-                seqs = []
-                for text in batch.column("__raw").to_pylist():
-                    x = ids(_tokens(text), index)
-                    seqs += [x[k : k + SEGMENT] for k in range(0, len(x), SEGMENT)]
-                for _, block in _blocks(seqs):
-                    fit += block.expect(pi, a, b, emit, move, begin)
-                    steps += len(block.x)
+            n, (pi, a, b) = n_symbols, (x.astype("f4") for x in model.value)
+            emit, move, begin, fit, steps = np.zeros((n, len(pi))), np.zeros((len(pi), len(pi))), np.zeros(len(pi)), 0.0, 0
+            for batch in chunks(batches, "ids", CHUNK // 4):
+                seqs = [np.frombuffer(x, kind).astype("i4") for x in batch.column("ids").to_pylist()]
+                fit += Pieces(seqs, pi, a, b).expect(emit, move, begin)
+                steps += sum(map(len, seqs))
             if not steps:
                 return
             rows = np.flatnonzero(emit.any(1))
@@ -239,7 +330,7 @@ def score(documents: DataFrame, held_out: F.Column | None = None, states: int =
             yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), *(pa.array(values[:, k]) for k in range(len(pi))), pa.array(fits)], ["sym", *(f"e{k}" for k in range(len(pi))), "fit"])
 
         columns = [f"e{k}" for k in range(states)] + ["fit"]
-        parts = map_arrow(train, run, "sym long, " + ", ".join(f"{c} double" for c in columns))
+        parts = map_arrow(sequences, run, "sym long, " + ", ".join(f"{c} double" for c in columns))
         return parts.groupBy("sym").agg(*(F.sum(c).alias(c) for c in columns))
 
     for _ in range(iterations if n_all else 0):
@@ -262,11 +353,10 @@ def score(documents: DataFrame, held_out: F.Column | None = None, states: int =
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index, (pi, a, b, base) = shared_vocab.value, final.value
-        part, row = TaskContext.get().partitionId() << 40, 0
         for batch in chunks(batches, "__raw", CHUNK):
             texts = batch.column("__raw").to_pylist()
-            seqs, rare, known, known_base = [], [], [], []
-            uids, toks, tfs = [], [], []
+            seqs, known, known_base = [], [], []
+            of, toks, tfs = [], [], []
             for k, text in enumerate(texts):
                 tokens = _tokens(text)
                 found = np.array([index.get(t, -1) for t in tokens], "i4")
@@ -278,45 +368,41 @@ def score(documents: DataFrame, held_out: F.Column | None = None, states: int =
                     found[j] = len(index) + token_class(tokens[j])
                 seqs.append(found)
                 rare = Counter([tokens[j] for j in rest])
-                uids += [part + row + k] * len(rare)
+                of += [k] * len(rare)
                 toks += rare.keys()
                 tfs += rare.values()
-            fit = np.empty(len(texts))
-            whole = [k for k, x in enumerate(seqs) if len(x) <= 4 * BLOCK]
-            for held, block in _blocks([seqs[k] for k in whole]):
-                fit[[whole[j] for j in held]] = block.likelihoods(pi, a, b)
-            for k, x in enumerate(seqs):
-                if len(x) > 4 * BLOCK:
-                    fit[k] = long_likelihood(x, pi, a, b)
+            fit = Pieces(seqs, pi, a, b).likelihoods(len(texts))
             n, m = len(texts), len(toks)
             blank = lambda kind: pa.nulls(m, kind)
-            mine = [part + row + k for k in range(n)]
+            own, place = [b" %d" % k for k in batch.column("h").to_pylist()], pa.array([*range(n), *of], pa.int32())
             columns = {
-                "uid": pa.array(mine + uids, pa.int64()),
+                "h": batch.column("h").take(place),
+                "doc_id": batch.column("doc_id").take(place),
                 # A row for the text itself joins to nothing: no token holds a blank.
-                "token": pa.array([b" %d" % u for u in mine] + toks, pa.binary()),
+                "token": pa.array(own + toks, pa.binary()),
                 "tf": pa.array([0] * n + tfs, pa.int64()),
-                "doc_id": pa.concat_arrays([batch.column("doc_id"), blank(batch.column("doc_id").type)]),
                 "held_out": pa.concat_arrays([batch.column("held_out"), blank(pa.bool_())]),
                 "n": pa.concat_arrays([pa.array([len(x) for x in seqs], pa.int64()), blank(pa.int64())]),
                 "known": pa.concat_arrays([pa.array(known, pa.int64()), blank(pa.int64())]),
                 "base": pa.concat_arrays([pa.array(known_base), blank(pa.float64())]),
                 "fit": pa.concat_arrays([pa.array(fit), blank(pa.float64())]),
             }
-            row += n
             yield pa.RecordBatch.from_arrays(list(columns.values()), list(columns))
 
     id_type = documents.schema["doc_id"].dataType.simpleString()
-    rows = map_arrow(docs, scan, f"uid long, token binary, tf long, doc_id {id_type}, held_out boolean, n long, known long, base double, fit double")
+    rows = map_arrow(docs, scan, f"h long, doc_id {id_type}, token binary, tf long, held_out boolean, n long, known long, base double, fit double")
     c = F.coalesce("c", F.lit(0)) + 0.1
     mass = F.get(F.array(*(F.lit(float(x)) for x in class_mass)), _class_column())
     joined = rows.join(counts, "token", "left")
-    per = joined.groupBy("uid").agg(
-        F.max("doc_id").alias("doc_id"),
+    # Equal rows come together; what is summed counts each of them.
+    times = F.count("n")
+    per = joined.groupBy("doc_id", "h").agg(
+        times.alias("times"),
         F.max("held_out").alias("held_out"),
         F.max("n").alias("n_tokens"),
-        (F.max("known") + F.sum(F.when(F.col("c") > 0, F.col("tf")).otherwise(0))).alias("n_known"),
-        (F.max("base") + F.sum(F.when(F.col("tf") > 0, F.col("tf") * F.log10(c / F.lit(float(denom)))).otherwise(0.0))).alias("base_score"),
-        (F.max("fit") + F.sum(F.when(F.col("tf") > 0, F.col("tf") * F.log10(c / mass)).otherwise(0.0))).alias("score"),
+        (F.max("known") + (F.sum(F.when(F.col("c") > 0, F.col("tf")).otherwise(0)) / times).cast("long")).alias("n_known"),
+        (F.max("base") + F.sum(F.when(F.col("tf") > 0, F.col("tf") * F.log10(c / F.lit(float(denom)))).otherwise(0.0)) / times).alias("base_score"),
+        (F.max("fit") + F.sum(F.when(F.col("tf") > 0, F.col("tf") * F.log10(c / mass)).otherwise(0.0)) / times).alias("score"),
     )
+    per = per.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), "times")))
     return per.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(int(n_all)).cast("long").alias("train_tokens"), "base_score", "score")

@@ -6,7 +6,7 @@ import random
 import re
 import zlib
 from collections import Counter
-from itertools import combinations
+from itertools import combinations, product
 
 import numpy as np
 import pytest
@@ -49,16 +49,56 @@ def test_hmm_base_score_and_exact_likelihood(spark, docs):
         tokens = (text or "").encode().lower().split() + [b""]
         want = sum(math.log10((count[w] + 0.1) / (n + 0.1 * (v + 1))) for w in tokens)
         assert r.train_tokens == n and r.n_tokens == len(tokens) and abs(r.base_score - want) < 1e-6 * len(tokens)
+    assert sorted(r.doc_id or 0 for r in got) == sorted(i or 0 for i, _ in ROWS)
+
+
+def plain_expectations(texts, pi, a, b):
+    """Expected counts and log10 likelihoods by summing over every path of states."""
+    emit, move, begin, fits = np.zeros_like(b), np.zeros_like(a), np.zeros_like(pi), []
+    for x in texts:
+        paths = list(product(range(len(pi)), repeat=len(x)))
+        odds = [math.prod([pi[p[0]], b[x[0], p[0]], *(a[p[k - 1], p[k]] * b[x[k], p[k]] for k in range(1, len(x)))]) for p in paths]
+        for path, o in zip(paths, odds):
+            begin[path[0]] += o / sum(odds)
+            for k, s in enumerate(path):
+                emit[x[k], s] += o / sum(odds)
+                if k:
+                    move[path[k - 1], s] += o / sum(odds)
+        fits.append(math.log10(sum(odds)))
+    return emit, move, begin, fits
+
+
+@pytest.mark.parametrize("piece", [100, 3, 1])
+def test_hmm_expectations_and_likelihoods_by_brute_force(piece):
     rng = np.random.default_rng(1)
     b, a, pi = rng.dirichlet(np.ones(9), 3).T, rng.dirichlet(np.ones(3), 3), rng.dirichlet(np.ones(3))
-    for size in (1, 4):
-        x = rng.integers(0, 9, size)
-        paths = [(s,) for s in range(3)]
-        for _ in range(size - 1):
-            paths = [(*p, s) for p in paths for s in range(3)]
-        want = sum(math.prod([pi[p[0]], b[x[0], p[0]], *(a[p[k - 1], p[k]] * b[x[k], p[k]] for k in range(1, size))]) for p in paths)
-        assert abs(hmm.Block(x, np.array([size])).likelihoods(pi, a, b)[0] - math.log10(want)) < 1e-9
-        assert abs(hmm.long_likelihood(x, pi, a, b) - math.log10(want)) < 1e-9
+    texts = [rng.integers(0, 9, n) for n in (1, 4, 7, 2, 3, 6)]
+    emit, move, begin, fits = plain_expectations(texts, pi, a, b)
+    got = np.zeros_like(b), np.zeros_like(a), np.zeros_like(pi)
+    pieces = hmm.Pieces(texts, pi, a, b, piece)
+    assert abs(pieces.expect(*got) - sum(fits)) < 1e-9
+    assert all(np.allclose(x, y, atol=1e-9) for x, y in zip(got, (emit, move, begin)))
+    assert np.allclose(hmm.Pieces(texts, pi, a, b, piece).likelihoods(len(texts)), fits, atol=1e-9)
+
+
+def test_hmm_cuts_of_long_texts_change_nothing(spark, monkeypatch):
+    rnd = random.Random(18)
+    rows = [(k, " ".join(f"{'ab'[(k + j // 50) % 2]}{rnd.randrange(40)}" for j in range(rnd.choice((5, 700, 3000))))) for k in range(40)]
+    df = spark.createDataFrame([*rows, (3, rows[3][1]), (None, None)], "doc_id long, text string")
+    key = lambda r: (r.doc_id is None, r.doc_id, r.score)
+    whole = sorted(hmm.score(df).collect(), key=key)
+    model = hmm.Pieces.__init__
+    monkeypatch.setattr(hmm.Pieces, "__init__", lambda self, texts, pi, a, b, piece=None: model(self, texts, pi, a, b, 10**9))
+    cut = sorted(hmm.score(df).collect(), key=key)
+    assert len(whole) == 42 and all(x[:6] == y[:6] and abs(x.score - y.score) < 1e-3 * abs(y.score) for x, y in zip(whole, cut))
+
+
+def test_hmm_symbols_without_sorting(spark):
+    counts = spark.createDataFrame([(b"", 3), *((b"t%d" % k, k) for k in range(1, 200))], "token binary, c long")
+    for size in (10, 100, 1000):
+        got = {bytes(r.token): r.c for r in hmm.frequent(counts, size).collect()}
+        least = min(c for t, c in got.items() if t)
+        assert b"" in got and len(got) <= size and all((b"t%d" % k in got) == (k >= least) for k in range(1, 200)) and len(got) >= min(200, size) * 0.3
 
 
 def test_bpe_equals_the_library():
