@@ -20,7 +20,10 @@ _BATCH_CONF, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", 4 << 20
 
 
 def map_arrow(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: StructType | str) -> DataFrame:
-    """``mapInArrow`` in batches of bounded bytes; a worker gives its free memory back when a task ends."""
+    """``mapInArrow`` in batches of bounded bytes; a worker gives its free memory back when a task ends.
+
+    Plans read the bound when they run, so it stays set in the session, unless that has one of its own.
+    """
     conf = df.sparkSession.conf
     if _BATCH_CONF not in conf.getAll:
         conf.set(_BATCH_CONF, BATCH_BYTES)

@@ -7,7 +7,9 @@ automaton tracks, for each word, the longest suffix that occurs in any item. A s
 
 Scale: the automaton is broadcast, and its size is checked: items are put into blocks of at most
 ``BLOCK_WORDS`` words, and each block is one more Arrow pass chained in the same stage, without any
-shuffle of documents. Everything else is per document.
+shuffle of documents. After every ``CHAINED`` blocks the documents and what was found are written to the
+checkpoint folder, so that a task never holds more automata than that, however large the benchmark; items stream
+through the driver, one block at a time. Everything else is per document.
 
 Defined results: a null or empty text has no words, no hits and is clean; a null item text has no
 windows; repeated items count once by ``item_id``; a null ``item_id`` marks words but is not listed;
@@ -25,11 +27,14 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
+from driftline.functions.durable import durable
 from driftline.llm.arrowio import chunks, map_arrow, raw
 
 WINDOW = 10
 #: Words of items in one automaton; it has at most twice as many states.
 BLOCK_WORDS = 100_000
+#: Blocks scanned in one stage.
+CHAINED = 4
 
 _WORD_BYTES = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 
@@ -213,14 +218,20 @@ def _scan(documents: DataFrame, benchmark: DataFrame, window: int, keep: tuple[s
     """``then`` takes the last pass's batches, with __raw, in the same worker and returns ``schema``."""
     df = documents.select(*keep, raw().alias("__raw"), F.lit(0).cast("bigint").alias("n_words"), F.array().cast("array<bigint>").alias("hit_ranges"), F.array().cast("array<string>").alias("hit_items"))
     sc = documents.sparkSession.sparkContext
-    blocks = list(_blocks(benchmark, block_words)) or [None]
-    for left, block in zip(reversed(range(len(blocks))), blocks):
-        one = _pass(sc.broadcast(Automaton(block, window) if block else None), to_arrow_schema(df.schema))
-        if left or then is None:
-            df = map_arrow(df, one, df.schema)
-        else:
-            df = map_arrow(df, lambda batches, one=one: then(one(batches)), schema)
-    return df
+    held, blocks = [], _blocks(benchmark, block_words)
+    block = next(blocks, None)
+    while True:
+        following = next(blocks, None) if block else None
+        held.append(sc.broadcast(Automaton(block, window) if block else None))
+        one = _pass(held[-1], to_arrow_schema(df.schema))
+        if following is None:
+            return map_arrow(df, one, df.schema) if then is None else map_arrow(df, lambda batches: then(one(batches)), schema)
+        df, block = map_arrow(df, one, df.schema), following
+        if len(held) == CHAINED:
+            df = durable(df)
+            for x in held:
+                x.unpersist()
+            held = []
 
 
 def digest(found: DataFrame) -> DataFrame:

@@ -29,7 +29,7 @@ from driftline.llm.linear import Sparse, ftrl, in_sample, softmax, temperature
 BITS = 14
 DIM = 1 << BITS
 PER_LANGUAGE = 1000
-#: Texts and characters counted in one block; a longer text stands alone.
+#: Texts and characters counted in one block; a longer text stands alone and is counted in steps of so many.
 ROWS, CHARS = 32, 1 << 18
 UNKNOWN = "und"
 
@@ -42,8 +42,38 @@ def _letters() -> np.ndarray:
     return _LETTER[0]
 
 
+def _hashes(x: np.ndarray) -> Iterator[np.ndarray]:
+    """The feature of the n-gram that starts at each character, for n of 1 to 3."""
+    h = np.zeros(len(x), "u4")
+    for n in range(1, 4):
+        h = (h[: len(x) - n + 1] if n == 1 else h[:-1]) * np.uint32(0x01000193) + x[n - 1 :]
+        mixed = (h ^ (h >> np.uint32(15))) * np.uint32(2654435761) + np.uint32(n * 0x9E3779B1 & 0xFFFFFFFF)
+        yield (mixed ^ (mixed >> np.uint32(13))) * np.uint32(0x85EBCA6B) >> np.uint32(32 - BITS)
+
+
+def long_counts(text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """``counts`` of one text in steps: what is left of it takes 4 bytes a character, all else a step's share."""
+    letter, kept, before = _letters(), [np.array([32], "u4")], False
+    for k in range(0, len(text), CHARS):
+        x = np.frombuffer(text[k : k + CHARS].lower().encode("utf-32-le", "replace"), "u4")
+        solid = letter[x]
+        last = np.concatenate(([before], solid[:-1]))
+        # The first blank after a letter stays; the text's edge counts as one.
+        kept.append(np.where(solid, x, np.uint32(32))[solid | last])
+        before = bool(solid[-1])
+    x, total = np.concatenate([*kept, np.array([32], "u4")]), np.zeros(DIM, "i8")
+    # No n-gram starts at the last edge.
+    for k in range(0, len(x) - 1, CHARS):
+        for h in _hashes(x[k : k + CHARS + 2]):
+            total += np.bincount(h[: min(CHARS, len(x) - 1 - k)], minlength=DIM)
+    at = np.flatnonzero(total)
+    return np.zeros(len(at), "i8"), at, total[at], np.array([bool((x != 32).any())])
+
+
 def counts(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Row, feature and count of each n-gram feature, and which texts have a letter."""
+    if len(texts) == 1 and len(texts[0]) > CHARS:
+        return long_counts(texts[0])
     joined = "\0".join(texts).lower() if "\0" not in "".join(texts) else "\0".join(t.replace("\0", " ") for t in texts).lower()
     x = np.frombuffer(f"\0{joined}\0".encode("utf-32-le", "replace"), "u4").copy()
     letter, edge = _letters()[x], x == 0
@@ -54,13 +84,8 @@ def counts(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.nda
     row = np.cumsum(edge) - 1
     x = np.where(edge, np.uint32(32), x)
     any_letter = np.bincount(row, x != 32, len(texts) + 1)[: len(texts)] > 0
-    parts = []
-    h = np.zeros(len(x), "u4")
-    for n in range(1, 4):
-        h = (h[: len(x) - n + 1] if n == 1 else h[:-1]) * np.uint32(0x01000193) + x[n - 1 :]
-        mixed = (h ^ (h >> np.uint32(15))) * np.uint32(2654435761) + np.uint32(n * 0x9E3779B1 & 0xFFFFFFFF)
-        # An n-gram belongs to the row of its first character; one over two rows' border has a blank there.
-        parts.append((row[: len(h)] << BITS) + ((mixed ^ (mixed >> np.uint32(13))) * np.uint32(0x85EBCA6B) >> np.uint32(32 - BITS)))
+    # An n-gram belongs to the row of its first character; none reaches beyond the next border.
+    parts = [((row[: len(h)] << BITS) + h)[~edge[1 : len(h) + 1] if len(x) - len(h) == 2 else slice(None)] for h in _hashes(x)]
     total = np.bincount(np.concatenate(parts), minlength=(len(texts) + 1) << BITS)
     total = total[: len(texts) << BITS]
     at = np.flatnonzero(total)

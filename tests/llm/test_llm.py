@@ -330,12 +330,31 @@ def test_language_on_held_out_rows(spark, sf_dir):
     got = {r.doc_id: r for r in langid.identify(d).collect()}
     held = [r for r in got.values() if r.held_out]
     assert sum(r.lang_pred == lang[r.doc_id] for r in held) >= 0.95 * len(held)
-    # Features by brute force.
-    text = "Été 12, ab\0Z"
-    row, feature, count, letter = langid.counts([text, "1", ""])
-    plain = " " + re.sub(r" +", " ", "".join(c if c.isalpha() else " " for c in text.lower())).strip() + " "
-    grams = Counter(plain[k : k + n] for n in (1, 2, 3) for k in range(len(plain) - n + 1))
-    assert sum(count[row == 0]) >= sum(grams.values()) - 4 and letter.tolist() == [True, False, False]
+    # Features by brute force: each n-gram's own feature is what the text of it alone has.
+    row, feature, count, letter = langid.counts(["Été 12, ab\0Z", "1", ""])
+    plain = " été ab z "
+    grams = Counter(int(h[0]) for n in (1, 2, 3) for k in range(len(plain) - 1) if k + n <= len(plain) for h in [list(langid._hashes(np.array([*map(ord, plain[k : k + n])], "u4")))[n - 1]])
+    assert dict(zip(feature[row == 0].tolist(), count[row == 0].tolist())) == grams and letter.tolist() == [True, False, False]
+
+
+def test_language_features_of_long_texts(monkeypatch):
+    rnd = random.Random(19)
+    for text in ["".join(rnd.choices("abcdé ,.1ß\n\0İ", k=n)) for n in (1, 2, 5, 50, 999, 3000)] + ["...", "abc", "abc ", "  abc", "a" * 1000, " " * 1000]:
+        monkeypatch.setattr(langid, "CHARS", 1 << 30)
+        whole = langid.counts([text])
+        monkeypatch.setattr(langid, "CHARS", max(1, len(text) // 7))
+        cut = langid.long_counts(text)
+        assert all((x == y).all() for x, y in zip(whole, cut)) and len(whole[1]) == len(cut[1])
+
+
+def test_decontamination_in_many_blocks(spark, monkeypatch):
+    rnd = random.Random(20)
+    items = spark.createDataFrame([(k, " ".join(f"w{rnd.randrange(8)}" for _ in range(11))) for k in range(30)], "item_id long, text string")
+    docs = spark.createDataFrame([(k, " ".join(f"w{rnd.randrange(8)}" for _ in range(50)) + " " + items.collect()[k].text) for k in range(10)], "doc_id long, text string")
+    one = sorted(decontam.contamination(docs, items).collect())
+    monkeypatch.setattr(decontam, "BLOCK_WORDS", 12)
+    assert len(list(decontam._blocks(items, 12))) == 30 and sorted(decontam.digest(decontam.scan(docs, items, block_words=12)).collect()) == one
+    assert decontam.decontaminate(docs, items).count() == 10
 
 
 def test_quality_and_toxicity_on_held_out_rows(spark, sf_dir):
