@@ -4,7 +4,12 @@ Each stage works on everything its predecessor kept: quality classification drop
 near-duplicate removal keeps one document of each class, benchmark decontamination cuts leaked passages
 (and drops documents that are mostly benchmark), the secret scan blanks out what it finds, and byte-pair
 encoding returns the token ids of what is left, their number, the decoded text and digests of both. All but
-the last return the columns of ``documents``.
+the last return the columns of ``documents``, whatever others there are and however they are named.
+
+Defined results: null texts stay null until they are encoded as empty ones; null and empty texts are no
+copies of each other; a null doc_id is a document like any other; equal rows leave one; without labels all
+documents are kept, without a benchmark nothing is cut; empty tables give empty ones. What happens to a row in
+a stage is stated with that stage's operator.
 """
 
 from __future__ import annotations

@@ -46,6 +46,41 @@ def test_pipeline_against_brute_force(spark, tmp_path):
     assert {r.doc_id: (r.n_tokens, r.ids_sha256) for r in corpus_pipeline.run(spark, path).collect()} == want
 
 
+AWKWARD = [(1, None, None, None, None), (2, "", "en", "web", 0), (3, "  \n", "en", None, 3), (4, "gala gila " * 8 + "token=abcdef12", "en", "web", 90), (4, "gala gila " * 8 + "token=abcdef12", "en", "web", 90), (5, "gala gila " * 30000, "en", "web", 300000), (None, "gono gelo gimi gana gola guma", "en", "a b", 30), (7, "puma pilo " * 20, "xx", "web", 200), (8, "one two three four", None, None, -1)]
+CLASH = "doc_id long, text string, lang string, source string, n_chars long, base string, spans string, __row string, h long, uid long, c long, class_id string, kept string, score string, quality string"
+
+
+def test_stages_take_awkward_tables(spark, tmp_path):
+    """Nulls, empty and long texts, repeated rows, clashing columns and empty tables, through every stage."""
+    import corpus_pipeline
+
+    rows = [(*r, "b", "s", "r", 1, 2, 3, "i", "k", "x", "q") for r in AWKWARD]
+    docs = spark.createDataFrame(rows, CLASH)
+    labels = spark.createDataFrame([(4, 1, 0), (7, 0, 0), (7, None, 1), (None, 0, 0)], "doc_id long, quality int, toxic int")
+    bench = spark.createDataFrame([("q", "one two three four"), (None, None)], "item_id string, text string")
+    for k, (d, lab, b) in enumerate([(docs, labels, bench), (docs, labels.limit(0), bench.limit(0)), (docs.limit(0), labels.limit(0), bench.limit(0))]):
+        path = str(tmp_path / str(k))
+        d.write.parquet(f"{path}/documents.parquet")
+        lab.write.parquet(f"{path}/labels.parquet")
+        b.write.parquet(f"{path}/benchmark.parquet")
+        now = spark.read.parquet(f"{path}/documents.parquet")
+        for name, stage in corpus_pipeline.STAGES[:-1]:
+            now = stage(spark, now, path)
+            assert now.columns == docs.columns, name
+            got = now.collect()
+            assert all(tuple(r)[5:] == rows[0][5:] for r in got), name
+        texts = {(r.doc_id, r.text) for r in got}
+        if k == 1:
+            # Without labels all are kept, without a benchmark nothing is cut; copies and secrets go.
+            assert len(got) == len(AWKWARD) - 1 and (4, "gala gila " * 8 + "token=abcdef12".replace("token=abcdef12", "[SECRET]")) in texts and (1, None) in texts
+        elif k == 0:
+            assert (8, "one two three four") not in texts
+        else:
+            assert not got
+        if k == 2:
+            assert corpus_pipeline.run(spark, path).count() == 0
+
+
 def test_last_stage_returns_token_ids(spark):
     import corpus_pipeline
     from driftline.llm import bpe
