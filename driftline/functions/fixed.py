@@ -108,3 +108,12 @@ CUT_NOTICE = "\n...(truncated)"
 
 # Words left out of TF-IDF terms: a short list of our own; scikit-learn's is a parameter away.
 STOP_WORDS = ("a", "an", "and", "are", "as", "at", "be", "by", "for", "from", "in", "is", "it", "of", "on", "or", "that", "the", "this", "to", "was", "with")
+
+# What the rules say of a row, by the sides it has; users read it.
+FALLBACK_DESCRIPTIONS = {
+    "base_only": "Base 版本中此章节在 Compare 版本中不存在（LLM 不可用: {reason}）",
+    "compare_only": "Compare 版本中此章节在 Base 版本中不存在（LLM 不可用: {reason}）",
+    "pair": "对齐章节 LLM 分析失败（{reason}），差异类型未知，需重新运行以确认",
+}
+FALLBACK_HINTS = {"base_only": "需确认该功能是否仍在 Compare 中实现", "compare_only": "需确认该功能是否为 Compare 新增", "pair": "需重新运行以获得准确差异分类"}
+FALLBACK_SUMMARIES = {"base_only": "Base 独有章节（LLM 兜底）", "compare_only": "Compare 独有章节（LLM 兜底）", "pair": "对齐章节 LLM 调用失败（{reason}），差异类型未知（unknow_diff）"}

@@ -3,6 +3,10 @@
 Sections carry (pair_id, role, seq, number, title, content); everything happens within a pair, so that
 any number of comparisons is one plan. Candidates come from two inverted indexes, one on terms and one
 on keywords; pairs that share neither have similarity 0 and cannot match.
+
+With a threshold only the rare terms of a section are indexed: its terms in order of rarity up to where
+what is left has a norm below the threshold. Two unit vectors whose first common term lies beyond that
+in either cannot reach it, so no pair is lost, and a term that is everywhere joins nothing.
 """
 
 from __future__ import annotations
@@ -12,6 +16,7 @@ from pyspark.sql import functions as F
 
 from driftline.functions import fixed
 from driftline.functions import text as tx
+from driftline.functions.durable import durable
 
 TOKEN = r"[\p{L}\p{N}_]{2,}"
 
@@ -24,23 +29,44 @@ def terms(docs: DataFrame, keys: list[str], text: str = "text", stop=fixed.STOP_
     return docs.select(*keys, F.explode(every).alias("term")).groupBy(*keys, "term").agg(F.count("*").alias("tf"))
 
 
-def tfidf(docs: DataFrame, corpus: list[str], keys: list[str], text: str = "text", max_features: int = 5000, **kind) -> DataFrame:
-    """(corpus, keys, term, w): smooth-idf TF-IDF with unit length, the most frequent terms of a corpus."""
+def tfidf(docs: DataFrame, corpus: list[str], keys: list[str], text: str = "text", max_features: int = 5000, single: bool = False, **kind) -> DataFrame:
+    """(corpus, keys, term, w): smooth-idf TF-IDF with unit length, the most frequent terms of a corpus.
+
+    ``single`` says that all rows are of one corpus.
+    """
     t = terms(docs, corpus + keys, text, **kind)
     top = t.groupBy(*corpus, "term").agg(F.sum("tf").alias("n"), F.count("*").alias("df"))
-    rank = F.row_number().over(Window.partitionBy(*corpus).orderBy(F.desc("n"), "term"))
-    top = top.withColumn("r", rank).filter(F.col("r") <= max_features).select(*corpus, "term", "df")
+    if single:
+        # One corpus: the most frequent terms of each partition meet, not all terms in one window.
+        top = top.orderBy(F.desc("n"), "term").limit(max_features).select(*corpus, "term", "df")
+    else:
+        rank = F.row_number().over(Window.partitionBy(*corpus).orderBy(F.desc("n"), "term"))
+        top = top.withColumn("r", rank).filter(F.col("r") <= max_features).select(*corpus, "term", "df")
     size = docs.groupBy(*corpus).agg(F.count("*").alias("docs"))
     w = t.join(top, corpus + ["term"]).join(size, corpus).withColumn("w", F.col("tf") * (F.log((1 + F.col("docs")) / (1 + F.col("df"))) + 1))
     norm = w.groupBy(*corpus, *keys).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
     return w.join(norm, corpus + keys).select(*corpus, *keys, "term", (F.col("w") / F.col("norm")).alias("w"))
 
 
-def cosine(weights: DataFrame, corpus: list[str], role: str = "role") -> DataFrame:
-    """(corpus, base_seq, compare_seq, cosine) of all pairs with a common term."""
-    b = weights.filter(F.col(role) == "base").select(*corpus, "term", F.col("seq").alias("base_seq"), F.col("w").alias("wb"))
-    c = weights.filter(F.col(role) == "compare").select(*corpus, "term", F.col("seq").alias("compare_seq"), F.col("w").alias("wc"))
-    return b.join(c, corpus + ["term"]).groupBy(*corpus, "base_seq", "compare_seq").agg(F.sum(F.col("wb") * F.col("wc")).alias("cosine"))
+def rare_terms(weights: DataFrame, corpus: list[str], keys: list[str], threshold: float) -> DataFrame:
+    """The rows of ``weights`` whose term, or a more frequent one of the same vector, is needed to reach the threshold."""
+    often = weights.groupBy(*corpus, "term").agg(F.count("*").alias("__df"))
+    ordered = Window.partitionBy(*corpus, *keys).orderBy(F.desc("__df"), "term").rowsBetween(Window.unboundedPreceding, 0)
+    left = weights.join(often, corpus + ["term"]).withColumn("__left", F.sum(F.col("w") * F.col("w")).over(ordered))
+    return left.filter(F.col("__left") >= (threshold - 1e-4) ** 2).drop("__df", "__left")
+
+
+def cosine(weights: DataFrame, corpus: list[str], role: str = "role", threshold: float = 0.0) -> DataFrame:
+    """(corpus, base_seq, compare_seq, cosine) of all pairs with a common term that may reach the threshold."""
+    side = lambda df, name, w: df.filter(F.col(role) == name).select(*corpus, "term", F.col("seq").alias(f"{name}_seq"), F.col("w").alias(w))
+    b, c = side(weights, "base", "wb"), side(weights, "compare", "wc")
+    if threshold <= 0:
+        met = b.join(c, corpus + ["term"])
+    else:
+        rare = rare_terms(weights, corpus, [role, "seq"], threshold)
+        pairs = side(rare, "base", "wb").drop("wb").join(side(rare, "compare", "wc").drop("wc"), corpus + ["term"]).drop("term").distinct()
+        met = pairs.join(b, corpus + ["base_seq"]).join(c, corpus + ["compare_seq", "term"])
+    return met.groupBy(*corpus, "base_seq", "compare_seq").agg(F.sum(F.col("wb") * F.col("wc")).alias("cosine"))
 
 
 def keyword_pairs(secs: DataFrame, keywords=fixed.KEYWORDS, content_chars: int = 500) -> DataFrame:
@@ -51,13 +77,27 @@ def keyword_pairs(secs: DataFrame, keywords=fixed.KEYWORDS, content_chars: int =
     return pairs.distinct()
 
 
-def combined(secs: DataFrame, keywords=fixed.KEYWORDS, **kind) -> DataFrame:
-    """(pair_id, base_seq, compare_seq, tfidf_sim, keyword_score, similarity), rounded before ranking."""
+def combined(secs: DataFrame, keywords=fixed.KEYWORDS, threshold: float = 0.0, **kind) -> DataFrame:
+    """(pair_id, base_seq, compare_seq, tfidf_sim, keyword_score, similarity), rounded before ranking.
+
+    With a threshold, pairs that cannot reach it may be missing; all others have their full similarity.
+    """
     text = secs.select("pair_id", "role", "seq", F.concat_ws(" ", "number", "title").alias("text"))
-    cos = cosine(tfidf(text, ["pair_id"], ["role", "seq"], **kind), ["pair_id"])
-    both = cos.join(keyword_pairs(secs, keywords), ["pair_id", "base_seq", "compare_seq"], "full")
+    weights, scored = tfidf(text, ["pair_id"], ["role", "seq"], **kind), keyword_pairs(secs, keywords)
+    if threshold > 0:
+        # Used several times over: written once instead of being computed again in each place.
+        weights, scored = durable(weights), durable(scored)
+    cos = cosine(weights, ["pair_id"], threshold=threshold)
+    key = ["pair_id", "base_seq", "compare_seq"]
+    if threshold > 0:
+        # Pairs with a common keyword need no cosine of their own to match; theirs is found pair by pair.
+        rest = scored.select(*key).join(cos.select(*key), key, "left_anti")
+        side = lambda name, w: weights.filter(F.col("role") == name).select("pair_id", "term", F.col("seq").alias(f"{name}_seq"), F.col("w").alias(w))
+        met = rest.join(side("base", "wb"), ["pair_id", "base_seq"]).join(side("compare", "wc"), ["pair_id", "compare_seq", "term"])
+        cos = cos.unionByName(met.groupBy(*key).agg(F.sum(F.col("wb") * F.col("wc")).alias("cosine")))
+    both = cos.join(scored, key, "full")
     sim, kw = F.coalesce("cosine", F.lit(0.0)), F.coalesce("keyword_score", F.lit(0.0))
-    return both.select("pair_id", "base_seq", "compare_seq", F.round(sim, 4).alias("tfidf_sim"), kw.alias("keyword_score"), F.round(F.least(F.lit(1.0), sim + kw), 4).alias("similarity"))
+    return both.select(*key, F.round(sim, 4).alias("tfidf_sim"), kw.alias("keyword_score"), F.round(F.least(F.lit(1.0), sim + kw), 4).alias("similarity"))
 
 
 def best(pairs: DataFrame, threshold: float = 0.25) -> DataFrame:
@@ -78,5 +118,5 @@ def only(secs: DataFrame, matched: DataFrame, role: str) -> DataFrame:
 
 def align(secs: DataFrame, threshold: float = 0.25, compat: bool = False, **kind) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Alignments, base-only and compare-only sections; ``compat`` lists every compare section again."""
-    matched = best(combined(secs, **kind), threshold)
+    matched = durable(best(combined(secs, threshold=threshold, **kind), threshold))
     return matched, only(secs, matched, "base"), secs.filter("role = 'compare'") if compat else only(secs, matched, "compare")

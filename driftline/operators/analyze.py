@@ -61,15 +61,16 @@ def fallback(reason: str) -> Column:
     """The rules' result: removed, added or unknown, by the sides there are."""
     kind, quote = route(), lambda c: F.substring(F.coalesce(c, F.lit("")), 1, 200)
     of = lambda a, b, c: F.when(kind == "base_only", a).when(kind == "compare_only", b).otherwise(c)
+    said = lambda texts: of(*(F.lit(texts[r].format(reason=reason)) for r in ("base_only", "compare_only", "pair")))
     diff = F.struct(
         of("feature_removed", "feature_added", "unknow_diff").alias("type"),
         F.lit("中").alias("impact"),
         of(quote("base_content"), F.lit(""), quote("base_content")).alias("base_quote"),
         of(F.lit(""), quote("compare_content"), quote("compare_content")).alias("compare_quote"),
-        of(f"Base 版本中此章节在 Compare 版本中不存在（LLM 不可用: {reason}）", f"Compare 版本中此章节在 Base 版本中不存在（LLM 不可用: {reason}）", f"对齐章节 LLM 分析失败（{reason}），差异类型未知，需重新运行以确认").alias("description"),
-        of("需确认该功能是否仍在 Compare 中实现", "需确认该功能是否为 Compare 新增", "需重新运行以获得准确差异分类").alias("workload_hint"),
+        said(fixed.FALLBACK_DESCRIPTIONS).alias("description"),
+        said(fixed.FALLBACK_HINTS).alias("workload_hint"),
     )
-    text = of("Base 独有章节（LLM 兜底）", "Compare 独有章节（LLM 兜底）", f"对齐章节 LLM 调用失败（{reason}），差异类型未知（unknow_diff）")
+    text = said(fixed.FALLBACK_SUMMARIES)
     none = F.from_json(F.lit('{"diffs":[],"summary":"no change"}'), RESULT)
     return F.when(skipped(), none).otherwise(F.struct(F.array(diff).alias("diffs"), text.alias("summary")).cast(RESULT))
 

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from driftline.operators.align import tfidf
+from driftline.functions.durable import durable
+from driftline.operators.align import rare_terms, tfidf
 from driftline.operators.graph import components
 
 
@@ -17,9 +18,12 @@ def edges(items: DataFrame, threshold: float = 0.88, corpus: tuple[str, ...] = (
     """(a, b, similarity) of item pairs, within a corpus, whose TF-IDF cosine reaches the threshold."""
     scope = list(corpus) or ["__all"]
     t = items.select("item_id", "text", *corpus) if corpus else items.select("item_id", "text", F.lit(0).alias("__all"))
-    w = tfidf(t, scope, ["item_id"], **kind)
-    x, y = w.select(*scope, "term", F.col("item_id").alias("a"), F.col("w").alias("wa")), w.select(*scope, "term", F.col("item_id").alias("b"), F.col("w").alias("wb"))
-    sim = x.join(y, scope + ["term"]).filter("a < b").groupBy("a", "b").agg(F.round(F.sum(F.col("wa") * F.col("wb")), 6).alias("similarity"))
+    w = durable(tfidf(t, scope, ["item_id"], single=not corpus, **kind))
+    side = lambda df, name: df.select(*scope, "term", F.col("item_id").alias(name), F.col("w").alias(f"w{name}"))
+    # Pairs meet on terms rare enough to be needed for the threshold; their full cosine follows.
+    rare = rare_terms(w, scope, ["item_id"], threshold)
+    pairs = side(rare, "a").drop("wa").join(side(rare, "b").drop("wb"), scope + ["term"]).filter("a < b").drop("term").distinct()
+    sim = pairs.join(side(w, "a"), scope + ["a"]).join(side(w, "b"), scope + ["b", "term"]).groupBy("a", "b").agg(F.round(F.sum(F.col("wa") * F.col("wb")), 6).alias("similarity"))
     return sim.filter(F.col("similarity") >= threshold)
 
 

@@ -61,11 +61,20 @@ def sections(lines: DataFrame, compat: bool = False) -> DataFrame:
     raw, number = F.col("__raw"), F.col("__number")
     name = F.regexp_replace(number, "[. ]", "_")
     head = head.select("doc_id", seq.alias("seq"), "level", number.alias("number"), F.trim(title).alias("title"), raw.alias("raw"), "page_num", "line_no", F.coalesce(end, F.lit(2147483647)).alias("end_line"), F.when(name != "", name).otherwise(F.concat(F.lit("untitled_"), seq)).alias("id"))
-    body = df.select(F.col("doc_id").alias("d"), F.col("line_no").alias("n"), F.col("text").alias("t"))
-    inside = (F.col("d") == F.col("doc_id")) & (F.col("n") > F.col("line_no")) & (F.col("n") < F.col("end_line"))
-    content = head.join(body, inside, "left").groupBy("doc_id", "seq").agg(F.array_sort(F.collect_list(F.when(F.col("n").isNotNull(), F.struct("n", "t")))).alias("c"))
-    text = F.trim(F.array_join(F.transform("c", lambda x: x["t"]), "\n"))
-    return head.join(content, ["doc_id", "seq"]).select("doc_id", "seq", "id", "level", "number", "title", "raw", "page_num", "line_no", F.when(F.col("end_line") < 2147483647, F.col("end_line")).alias("end_line"), text.alias("content"))
+    # A line belongs to the last heading of each level before it that no later one has ended: six at most.
+    upto = order.rowsBetween(Window.unboundedPreceding, 0)
+    last = [F.last(F.when(F.col("level") == n, F.col("line_no")), True).over(upto) for n in range(1, 7)]
+    df = df.withColumns({f"__h{n + 1}": x for n, x in enumerate(last)})
+
+    def owner(n: int):
+        mine = F.col(f"__h{n}")
+        above = F.greatest(F.lit(-1), *(F.coalesce(F.col(f"__h{m}"), F.lit(-1)) for m in range(1, n))) if n > 1 and not compat else F.lit(-1)
+        return F.when((mine < F.col("line_no")) & (mine > above), mine)
+
+    body = df.select("doc_id", F.col("line_no").alias("n"), F.col("text").alias("t"), F.explode(F.array_compact(F.array(*(owner(n) for n in range(1, 7))))).alias("line_no"))
+    content = body.groupBy("doc_id", "line_no").agg(F.array_sort(F.collect_list(F.struct("n", "t"))).alias("c"))
+    text = F.coalesce(F.trim(F.array_join(F.transform("c", lambda x: x["t"]), "\n")), F.lit(""))
+    return head.join(content, ["doc_id", "line_no"], "left").select("doc_id", "seq", "id", "level", "number", "title", "raw", "page_num", "line_no", F.when(F.col("end_line") < 2147483647, F.col("end_line")).alias("end_line"), text.alias("content"))
 
 
 def associate_tables(tables: DataFrame, found: DataFrame) -> DataFrame:

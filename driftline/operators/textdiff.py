@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import difflib
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -43,9 +44,146 @@ def line_ops(a: str | None, b: str | None) -> list[dict]:
     return _merged(ops, "\n")
 
 
-def char_ops(a: str | None, b: str | None) -> list[dict]:
-    """Operations on characters: lines first, then words and characters within replaced lines.
+#: Below so many characters on both sides together, steps are single numbers; above, arrays. Both take the same path.
+ARRAYS = 400
 
+
+def _middle(a: np.ndarray, b: np.ndarray) -> tuple[int, int, int, int]:
+    """The middle run of equal characters of a shortest edit path: where it starts and ends in a and b.
+
+    Greedy furthest-reaching paths from both ends, one edit more at a time, until they meet on a diagonal;
+    memory is linear in the lengths.
+    """
+    n, m = len(a), len(b)
+    off, delta, none = n + m + 2, n - m, -(1 << 40)
+    ends = ((a, b), (a[::-1], b[::-1]))
+    reach = [np.full(2 * off + 1, none), np.full(2 * off + 1, none)]
+    reach[0][off + 1] = reach[1][off + 1] = 0
+    for d in range((n + m + 1) // 2 + 1):
+        k = np.arange(-(d - 2 * max(0, d - m)), d - 2 * max(0, d - n) + 1, 2)
+        for way in (0, 1):
+            p, q = ends[way]
+            v, other = reach[way], reach[1 - way]
+            x = np.maximum(v[off + k - 1] + 1, v[off + k + 1])
+            y = x - k
+            bad = (x > n) | (y > m) | (x < 0) | (y < 0)
+            x = np.where(bad, none, x)
+            start = x.copy()
+            on = np.flatnonzero(~bad)
+            while len(on):
+                i = x[on]
+                j = i - k[on]
+                go = (i < n) & (j < m)
+                on, i, j = on[go], i[go], j[go]
+                on = on[p[i] == q[j]]
+                x[on] += 1
+            v[off + k] = x
+            if (delta % 2 == 1) == (way == 0):
+                mirror = other[off + delta - k]
+                met = np.flatnonzero((x >= 0) & (mirror >= 0) & (x + mirror >= n))
+                if len(met):
+                    j = met[0]
+                    u, w, g = int(start[j]), int(x[j]), int(k[j])
+                    return (u, u - g, w, w - g) if way == 0 else (n - w, m - w + g, n - u, m - u + g)
+    raise AssertionError("paths from both ends meet")
+
+
+def _middle_small(a: list[int], b: list[int]) -> tuple[int, int, int, int]:
+    """``_middle`` in single numbers."""
+    n, m = len(a), len(b)
+    off, delta, none = n + m + 2, n - m, -(1 << 40)
+    ends = ((a, b), (a[::-1], b[::-1]))
+    reach = [[none] * (2 * off + 1), [none] * (2 * off + 1)]
+    reach[0][off + 1] = reach[1][off + 1] = 0
+    for d in range((n + m + 1) // 2 + 1):
+        low, high = -(d - 2 * max(0, d - m)), d - 2 * max(0, d - n)
+        for way in (0, 1):
+            p, q = ends[way]
+            v, other = reach[way], reach[1 - way]
+            met, new = None, []
+            for k in range(low, high + 1, 2):
+                x = max(v[off + k - 1] + 1, v[off + k + 1])
+                if x > n or x - k > m or x < 0 or x < k:
+                    new.append(none)
+                    continue
+                u = x
+                while x < n and x - k < m and p[x] == q[x - k]:
+                    x += 1
+                new.append(x)
+                if met is None and (delta % 2 == 1) == (way == 0):
+                    back = other[off + delta - k]
+                    if back >= 0 and x + back >= n:
+                        met = u, x, k
+            if met:
+                u, x, k = met
+                return (u, u - k, x, x - k) if way == 0 else (n - x, m - x + k, n - u, m - u + k)
+            v[off + low : off + high + 1 : 2] = new
+    raise AssertionError("paths from both ends meet")
+
+
+def shortest_edits(a: str, b: str) -> list[tuple[str, str]]:
+    """A shortest sequence of deletions and insertions of characters, by divide and conquer in linear space."""
+    out: list[tuple[str, str]] = []
+    todo = [(0, len(a), 0, len(b))]
+    points = lambda s: np.frombuffer(s.encode("utf-32-le", "surrogatepass"), "<u4")
+    x, y = points(a), points(b)
+    while todo:
+        i, j, k, m = todo.pop()
+        if j < 0:
+            out.append(("equal", a[i:-j]))
+            continue
+        same = 0
+        while i + same < j and k + same < m and a[i + same] == b[k + same]:
+            same += 1
+        if same:
+            out.append(("equal", a[i : i + same]))
+            i, k = i + same, k + same
+        tail = 0
+        while i < j - tail and k < m - tail and a[j - tail - 1] == b[m - tail - 1]:
+            tail += 1
+        if tail:
+            todo.append((j - tail, -j, 0, 0))
+            j, m = j - tail, m - tail
+        if i == j or k == m:
+            out += [("delete", a[i:j]), ("insert", b[k:m])]
+            continue
+        u, v, w, z = _middle(x[i:j], y[k:m]) if j - i + m - k > ARRAYS else _middle_small(x[i:j].tolist(), y[k:m].tolist())
+        todo.append((i + w, j, k + z, m))
+        if w > u:
+            todo.append((i + u, -(i + w), 0, 0))
+        todo.append((i, i + u, k, k + v))
+    return out
+
+
+def cleaned(ops: list[dict]) -> list[dict]:
+    """Without coincidences: an equality no longer than the changes on either side of it becomes part of them."""
+    size = lambda block: max(len(block[0]), len(block[1]))
+    # Changes as (deleted, inserted) around equalities; a stack, so that a merged change is compared again.
+    changes, equals = [["", ""]], []
+    for op in ops:
+        if op["type"] == "equal":
+            equals.append(op["text"])
+            changes.append(["", ""])
+        else:
+            changes[-1][op["type"] == "insert"] += op["text"]
+    left, kept = [changes[0]], []
+    for text, after in zip(equals, changes[1:]):
+        kept.append(text)
+        left.append(after)
+        while kept and (kept[-1] == "" or (min(size(left[-2]), size(left[-1])) >= len(kept[-1]) > 0)):
+            right, mid, before = left.pop(), kept.pop(), left.pop()
+            left.append([before[0] + mid + right[0], before[1] + mid + right[1]])
+    out = []
+    for k, (gone, new) in enumerate(left):
+        out += [("delete", gone), ("insert", new)] + ([("equal", kept[k])] if k < len(kept) else [])
+    return _merged(out, "")
+
+
+def char_ops(a: str | None, b: str | None, cleanup: bool = True) -> list[dict]:
+    """Operations on characters: lines first, then words, then characters within replaced words.
+
+    Characters are compared by shortest edits, whatever the length of a block; time grows with its length
+    times its changes. With ``cleanup`` chance equalities between longer changes are taken into them.
     Equal and inserted texts together are the cleaned second text, equal and deleted ones the first.
     """
     x, y = _clean(a), _clean(b)
@@ -58,15 +196,16 @@ def char_ops(a: str | None, b: str | None) -> list[dict]:
             old, new = "".join(p[i:j]), "".join(q[k:m])
             if tag == "equal":
                 ops.append(("equal", old))
-            elif tag == "replace" and finer:
+            elif tag == "replace":
                 finer(old, new)
             else:
                 ops.extend((("delete", old), ("insert", new)))
 
     words = lambda s: [w for part in s.split(" ") for w in (part, " ")][:-1]
-    chars = lambda s, t: walk(list(s), list(t), None) if len(s) * len(t) <= 1 << 22 else ops.extend((("delete", s), ("insert", t)))
+    chars = lambda s, t: ops.extend(shortest_edits(s, t))
     walk(x.splitlines(True), y.splitlines(True), lambda s, t: walk(words(s), words(t), chars))
-    return _merged(ops, "")
+    found = _merged(ops, "")
+    return cleaned(found) if cleanup else found
 
 
 @F.pandas_udf(OPS)

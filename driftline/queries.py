@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from driftline.functions import fixed
 from driftline.functions import text as tx
+from driftline.functions.durable import durable
 from driftline.operators import align, analyze, boilerplate, cluster, report, sections, textdiff
 from driftline.sources.tables import table
 
@@ -112,9 +113,13 @@ def clean_text(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", F.length(t).cast("long").alias("n_chars_clean"), F.md5(t).alias("digest"), n.cast("long").alias("n_lines"))
 
 
-@query()
+_SENTENCES = r"list_filter(string_split(regexp_replace(coalesce(text, ''), '([.!?。！？])[\t\n\x0B\f\r ]+', '\1' || chr(1), 'g'), chr(1)), lambda s: trim(s, ' ') <> '')"
+
+
+@query(f"SELECT doc_id, len({_SENTENCES}) AS n_sentences, md5(array_to_string({_SENTENCES}, chr(1))) AS digest FROM documents")
 def sentence_split(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", F.size(tx.sentences(F.coalesce("text", F.lit("")))).cast("long").alias("n_sentences"))
+    s = tx.sentences(F.coalesce("text", F.lit("")))
+    return table(spark, sf_dir, "documents").select("doc_id", F.size(s).cast("long").alias("n_sentences"), F.md5(F.array_join(s, "\x01")).alias("digest"))
 
 
 _HEAD = "CASE " + " ".join(f"WHEN regexp_matches(trim(text, ' '), '{p}') THEN {d}" for p, _, d in fixed.HEADINGS) + " END"
@@ -172,15 +177,19 @@ def page_carry(spark, sf_dir):
     return sections.page_carry(s.select("doc_id", (F.col("line_no") * 2).alias("line_no"), "text").union(marks))
 
 
+_HEADS = f"""{_SPEC}, h AS (SELECT *, length(regexp_extract(text, '^(#{{1,6}}) ', 1)) AS level, trim(regexp_replace(text, '^#+ ', ''), ' ') AS raw FROM spec WHERE text LIKE '#%')"""
+_NESTED = "(SELECT min(g.line_no) FROM h g WHERE g.doc_id = h.doc_id AND g.level <= h.level AND g.line_no > h.line_no)"
+_NUMBER = "regexp_extract(e.raw, '^([0-9A-Za-z]+(?:\\.[0-9A-Za-z]+)*)', 1)"
+
+
 def _sections_sql(end: str) -> str:
-    return f"""WITH {_SPEC}, h AS (SELECT *, length(regexp_extract(text, '^(#{{1,6}}) ', 1)) AS level, trim(regexp_replace(text, '^#+ ', ''), ' ') AS raw FROM spec WHERE text LIKE '#%'),
- e AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY line_no) - 1 AS seq, {end} AS end_line FROM h)
- SELECT e.doc_id, e.seq, e.level, regexp_extract(e.raw, '^([0-9A-Za-z]+(?:\\.[0-9A-Za-z]+)*)', 1) AS number, e.end_line,
- coalesce((SELECT string_agg(s.text, chr(10) ORDER BY s.line_no) FROM spec s WHERE s.doc_id = e.doc_id AND s.line_no > e.line_no AND s.line_no < coalesce(e.end_line, 1000000000)), '') AS content FROM e"""
+    return f"""WITH {_HEADS}, e AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY line_no) - 1 AS seq, {end} AS end_line FROM h)
+ SELECT e.doc_id, e.seq, replace({_NUMBER}, '.', '_') AS id, e.level, {_NUMBER} AS number, trim(substr(e.raw, length({_NUMBER}) + 1), ' ') AS title, e.raw, e.page_num, e.end_line,
+ trim(coalesce((SELECT string_agg(s.text, chr(10) ORDER BY s.line_no) FROM spec s WHERE s.doc_id = e.doc_id AND s.line_no > e.line_no AND s.line_no < coalesce(e.end_line, 1000000000)), ''), ' ') AS content FROM e"""
 
 
 def _shown(found: DataFrame) -> DataFrame:
-    return found.select("doc_id", "seq", "level", "number", "end_line", "content")
+    return found.select("doc_id", "seq", "id", "level", "number", "title", "raw", "page_num", "end_line", "content")
 
 
 @query(_sections_sql("lead(line_no) OVER (PARTITION BY doc_id, level ORDER BY line_no)"))
@@ -188,7 +197,7 @@ def sections_compat(spark, sf_dir):
     return _shown(sections.sections(spec_lines(spark, sf_dir), compat=True))
 
 
-@query(_sections_sql("(SELECT min(g.line_no) FROM h g WHERE g.doc_id = h.doc_id AND g.level <= h.level AND g.line_no > h.line_no)"))
+@query(_sections_sql(_NESTED))
 def sections_nested(spark, sf_dir):
     return _shown(sections.sections(spec_lines(spark, sf_dir)))
 
@@ -221,7 +230,11 @@ def tables_appendix(spark, sf_dir):
     return sections.tables_appendix(_tables(spark, sf_dir))
 
 
-@query()
+@query(f"""WITH {_HEADS}, e AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY line_no) - 1 AS seq, {_NESTED} AS end_line FROM h),
+ t AS (SELECT r_name AS doc_id, n_nationkey AS table_index, n_nationkey + 1 AS page_num, {_TABLE_MD} AS md FROM nation JOIN region ON r_regionkey = n_regionkey),
+ place AS (SELECT t.doc_id, table_index, t.page_num, md, arg_max(coalesce(end_line - 1, 2147483646), seq) AS line_no FROM t JOIN e ON e.doc_id = t.doc_id AND e.page_num = t.page_num GROUP BY ALL),
+ every AS (SELECT doc_id, line_no, page_num, -1 AS part, 0 AS k, text FROM spec UNION ALL SELECT doc_id, line_no, page_num, table_index, generate_subscripts(l, 1), unnest(l) FROM (SELECT *, string_split(md, chr(10)) AS l FROM place))
+ SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY line_no, part, k) AS line_no, page_num, text FROM every""")
 def tables_inserted(spark, sf_dir):
     lines, t = spec_lines(spark, sf_dir), _tables(spark, sf_dir)
     r = table(spark, sf_dir, "region").select(F.col("r_regionkey").cast("string").alias("k"), "r_name")
@@ -255,7 +268,7 @@ _ALIGN = f"""s AS ({_PARTS}), kw AS (SELECT pair_id, role, seq, list_distinct(re
 
 
 def _matched(spark, sf_dir):
-    return align.best(align.combined(part_sections(spark, sf_dir), PART_WORDS))
+    return durable(align.best(align.combined(part_sections(spark, sf_dir), PART_WORDS, 0.25)))
 
 
 @query(f"WITH {_ALIGN} SELECT pair_id, base_seq, compare_seq, keyword_score FROM kp")
@@ -297,14 +310,24 @@ def compare_only_compat(spark, sf_dir):
 # ---- differences
 
 
-@query()
+_DIGEST = lambda column: f"md5(array_to_string({_CLEAN.replace('text', column)}, chr(10)))"
+_REBUILT = f"SELECT conv_id, turn, {_DIGEST('text')} AS base_digest, {_DIGEST('following')} AS compare_digest FROM (SELECT *, lead(text) OVER (PARTITION BY conv_id ORDER BY turn) AS following FROM conversations)"
+
+
+def _rebuilt(spark, sf_dir, ops, glue: str):
+    """Both texts of each pair, put together again from the operations between them."""
+    side = lambda kind: F.md5(F.array_join(F.transform(F.filter("ops", lambda o: o["type"].isin("equal", kind)), lambda o: o["text"]), glue))
+    return turn_pairs(spark, sf_dir).select("conv_id", "turn", ops("text", "next").alias("ops")).select("conv_id", "turn", side("delete").alias("base_digest"), side("insert").alias("compare_digest"))
+
+
+@query(_REBUILT)
 def diff_ops_line(spark, sf_dir):
-    return turn_pairs(spark, sf_dir).select("conv_id", "turn", F.explode(textdiff.line_diff("text", "next")).alias("op")).select("conv_id", "turn", "op.*")
+    return _rebuilt(spark, sf_dir, textdiff.line_diff, "\n")
 
 
-@query()
+@query(_REBUILT)
 def diff_ops_char(spark, sf_dir):
-    return turn_pairs(spark, sf_dir).select("conv_id", "turn", F.explode(textdiff.char_diff("text", "next")).alias("op")).select("conv_id", "turn", "op.*")
+    return _rebuilt(spark, sf_dir, textdiff.char_diff, "")
 
 
 @query()
@@ -512,7 +535,14 @@ def dimension(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", tx.dimension(F.col("text")).alias("dimension"))
 
 
-@query()
+_SAID = "CASE kind " + " ".join(f"WHEN {k} THEN '{fixed.FALLBACK_DESCRIPTIONS[r].format(reason='offline')}'" for k, r in enumerate(("pair", "base_only", "compare_only"))) + " END"
+
+
+@query(f"""WITH {_RANKED}, o AS (SELECT *, {_SAID} AS said FROM rk WHERE kind > 0 OR bc <> cc),
+ whole AS (SELECT *, concat_ws(' ', bt, ct, substr(bc, 1, 300), substr(cc, 1, 300), said) AS text FROM o)
+ SELECT pair_id, CAST(item_id AS INT) AS item_id, 0 AS pos, '### [' || item_id || '] ' || {_DIM} || ' | ' || ['unknow_diff', 'feature_removed', 'feature_added'][kind + 1] || ' | 影响:中 | '
+ || concat_ws(' / ', CASE WHEN bt <> '' THEN 'Base ' || bp || ' P' || bp END, CASE WHEN ct <> '' THEN 'Compare ' || cp || ' P' || cp END)
+ || chr(10) || '差异描述: ' || said || chr(10) || 'Base 原文: ' || CASE WHEN bc = '' THEN '(无)' ELSE bc END || chr(10) || 'Compare 原文: ' || CASE WHEN cc = '' THEN '(无)' ELSE cc END AS block FROM whole""")
 def condense(spark, sf_dir):
     return report.condense(_analysed(spark, sf_dir))
 
