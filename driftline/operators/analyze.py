@@ -39,14 +39,34 @@ def hints(rows: DataFrame, key: list[str], text: str = "text", patterns=fixed.HI
     The pattern list is a constant of the program, so each pattern is one expression: no join at all.
     """
     low = F.lower(F.coalesce(text, F.lit("")))
-    order = sorted(range(len(patterns)), key=lambda i: (-patterns[i][2], i))
-    found = F.filter(F.array(*(F.when(tx.contains_any(low, patterns[i][1]), patterns[i][0]) for i in order)), lambda x: x.isNotNull())
+    found = found_hints(F.col(text), patterns)
     return rows.select(*key, tx.let(found, lambda h: F.array_join(F.slice(h, 1, k), "; ")).alias("hints"), F.size(found).cast("long").alias("n_found"))
 
 
-def prompt(doc_limit: int = 3000) -> Column:
-    """The user message of a row."""
-    head = F.concat(F.lit("# "), route(), F.lit("\n"))
+def found_hints(text: Column, patterns=fixed.HINTS) -> Column:
+    """What the patterns (name, keywords, priority and, if there is one, a text) with a keyword in the text say."""
+    low = F.lower(F.coalesce(text, F.lit("")))
+    order = sorted(range(len(patterns)), key=lambda i: (-patterns[i][2], i))
+    said = lambda p: p[3] if len(p) > 3 and p[3] else p[0]
+    return F.filter(F.array(*(F.when(tx.contains_any(low, patterns[i][1]), said(patterns[i])) for i in order)).cast("array<string>"), lambda x: x.isNotNull())
+
+
+#: What is asked of each kind of row.
+ASKED = {
+    "pair": "Both versions have this section. List every difference in substance between the two texts; ignore wording and layout. For each give type, impact, a quote of each side, a description and a hint on the work it takes.",
+    "base_only": "Only the base version has this section. Say what function, design or parameter is gone with it, with its impact, a quote and a hint on the work it takes.",
+    "compare_only": "Only the compare version has this section. Answer with type (feature_added, new_design, new_parameter or other) and a description of what is new.",
+}
+
+
+def prompt(doc_limit: int = 3000, patterns=fixed.HINTS, k: int = 3) -> Column:
+    """The user message of a row: what is asked of its kind, hints for pairs, and the texts."""
+    ask = F.lit(ASKED["pair"])
+    for kind in ("base_only", "compare_only"):
+        ask = F.when(route() == kind, ASKED[kind]).otherwise(ask)
+    whole = F.concat_ws(" ", "base_section_title", "base_content", "compare_section_title", "compare_content")
+    hint = tx.let(found_hints(whole, patterns), lambda h: F.when((route() == "pair") & (F.size(h) > 0), F.concat(F.lit("Known about the matter:\n- "), F.array_join(F.slice(h, 1, k), "\n- "), F.lit("\n"))).otherwise(""))
+    head = F.concat(ask, F.lit("\n"), hint)
     part = lambda s: F.concat(F.lit(f"## {s} "), F.coalesce(f"{s}_section_number", F.lit("")), F.lit(" "), F.coalesce(f"{s}_section_title", F.lit("")), F.lit("\n"), tx.truncate(F.coalesce(f"{s}_content", F.lit("")), doc_limit), F.lit("\n"))
     return F.concat(head, F.when(has_side("base"), part("base")).otherwise(""), F.when(has_side("compare"), part("compare")).otherwise(""))
 
@@ -174,7 +194,7 @@ def call_with_breaker(items: Iterator[tuple], analyzer: Analyzer, system: str, c
         yield key, reply, error
 
 
-def analyze(rows: DataFrame, analyzer: Analyzer | None = None, system: str = "", concurrency: int = 1, reason: str = "offline") -> DataFrame:
+def analyze(rows: DataFrame, analyzer: Analyzer | None = None, system: str = "", concurrency: int = 1, reason: str = "offline", patterns=fixed.HINTS) -> DataFrame:
     """``llm_result`` for every row. Without an analyzer, or where it fails, by rules.
 
     Calls run in ``concurrency`` tasks, each with its own breaker. A retried task calls again, so write
@@ -182,7 +202,7 @@ def analyze(rows: DataFrame, analyzer: Analyzer | None = None, system: str = "",
     """
     if analyzer is None:
         return rows.withColumn("llm_result", fallback(reason))
-    asked = rows.withColumns({"__skip": skipped(), "__prompt": prompt()})
+    asked = rows.withColumns({"__skip": skipped(), "__prompt": prompt(patterns=patterns)})
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         def feed():
@@ -195,7 +215,7 @@ def analyze(rows: DataFrame, analyzer: Analyzer | None = None, system: str = "",
     kind = rows.schema["item_id"].dataType.simpleString()
     replies = asked.filter("NOT __skip").select("item_id", "__prompt").repartition(concurrency).mapInPandas(run, f"item_id {kind}, reply string, error string")
     replies = replies.withColumn("parsed", F.when(F.col("reply").isNotNull(), parse_reply(json_of("reply"), F.col("reply"))))
-    return rows.join(replies, "item_id", "left").withColumn("llm_result", F.coalesce("parsed", fallback("no reply"))).drop("reply", "parsed", "error")
+    return rows.join(replies, "item_id", "left").withColumn("llm_result", F.coalesce("parsed", F.when(F.col("error") == "熔断开启", fallback("熔断开启")).otherwise(fallback("no reply")))).drop("reply", "parsed", "error")
 
 
 def breaker(outcomes: DataFrame, limit: int = 5) -> DataFrame:

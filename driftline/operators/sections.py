@@ -104,6 +104,13 @@ def tables_appendix(tables: DataFrame) -> DataFrame:
     return blocks.groupBy("doc_id").agg(F.concat(F.lit("## Tables\n\n"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("table_index", "b"))), lambda x: x["b"]), "\n\n")).alias("markdown"))
 
 
+def append_tables(lines: DataFrame, tables: DataFrame) -> DataFrame:
+    """Lines with each document's tables block after its last line."""
+    block = tables_appendix(tables).select("doc_id", F.posexplode(F.split("markdown", "\n")).alias("k", "text"))
+    every = lines.select("doc_id", F.lit(0).alias("part"), F.col("line_no").alias("k"), "page_num", "text").unionByName(block.select("doc_id", F.lit(1).alias("part"), "k", F.lit(None).cast("int").alias("page_num"), "text"))
+    return every.select("doc_id", F.row_number().over(Window.partitionBy("doc_id").orderBy("part", "k")).alias("line_no"), "page_num", "text")
+
+
 def insert_tables(lines: DataFrame, tables: DataFrame, placed: DataFrame, found: DataFrame) -> DataFrame:
     """Lines with each table's rows after the last line of its own section."""
     last = found.select("doc_id", F.col("seq").alias("section_seq"), F.coalesce(F.col("end_line") - 1, F.lit(2147483646)).alias("line_no"))

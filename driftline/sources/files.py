@@ -48,12 +48,19 @@ def docx_parts(data: bytes) -> Iterator[tuple[str, int, str, list]]:
 
 
 def docx(files: DataFrame) -> DataFrame:
-    """(doc_id, kind, pos, style, cells) of DOCX files; a paragraph is one cell."""
+    """(doc_id, kind, pos, style, cells) of DOCX files; a paragraph is one cell.
+
+    A file that can't be read has one row of kind "e" with the error in ``style``.
+    """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for doc, data in zip(batch["doc_id"], batch["content"]):
-                yield pd.DataFrame([(doc, *part) for part in docx_parts(data)], columns=["doc_id", "kind", "pos", "style", "cells"])
+                try:
+                    parts = list(docx_parts(data))
+                except (zipfile.BadZipFile, KeyError, ElementTree.ParseError) as error:
+                    parts = [("e", 0, f"{type(error).__name__}: {error}", [])]
+                yield pd.DataFrame([(doc, *part) for part in parts], columns=["doc_id", "kind", "pos", "style", "cells"])
 
     return files.filter("suffix = '.docx'").select("doc_id", "content").mapInPandas(run, "doc_id string, kind string, pos int, style string, cells array<array<string>>")
 
@@ -96,6 +103,39 @@ def pdf_pages(files: DataFrame, primary: Callable[[bytes], list[str]] | None = N
     return files.filter("suffix = '.pdf'").select("doc_id", "content").mapInPandas(run, "doc_id string, page_num int, text string")
 
 
+def pdf_tables(files: DataFrame, extract: Callable[[bytes], list[tuple[int, list[list[str]], float | None]]]) -> DataFrame:
+    """(doc_id, page_num, table_index, cells, accuracy) by a plug-in: a function from bytes to (page, cells,
+    accuracy or None) of the tables, in order. A document on which it fails has no tables."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for doc, data in zip(batch["doc_id"], batch["content"]):
+                try:
+                    found = list(extract(data))
+                except Exception:  # noqa: BLE001  whatever the plug-in raises: the caller's second source is used
+                    found = []
+                yield pd.DataFrame([(doc, page, k, [[c or "" for c in r] for r in cells], accuracy) for k, (page, cells, accuracy) in enumerate(found, 1)], columns=["doc_id", "page_num", "table_index", "cells", "accuracy"])
+
+    return files.filter("suffix = '.pdf'").select("doc_id", "content").mapInPandas(run, "doc_id string, page_num int, table_index int, cells array<array<string>>, accuracy double")
+
+
+def unreadable(files: DataFrame, parts: DataFrame) -> DataFrame:
+    """(doc_id, error) of files of other kinds than ``SUFFIXES`` and of DOCX files that are damaged."""
+    other = files.filter(~F.col("suffix").isin(*SUFFIXES)).select("doc_id", F.concat(F.lit("no reader for files like "), "doc_id").alias("error"))
+    return other.union(parts.filter("kind = 'e'").select("doc_id", "style"))
+
+
+def write_text(spark: SparkSession, path: str, text: str) -> None:
+    """A text file under any path that Spark can write."""
+    jvm = spark._jvm
+    to = jvm.org.apache.hadoop.fs.Path(path)
+    out = to.getFileSystem(spark._jsc.hadoopConfiguration()).create(to, True)
+    try:
+        out.write(bytearray(text.encode()))
+    finally:
+        out.close()
+
+
 def choose_tables(scored: DataFrame, simple: DataFrame, least_accuracy: float = 80.0) -> DataFrame:
     """Scored tables, flagged if inaccurate but never dropped; simple ones for documents without them."""
     flagged = scored.withColumn("low_accuracy", F.col("accuracy") < least_accuracy)
