@@ -151,9 +151,13 @@ def headings(spark, sf_dir):
     return _numbered(spark, sf_dir).withColumn("h", tx.heading(F.col("text"))).select("k", "text", "h.level", "h.title")
 
 
-@query(f"SELECT k, text, CASE WHEN regexp_matches(text, '^\\d+(\\.\\d+)*\\s+.+$') THEN len(string_split(regexp_extract(text, '^(\\d+(?:\\.\\d+)*)\\s', 1), '.')) WHEN regexp_matches(text, '^[A-Z]\\.\\s+.+$') OR regexp_matches(text, '^(?i:(Annex|Appendix)\\s+[A-Z]\\.?\\s+.+)$') THEN 1 END AS level FROM ({_NUMBERED})")
+_INFERRED = "CASE " + " ".join(f"WHEN regexp_matches(text, '{p}') THEN trim(regexp_extract(text, '{p}', {g}), ' ')" for p, g in fixed.NUMBERED_TITLES) + " END"
+
+
+@query(f"SELECT k, text, CASE WHEN regexp_matches(text, '^\\d+(\\.\\d+)*\\s+.+$') THEN len(string_split(regexp_extract(text, '^(\\d+(?:\\.\\d+)*)\\s', 1), '.')) WHEN regexp_matches(text, '^[A-Z]\\.\\s+.+$') OR regexp_matches(text, '^(?i:(Annex|Appendix)\\s+[A-Z]\\.?\\s+.+)$') THEN 1 END AS level, {_INFERRED} AS title FROM ({_NUMBERED})")
 def docx_titles(spark, sf_dir):
-    return _numbered(spark, sf_dir).select("k", "text", tx.numbered_title(F.col("text"))["level"].cast("long").alias("level"))
+    found = tx.numbered_title(F.col("text"))
+    return _numbered(spark, sf_dir).select("k", "text", found["level"].cast("long").alias("level"), found["title"].alias("title"))
 
 
 @query("SELECT p_partkey, s AS style, CASE WHEN s LIKE 'Heading 1%' OR s = 'Title' THEN 1 WHEN s LIKE 'Heading 2%' THEN 2 WHEN s LIKE 'Heading 3%' THEN 3 WHEN s = 'Caption' THEN 0 END AS level FROM (SELECT p_partkey, ['Heading 1', 'Heading 2 Char', 'heading 3', 'Title', 'Caption', 'Normal'][1 + p_partkey % 6] AS s0, replace(s0, 'heading 3', 'Heading 3') AS s FROM part)")
@@ -330,12 +334,6 @@ def diff_ops_char(spark, sf_dir):
     return _rebuilt(spark, sf_dir, textdiff.char_diff, "")
 
 
-@query()
-def diff_measures(spark, sf_dir):
-    d = turn_pairs(spark, sf_dir).select("conv_id", "turn", textdiff.line_diff("text", "next").alias("ops"))
-    return d.select("conv_id", "turn", textdiff.significant(F.col("ops"), 30).alias("has_diff"), textdiff.summary(F.col("ops")).alias("summary"), textdiff.snippet(F.col("ops")).alias("snippet"))
-
-
 def _items(spark, sf_dir):
     return textdiff.diff_items(part_sections(spark, sf_dir), _matched(spark, sf_dir), granularity="line")
 
@@ -346,9 +344,43 @@ _ITEM = f"""{_ALIGN}, items AS (
  UNION ALL SELECT pair_id, NULL, seq, 2, 0, '', title, '', content, NULL, page FROM s ANTI JOIN al ON s.pair_id = al.pair_id AND s.seq = al.compare_seq WHERE role = 'compare')"""
 
 
-@query(f"WITH {_ITEM} SELECT pair_id, base_seq, compare_seq, kind, similarity, bt AS base_section_title, ct AS compare_section_title, bp AS base_page, cp AS compare_page FROM items")
+def _measured() -> str:
+    """Line differences of two texts of three lines each, of which only those of one place can be equal: for every
+    choice of the lines that differ, the characters that go and come, and what is shown."""
+    same = "coalesce(bc = '' OR cc = '', true)"
+    line = lambda side, k: f"string_split({side}, chr(10))[{k + 1}]"
+    cases: dict[str, list[str]] = {"gone": [], "fresh": [], "shown": []}
+    for choice in range(8):
+        differs = [bool(choice >> k & 1) for k in range(3)]
+        when = " AND ".join(f"{line('bc', k)} {'<>' if differs[k] else '='} {line('cc', k)}" for k in range(3))
+        blocks: list[list[int]] = []
+        for k in range(3):
+            if k and differs[k] == differs[k - 1]:
+                blocks[-1].append(k)
+            else:
+                blocks.append([k])
+        joined = lambda side, block: " || chr(10) || ".join(line(side, k) for k in block)
+        changed = [x for x in blocks if differs[x[0]]]
+        for name, side in (("gone", "bc"), ("fresh", "cc")):
+            cases[name].append(f"WHEN {when} THEN " + (" + ".join(f"length({joined(side, x)})" for x in changed) or "0"))
+        cases["shown"].append(f"WHEN {when} THEN " + " || ".join(f"'~~' || {joined('bc', x)} || '~~**+' || {joined('cc', x)} || '**'" if differs[x[0]] else joined("bc", x) for x in blocks))
+    columns = ", ".join(f"CASE WHEN {same} THEN NULL {' '.join(x)} END AS {n}" for n, x in cases.items())
+    return f"SELECT *, {columns} FROM items"
+
+
+_MEASURES = f"""{_ITEM}, me AS ({_measured()}), ms AS (SELECT *, kind > 0 OR gone + fresh >= 30 AS has_diff,
+ CASE WHEN kind = 1 THEN '{textdiff.ONLY_BASE}' WHEN kind = 2 THEN '{textdiff.ONLY_COMPARE}' WHEN gone > 0 AND fresh > 0 THEN '变更：删除 ' || gone || ' 字符，新增 ' || fresh || ' 字符' WHEN gone > 0 THEN '删除：' || gone || ' 字符' WHEN fresh > 0 THEN '新增：' || fresh || ' 字符' ELSE '无显著变更' END AS diff_summary,
+ CASE WHEN kind = 0 AND gone + fresh >= 30 THEN shown ELSE '' END AS diff_snippet FROM me)"""
+
+
+@query(f"WITH {_MEASURES} SELECT pair_id, base_seq, compare_seq, has_diff, diff_summary, diff_snippet FROM ms WHERE kind = 0")
+def diff_measures(spark, sf_dir):
+    return _items(spark, sf_dir).filter("kind = 0").select("pair_id", "base_seq", "compare_seq", "has_diff", "diff_summary", "diff_snippet")
+
+
+@query(f"WITH {_MEASURES} SELECT pair_id, base_seq, compare_seq, kind, similarity, bt AS base_section_title, ct AS compare_section_title, bc AS base_content, cc AS compare_content, bp AS base_page, cp AS compare_page, has_diff, diff_summary, diff_snippet FROM ms")
 def diff_items(spark, sf_dir):
-    return _items(spark, sf_dir).select("pair_id", "base_seq", "compare_seq", "kind", "similarity", "base_section_title", "compare_section_title", "base_page", "compare_page")
+    return _items(spark, sf_dir).select("pair_id", "base_seq", "compare_seq", "kind", "similarity", "base_section_title", "compare_section_title", "base_content", "compare_content", "base_page", "compare_page", "has_diff", "diff_summary", "diff_snippet")
 
 
 @query(f"WITH {_ITEM} SELECT pair_id, kind, similarity, base_seq, compare_seq FROM items ORDER BY pair_id, kind, similarity DESC, base_seq NULLS FIRST, compare_seq NULLS FIRST LIMIT 50")
