@@ -48,36 +48,41 @@ def byte_characters() -> list[str]:
     return [chr(b) if b in seen else chr(next(extra)) for b in range(256)]
 
 
+def library_of(path: str):
+    """The tokenizers library's normaliser and pre-tokenizer of a file, without its vocabulary."""
+    from tokenizers import Tokenizer as Library
+
+    spec = json.loads(open(path, encoding="utf-8").read())
+    # What the normaliser and pre-tokenizer do does not depend on the model.
+    spec["model"] = {"type": "BPE", "vocab": {}, "merges": []}
+    spec["added_tokens"], spec["post_processor"] = [], None
+    return Library.from_str(json.dumps(spec))
+
+
+def _split_pattern(spec: dict) -> str:
+    return next(p["pattern"]["Regex"] for p in spec["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split")
+
+
 def odd_characters(path: str) -> bytes:
     """A bit for each code point: whether Python and the tokenizers library may read it differently."""
     if path not in _ODD:
-        from tokenizers import Tokenizer as Library
-
-        library, own = Library.from_file(path), tokenizer(path)
-        odd = np.array([not 0xD800 <= c < 0xE000 and unicodedata.category(chr(c)) in ("Cn", "Co") for c in range(0x110000)])
-        known = [c for c in range(0x110000) if not odd[c] and not 0xD800 <= c < 0xE000]
-        text = " ".join(f"a{chr(c)}b" for c in known)
-        # Each character stands between letters; its pieces are told apart by the blanks before them.
-        theirs, mine, byte_of = [[]], [[]], {c: b for b, c in enumerate(byte_characters())}
-        plain = library.normalizer.normalize_str(text)
-        last = 0
-        for piece, (start, end) in library.pre_tokenizer.pre_tokenize_str(plain):
-            if " " in plain[last:start]:
-                theirs.append([])
-            theirs[-1].append(bytes(byte_of[c] for c in piece))
-            last = end
-        plain, last = own.normal(text), 0
-        for m in own.pattern.finditer(plain):
-            if own.space.search(plain, last, m.start()):
-                mine.append([])
-            mine[-1].append(m[0].encode())
-            last = m.end()
-        if theirs != mine:
-            # Rare: then one by one.
-            for c in known:
-                t = f"a{chr(c)}b"
-                a = [bytes(byte_of[x] for x in p) for p, _ in library.pre_tokenizer.pre_tokenize_str(library.normalizer.normalize_str(t))]
-                odd[c] = a != [p.encode() for p in own.pattern.findall(own.normal(t))]
+        library, byte_of = library_of(path), {c: b for b, c in enumerate(byte_characters())}
+        pattern = regex.compile(_split_pattern(json.loads(open(path, encoding="utf-8").read())))
+        pieces = lambda t: [bytes(byte_of[x] for x in p) for p, _ in library.pre_tokenizer.pre_tokenize_str(library.normalizer.normalize_str(t))]
+        own = lambda t: [p.encode() for p in pattern.findall(Tokenizer.normal(t))]
+        odd = np.zeros(0x110000, bool)
+        for start in range(0, 0x110000, 4096):
+            known = []
+            for c in range(start, start + 4096):
+                if not 0xD800 <= c < 0xE000:
+                    odd[c] = unicodedata.category(chr(c)) in ("Cn", "Co")
+                    if not odd[c]:
+                        known.append(c)
+            # Each character stands between letters. Blocks that agree as a whole need no closer look.
+            text = " ".join(f"a{chr(c)}b" for c in known)
+            if pieces(text) != own(text):
+                for c in known:
+                    odd[c] = pieces(f"a{chr(c)}b") != own(f"a{chr(c)}b")
         _ODD[path] = np.packbits(odd).tobytes()
     return _ODD[path]
 
@@ -94,12 +99,10 @@ class Tokenizer:
         spec = json.loads(open(path, encoding="utf-8").read())
         model = spec["model"]
         suffix, vocab = model["end_of_word_suffix"], model["vocab"]
-        pattern = next(p["pattern"]["Regex"] for p in spec["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split")
-        self.pattern = regex.compile(pattern)
+        self.pattern = regex.compile(_split_pattern(spec))
         special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.special, self.path = special, path
         self.odd: np.ndarray | None = None
-        self.space = regex.compile(r"\s")
         self.split_special = regex.compile("(" + "|".join(map(regex.escape, sorted(special, key=len, reverse=True))) + ")") if special else None
 
         chars = byte_characters()
@@ -250,9 +253,7 @@ class Tokenizer:
 
     def _library(self):
         if self._theirs is None:
-            from tokenizers import Tokenizer as Library
-
-            self._theirs = Library.from_file(self.path)
+            self._theirs = library_of(self.path)
         return self._theirs
 
     def encode_plain(self, text: str) -> bytes:

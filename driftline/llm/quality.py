@@ -88,11 +88,16 @@ def _collect(sample: DataFrame) -> list[dict]:
         for batch in chunks(batches, "__raw"):
             both = [views(*row) for row in zip(*(batch.column(c).to_pylist() for c in ("__raw", *_INPUT)))]
             packed = [pa.array([sorted(x) for x in view], pa.list_(pa.binary())) for view in zip(*both)]
-            yield pa.RecordBatch.from_arrays([batch.column("h"), batch.column("quality"), *packed], ["h", "quality", "content", "meta"])
+            yield pa.RecordBatch.from_arrays([batch.column("h"), batch.column("t"), batch.column("quality"), *packed], ["h", "t", "quality", "content", "meta"])
 
-    df = sample.select(F.xxhash64(F.col("doc_id").cast("string"), F.lit("fold")).alias("h"), F.col("quality").cast("int").alias("quality"), raw().alias("__raw"), *_typed(sample))
-    rows = map_arrow(df, run, "h long, quality int, content array<binary>, meta array<binary>").toArrow().to_pylist()
-    return sorted(rows, key=lambda r: (r["h"], r["content"], r["meta"], r["quality"]))
+    df = sample.select(F.xxhash64(F.col("doc_id").cast("string"), F.lit("fold")).alias("h"), F.xxhash64("text").alias("t"), F.col("quality").cast("int").alias("quality"), raw().alias("__raw"), *_typed(sample))
+    # Each feature is one object, however many rows hold it.
+    same: dict[bytes, bytes] = {}
+    one = lambda bag: {same.setdefault(w, w) for w in bag}
+    rows = []
+    for batch in map_arrow(df, run, "h long, t long, quality int, content array<binary>, meta array<binary>").toArrow().to_batches(max_chunksize=64):
+        rows += [{"h": r["h"], "t": r["t"], "quality": r["quality"], "content": one(r["content"]), "meta": one(r["meta"])} for r in batch.to_pylist()]
+    return sorted(rows, key=lambda r: (r["h"], r["t"], r["quality"], sorted(r["meta"])))
 
 
 class Learner:
@@ -197,7 +202,7 @@ def fit(rows: list[dict], fresh: DataFrame, rounds: int = ROUNDS):
         return None
     if len({r["quality"] for r in rows}) < 2:
         return (sum(r["quality"] for r in rows) + 1) / (len(rows) + 2)
-    bags = [[set(r[view]) for view in ("content", "meta")] for r in rows]
+    bags = [[r[view] for view in ("content", "meta")] for r in rows]
     y = np.array([r["quality"] for r in rows])
     back = np.array([r["h"] % 4 == 0 for r in rows])
     if len(set(y[back])) < 2 or len(set(y[~back])) < 2:
