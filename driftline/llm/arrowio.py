@@ -30,14 +30,18 @@ def map_arrow(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[
 
     def tidy(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from run(batches)
-        pa.default_memory_pool().release_unused()
-        # Workers live on from task to task; glibc alone would keep what they have freed.
-        if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
-            trim(0)
+        release()
 
     return df.mapInArrow(tidy, schema)
 
 
+def release() -> None:
+    """Give freed memory back: a process lives on after its task or fit, and glibc alone would keep it."""
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+        trim(0)
+
+
 def raw(col: str | Column = "text") -> Column:
     """A text column as UTF-8 bytes; null reads as empty."""
     return F.coalesce(F.col(col) if isinstance(col, str) else col, F.lit("")).cast("binary")

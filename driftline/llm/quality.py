@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from driftline.llm.arrowio import chunks, map_arrow, raw
+from driftline.llm.arrowio import chunks, map_arrow, raw, release
 from driftline.llm.decontam import words
 from driftline.llm.linear import in_sample, labelled, logistic, sigmoid
 from driftline.llm.toxicity import vocabulary
@@ -224,9 +224,10 @@ def fit(rows: list[dict], fresh: DataFrame, rounds: int = ROUNDS):
 
     def model(part: pa.Table) -> tuple[list[dict], list[float]]:
         weights: list[dict] = [{}, {}]
-        for v, w, c, cw in zip(*(part.column(c).to_pylist() for c in ("view", "feature", "c", "cw"))):
-            if cw:
-                weights[v][w] = cw / c
+        for batch in part.to_batches(max_chunksize=1 << 14):
+            for v, w, c, cw in zip(*(batch.column(c).to_pylist() for c in ("view", "feature", "c", "cw"))):
+                if cw:
+                    weights[v][w] = cw / c
         return weights, [w.pop(b"", 0.0) for w in weights]
 
     weights, bias = model(labelled_part)
@@ -234,6 +235,8 @@ def fit(rows: list[dict], fresh: DataFrame, rounds: int = ROUNDS):
         found = hand_over(fresh, starts, weights, bias).unionByName(fresh.sparkSession.createDataFrame(labelled_part))
         mixed = found.groupBy("view", "feature").agg(F.sum("c").alias("c"), F.sum("cw").alias("cw"))
         weights, bias = model(mixed.filter(F.col("cw") != 0).toArrow())
+        del found, mixed
+        release()
     at = np.flatnonzero(back) if back.any() else np.arange(len(y))
     keys = [set(w) for w in weights]
     scores = np.array([_sums(weights, keys, bias, bags[i]) for i in at])
@@ -249,7 +252,10 @@ def train(documents: DataFrame, labels: DataFrame, sample: int = SAMPLE, rounds:
     # The sample's own documents alone are no fresh ones; its ids are as few as it is.
     total = judged.select(F.count("doc_id")).first()[0]
     ids = judged.filter(in_sample(sample / max(total, sample))).select("doc_id").distinct()
-    return fit(rows, documents.select(*columns).join(F.broadcast(ids), "doc_id", "left_anti"), rounds)
+    model = fit(rows, documents.select(*columns).join(F.broadcast(ids), "doc_id", "left_anti"), rounds)
+    del rows
+    release()
+    return model
 
 
 def score(documents: DataFrame, model, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
