@@ -22,7 +22,9 @@ were; a source or language is one feature, whatever characters it holds.
 from __future__ import annotations
 
 import math
-from collections.abc import Iterable, Iterator
+from collections.abc import Collection, Iterator
+from functools import cache
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -49,20 +51,25 @@ _NOT_UPPER = bytes(b for b in range(256) if not 65 <= b <= 90)
 _NOT_DIGIT = bytes(b for b in range(256) if not 48 <= b <= 57)
 
 
+@cache
+def _measure(name: str, k: int) -> bytes:
+    return f"m:{name}:{k}".encode()
+
+
 def _step(name: str, x: float) -> bytes:
-    return f"m:{name}:{int(np.log2(x + 1) * 2)}".encode()
+    return _measure(name, int(math.log2(x + 1) * 2))
 
 
 def _share(name: str, part: int, whole: int) -> bytes:
-    return f"m:{name}:{int(np.ceil(20 * part / whole)) if whole else -1}".encode()
+    return _measure(name, math.ceil(20 * part / whole) if whole else -1)
 
 
 def views(text: bytes, source: str | None, lang: str | None, n_chars: int | None) -> tuple[set[bytes], set[bytes]]:
     """Features of the text view and of the metadata view."""
-    signs = text.translate(None, _LETTERS)
-    content = set(words(text)) | {b"s:" + s for s in signs.split()}
+    signs = text.translate(None, _LETTERS).split()
+    content = set(words(text))
+    content.update([b"s:" + s for s in set(signs)])
     lines = text.split(b"\n")
-    marks = sum(map(len, signs.split()))
     meta = {
         f"m:source:{source}".encode(),
         f"m:lang:{lang}".encode(),
@@ -71,7 +78,7 @@ def views(text: bytes, source: str | None, lang: str | None, n_chars: int | None
         _share("repeated", len(lines) - len(set(lines)), len(lines)),
         _share("upper", len(text.translate(None, _NOT_UPPER)), len(text)),
         _share("digit", len(text.translate(None, _NOT_DIGIT)), len(text)),
-        _share("sign", marks, len(text)),
+        _share("sign", len(b"".join(signs)), len(text)),
     }
     return content, meta
 
@@ -108,7 +115,8 @@ class Learner:
     def __init__(self, start: tuple[list[bytes], np.ndarray, np.ndarray] = ([b""], np.zeros(1), np.zeros(1))) -> None:
         names, z, root = start
         self.index = {w: k for k, w in enumerate(names)}
-        self.z, self.root, self.seen = z.copy(), root.copy(), np.zeros(len(z), "i8")
+        # A row a feature, so that its z, root and rows seen are read and written at once.
+        self.table = np.stack((z, root, np.zeros(len(z))), 1)
         self.rows = 0
 
     def _weights(self, z: np.ndarray, root: np.ndarray, free: int) -> np.ndarray:
@@ -118,50 +126,63 @@ class Learner:
         w[free] = -z[free] * self.ALPHA / (self.BETA + root[free])
         return w
 
-    def places(self, bag: Iterable[bytes]) -> list[int | None]:
-        """Where the features are in the tables; None for those not met yet."""
-        return list(map(self.index.get, bag))
+    def places(self, bag: Collection[bytes]) -> np.ndarray:
+        """Where the bias and the features are in the table; -1 for those not met yet."""
+        return np.fromiter(chain((0,), map(self.index.get, bag, repeat(-1))), "i8", len(bag) + 1)
 
-    def learn(self, bag: Iterable[bytes], label: int, places: list[int | None] | None = None) -> None:
+    def learn(self, bag: Collection[bytes], label: int, at: np.ndarray | None = None) -> None:
         index = self.index
-        if places is None or None in places:
-            places = [index.setdefault(w, len(index)) for w in bag]
-        at = np.array([0, *places])
-        if len(index) > len(self.z):
-            more = np.zeros(len(index) + 1024)
-            self.z, self.root, self.seen = np.append(self.z, more), np.append(self.root, more), np.append(self.seen, more.astype("i8"))
-        z, root = self.z[at], self.root[at]
+        at = self.places(bag) if at is None else at
+        new = np.flatnonzero(at < 0).tolist()
+        if new:
+            names = list(bag)
+            for k in new:
+                at[k] = index.setdefault(names[k - 1], len(index))
+            if len(index) > len(self.table):
+                self.table = np.concatenate((self.table, np.zeros((len(index) + 1024, 3))))
+        rows = self.table.take(at, 0)
+        z, root, seen = rows.T
         w = self._weights(z, root, 0)
         g = 1 / (1 + math.exp(-min(max(float(w.sum()), -40.0), 40.0))) - label
         after = np.sqrt(root * root + g * g)
         w *= (after - root) / self.ALPHA
-        self.z[at] = z - w + g
-        self.root[at] = after
-        self.seen[at] += 1
+        z -= w
+        z += g
+        root[:] = after
+        seen += 1
+        self.table[at] = rows
         self.rows += 1
 
+    def forget_rows(self) -> None:
+        """Count the rows of each feature anew."""
+        self.table[:, 2] = 0
+
     def state(self) -> tuple[list[bytes], np.ndarray, np.ndarray]:
-        return list(self.index), self.z[: len(self.index)], self.root[: len(self.index)]
+        z, root, _ = self.table[: len(self.index)].T.copy()
+        return list(self.index), z, root
 
     def part(self, view: int) -> pa.RecordBatch:
         """Each feature met, the rows it was met in and its weight times these."""
-        names, z, root = self.state()
-        met = np.flatnonzero(self.seen[: len(names)])
-        seen, w = self.seen[met], self._weights(z, root, 0)[met]
-        return pa.RecordBatch.from_arrays([pa.array([view] * len(met), pa.int32()), pa.array([names[k] for k in met], pa.binary()), pa.array(seen, pa.int64()), pa.array(seen * w, pa.float64())], ["view", "feature", "c", "cw"])
+        names = list(self.index)
+        met = np.flatnonzero(self.table[: len(names), 2])
+        z, root, seen = self.table[met].T
+        w = self._weights(z, root, 0)
+        return pa.RecordBatch.from_arrays([pa.array(np.full(len(met), view, "i4")), pa.array([names[k] for k in met.tolist()], pa.binary()), pa.array(seen.astype("i8")), pa.array(seen * w)], ["view", "feature", "c", "cw"])
 
 
-def _sums(weights: list[dict], keys: list[set], bias: list[float], bags) -> list[float]:
-    return [bias[v] + math.fsum(map(weights[v].__getitem__, keys[v] & bag)) for v, bag in enumerate(bags)]
+def _sums(weights: list[dict], bias: list[float], bags) -> list[float]:
+    return [bias[v] + math.fsum(map(weights[v].get, bag, repeat(0.0))) for v, bag in enumerate(bags)]
 
 
 def _union(start: tuple, weights: dict) -> tuple[tuple, np.ndarray]:
-    """The state of the fit to the labelled rows with room for every feature that has a weight, and the weights."""
+    """The state of the fit to the labelled rows with room for every feature that has a weight, and the weights.
+
+    The bias, which is at place 0, and the place after the last have no weight here.
+    """
     names, z, root = start
     known = set(names)
     more = [w for w in weights if w not in known]
-    place = np.zeros(len(names) + len(more))
-    place[:] = [weights.get(w, 0.0) for w in [*names, *more]]
+    place = np.array([*map(weights.get, [*names, *more], repeat(0.0)), 0.0])
     return ([*names, *more], np.append(z, np.zeros(len(more))), np.append(root, np.zeros(len(more)))), place
 
 
@@ -181,8 +202,8 @@ def hand_over(documents: DataFrame, starts: list[tuple], weights: list[dict], bi
                 bags = views(*row)
                 places = [x.places(bag) for x, bag in zip(learners, bags)]
                 for v in (0, 1):
-                    # Features beyond the first ones were met in this task and have no weight yet.
-                    s = bias[v] + float(both[v][1][[k for k in places[v] if k is not None and k < known[v]]].sum())
+                    # Features beyond the first ones were met in this task, or not yet, and read a weight of 0.
+                    s = bias[v] + float(both[v][1].take(places[v], mode="clip").sum())
                     if abs(s) >= sure:
                         learners[1 - v].learn(bags[1 - v], int(s > 0), places[1 - v])
             for v in (0, 1):
@@ -215,7 +236,7 @@ def fit(rows: list[dict], fresh: DataFrame, rounds: int = ROUNDS):
         kept = {int(i): sorted(bags[i][v] & vocab.keys()) for i in own_rows}
         for epoch in range(EPOCHS):
             if epoch:
-                learner.seen[:] = 0
+                learner.forget_rows()
             for i in rng.permutation(own_rows).tolist():
                 learner.learn(kept[i], int(y[i]))
         starts.append(learner.state())
@@ -238,8 +259,7 @@ def fit(rows: list[dict], fresh: DataFrame, rounds: int = ROUNDS):
         del found, mixed
         release()
     at = np.flatnonzero(back) if back.any() else np.arange(len(y))
-    keys = [set(w) for w in weights]
-    scores = np.array([_sums(weights, keys, bias, bags[i]) for i in at])
+    scores = np.array([_sums(weights, bias, bags[i]) for i in at])
     own = [logistic(np.clip(scores[:, [v]], -20, 20), y[at]) for v in (0, 1)]
     both = logistic(np.clip(scores, -20, 20), y[at])
     return weights, bias, own, both
@@ -268,13 +288,12 @@ def score(documents: DataFrame, model, keep: tuple[str, ...] = ("doc_id",)) -> D
         model = shared.value
         if isinstance(model, tuple):
             weights, bias, own, both = model
-            keys = [set(w) for w in weights]
         for batch in chunks(batches, "__raw"):
             p = np.full((batch.num_rows, 3), 1.0 if model is None else model if isinstance(model, float) else 0.0)
             if isinstance(model, tuple):
                 s = np.empty((batch.num_rows, 2))
                 for i, row in enumerate(zip(*(batch.column(c).to_pylist() for c in ("__raw", *("__" + n for n in _INPUT))))):
-                    s[i] = _sums(weights, keys, bias, views(*row))
+                    s[i] = _sums(weights, bias, views(*row))
                 s = np.clip(s, -20, 20)
                 p = np.stack([sigmoid(own[0][0] + own[0][1] * s[:, 0]), sigmoid(own[1][0] + own[1][1] * s[:, 1]), sigmoid(both[0] + s @ both[1:])], 1)
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), *(pa.array(p[:, k]) for k in range(3))], schema.names)

@@ -422,6 +422,47 @@ def test_quality_learns_from_every_sure_document(spark):
     assert all(weights.get(w.encode(), 0) * (1 if k % 2 else -1) > 0 for k, w in enumerate(rare))
 
 
+class Hashed(bytes):
+    """A feature that counts how often it is looked up."""
+
+    times = 0
+
+    def __hash__(self):
+        Hashed.times += 1
+        return super().__hash__()
+
+
+def test_quality_learner_looks_features_up_once_and_equals_a_plain_one():
+    rnd = random.Random(23)
+    names = [b"w%d" % k for k in range(60)]
+    learner = quality.Learner(([b"", *names[:20]], np.linspace(-2, 2, 21), np.linspace(0, 1, 21)))
+    plain = {w: [z, root, 0] for w, z, root in zip([b"", *names[:20]], np.linspace(-2, 2, 21).tolist(), np.linspace(0, 1, 21).tolist())}
+
+    def weight(w):
+        z, root, _ = plain[w]
+        if w == b"":
+            return -z * learner.ALPHA / (learner.BETA + root)
+        return -math.copysign(max(abs(z) - learner.L1, 0), z) / ((learner.BETA + root) / learner.ALPHA + learner.L2)
+
+    for _ in range(300):
+        bag, label = {Hashed(w) for w in rnd.sample(names, 12)}, rnd.randrange(2)
+        Hashed.times, fresh = 0, sum(w not in learner.index for w in map(bytes, bag))
+        learner.learn(bag, label, learner.places(bag))
+        assert Hashed.times <= len(bag) + fresh
+        held = [b"", *map(bytes, bag)]
+        for w in held:
+            plain.setdefault(w, [0.0, 0.0, 0])
+        old = {w: weight(w) for w in held}
+        g = 1 / (1 + math.exp(-sum(old.values()))) - label
+        for w in held:
+            z, root, seen = plain[w]
+            after = math.hypot(root, g)
+            plain[w] = [z + g - (after - root) / learner.ALPHA * old[w], after, seen + 1]
+    part = {w: (c, cw) for w, c, cw in zip(*(learner.part(0).column(k).to_pylist() for k in ("feature", "c", "cw")))}
+    assert part.keys() == {w for w in plain if plain[w][2]}
+    assert all(c == plain[w][2] and abs(cw - c * weight(w)) < 1e-6 for w, (c, cw) in part.items())
+
+
 def brute_rules(rows, least, confidence, lift):
     """{(need, label): confidence} of the pruned rules, by counting every combination of token classes."""
     where = {}
