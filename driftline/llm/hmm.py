@@ -22,11 +22,11 @@ ignored; a null ``doc_id`` reads as the empty text in the split.
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -43,8 +43,8 @@ BLOCK = 400_000
 PIECE = 512
 #: Bins of token counts for each doubling, to find how many occurrences make a symbol.
 PER_DOUBLING = 16
-#: Distinct tokens a counting task holds before it emits partial counts.
-HELD = 400_000
+#: Steps between two scalings of a transfer matrix, few enough that no product vanishes.
+RESCALE = 8
 #: Added to each expected count, so that no symbol is impossible in a state.
 PRIOR = 0.05
 STAY = 0.95
@@ -53,36 +53,50 @@ CHUNK = 24 << 20
 END = b""
 
 
-def token_class(token: bytes) -> int:
-    return min(len(token) >> 1, 15) + 16 * token.isalpha()
+def token_classes(names: pa.Array) -> np.ndarray:
+    """The open class of each token."""
+    letters = np.asarray(pc.ascii_is_alpha(names.view(pa.string())))
+    return np.minimum(np.asarray(pc.binary_length(names)) >> 1, 15) + 16 * letters
 
 
 def _class_column() -> F.Column:
     return F.least(F.shiftright(F.length("token"), 1), F.lit(15)) + F.when(F.col("token").cast("string").rlike("^[A-Za-z]+$"), 16).otherwise(0)
 
 
-def _tokens(text: bytes) -> list[bytes]:
-    out = text.lower().split()
-    out.append(END)
-    return out
+def tokenize(texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """The distinct tokens of binary texts, all tokens by their place in these, and how many each text has."""
+    # Only ASCII matters to these functions, so that the bytes need not be checked.
+    parts = pc.ascii_split_whitespace(pc.ascii_lower(texts.view(pa.string())))
+    found = parts.flatten().dictionary_encode()
+    names, codes = found.dictionary.view(pa.binary()), np.asarray(found.indices)
+    # Blanks at either end of a text leave empty tokens; each text gets one, its end.
+    end = pc.index(names, pa.scalar(END, pa.binary())).as_py()
+    if end < 0:
+        end, names = len(names), pa.concat_arrays([names, pa.array([END], pa.binary())])
+    text = np.repeat(np.arange(len(texts)), np.asarray(pc.list_value_length(parts)))
+    real = codes != end
+    sizes = np.bincount(text[real], minlength=len(texts)) + 1
+    out = np.empty(sizes.sum(), "i4")
+    ends = np.cumsum(sizes) - 1
+    inner = np.ones(len(out), bool)
+    inner[ends] = False
+    out[ends], out[inner] = end, codes[real]
+    return names, out, sizes
+
+
+def symbols_of(names: pa.Array, known: pa.Array) -> np.ndarray:
+    """The symbol of each token: its place in ``known`` or, beyond these, its open class."""
+    found = np.asarray(pc.index_in(names, known).fill_null(-1))
+    return np.where(found < 0, len(known) + token_classes(names), found).astype("i4")
 
 
 def token_counts(texts: DataFrame) -> DataFrame:
     """(token, c) over a binary column ``__raw``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: Counter = Counter()
         for batch in chunks(batches, "__raw"):
-            for text in batch.column("__raw").to_pylist():
-                held.update(_tokens(text))
-            if len(held) > HELD:
-                yield _emit(held)
-                held = Counter()
-        if held:
-            yield _emit(held)
-
-    def _emit(held: Counter) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(held.keys(), pa.binary()), pa.array(held.values(), pa.int64())], ["token", "c"])
+            names, codes, _ = tokenize(batch.column("__raw"))
+            yield pa.RecordBatch.from_arrays([names, pa.array(np.bincount(codes, minlength=len(names)), pa.int64())], ["token", "c"])
 
     return map_arrow(texts.select("__raw"), run, "token binary, c long").groupBy("token").agg(F.sum("c").alias("c"))
 
@@ -124,21 +138,29 @@ class Block:
             cur = nxt
         return alpha, scale
 
-    def transfer(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        """Scaled matrices from the state before each sequence to the one at its end."""
-        emit, off, k = b[self.x].astype("f8"), self.offset.tolist(), len(a)
-        out = np.zeros((len(self.sizes), k, k))
-        out[:, range(k), range(k)] = 1.0
-        for t in range(len(off) - 1):
+    def transfer(self, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Scaled matrices from the state before each sequence to the one at its end, and log10 of their scales."""
+        off, k, n = self.offset.tolist(), len(a), len(self.sizes)
+        # From, to, sequence: what is done to all sequences runs along the memory.
+        emit, back = b.T.astype("f8")[:, self.x], a.T.astype("f8")
+        out, moved, logs = np.zeros((k, k, n)), np.empty((k, k, n)), np.zeros(n)
+        out[range(k), range(k)] = emit[:, : off[1]]
+
+        def rescale(n: int) -> None:
+            scale = out[:, :, :n].sum((0, 1))
+            out[:, :, :n] /= scale
+            logs[:n] += np.log10(scale)
+
+        for t in range(1, len(off) - 1):
             lo, hi = off[t], off[t + 1]
-            cur = out[: hi - lo]
-            if t:
-                cur = (cur.reshape(-1, k) @ a).reshape(-1, k, k)
-            cur = cur * emit[lo:hi, None, :]
-            out[: hi - lo] = cur / cur.sum((1, 2), keepdims=True)
-        back = np.empty_like(out)
-        back[self.order] = out
-        return back
+            np.matmul(back, out[:, :, : hi - lo], out=moved[:, :, : hi - lo])
+            np.multiply(moved[:, :, : hi - lo], emit[:, lo:hi], out=out[:, :, : hi - lo])
+            if t % RESCALE == 0:
+                rescale(hi - lo)
+        rescale(n)
+        given = np.empty_like(self.order)
+        given[self.order] = np.arange(n)
+        return out.transpose(2, 0, 1)[given], logs[given]
 
     def likelihoods(self, start: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """log10 probability of each sequence, in the order given."""
@@ -212,38 +234,47 @@ class Pieces:
         self.text = np.repeat(np.arange(len(texts)), [-(-len(x) // piece) for x in texts])
         n, k = len(self.seqs), len(a)
         self.first = np.concatenate(([True], self.text[1:] != self.text[:-1])) if n else np.empty(0, bool)
-        self.start, self.end, self.enter = np.tile(pi.astype("f8"), (n, 1)), np.ones((n, k)), np.ones((n, k))
-        many = np.flatnonzero(~(self.first & np.append(self.first[1:], True)))
-        if not len(many):
-            return
-        through = np.empty((len(many), k, k))
-        for held, block in _blocks([self.seqs[j] for j in many]):
-            through[held] = block.transfer(a, b)
+        self.last = np.append(self.first[1:], True) if n else np.empty(0, bool)
+        self.start, self.enter = np.tile(pi.astype("f8"), (n, 1)), np.ones((n, k))
+        #: log10 probability of the pieces that another one follows, given what is before them.
+        self.passed = np.zeros(n)
+        self.through = np.empty((n, k, k))
+        self._transfer(np.flatnonzero(~self.last), self.passed)
         at = a.astype("f8")
-        for x, j in enumerate(many.tolist()):
-            if not self.first[j]:
-                out = self.start[j - 1] @ through[x - 1]
-                self.enter[j] = out / out.sum()
-                self.start[j] = self.enter[j] @ at
-        for x in range(len(many) - 2, -1, -1):
-            j = many[x]
-            if not self.first[j + 1]:
-                out = at @ (through[x + 1] @ self.end[j + 1])
-                self.end[j] = out / out.sum()
+        for j in np.flatnonzero(~self.last).tolist():
+            out = self.start[j] @ self.through[j]
+            total = out.sum()
+            self.passed[j] += np.log10(total)
+            self.enter[j + 1] = out / total
+            self.start[j + 1] = self.enter[j + 1] @ at
+
+    def _transfer(self, pieces: np.ndarray, logs: np.ndarray) -> None:
+        _, a, b = self.model
+        for held, block in _blocks([self.seqs[j] for j in pieces.tolist()]):
+            self.through[pieces[held]], logs[pieces[held]] = block.transfer(a, b)
 
     def likelihoods(self, texts: int) -> np.ndarray:
         """log10 probability of each text."""
         _, a, b = self.model
-        out = np.zeros(len(self.seqs))
-        for held, block in _blocks(self.seqs):
-            out[held] = block.likelihoods(self.start[held].astype(b.dtype), a, b)
+        out, last = self.passed.copy(), np.flatnonzero(self.last)
+        for held, block in _blocks([self.seqs[j] for j in last.tolist()]):
+            out[last[held]] = block.likelihoods(self.start[last[held]].astype(b.dtype), a, b)
         return np.bincount(self.text, out, texts)
 
+    def _ends(self) -> np.ndarray:
+        """The backward variable at the end of each piece."""
+        end, at = np.ones((len(self.seqs), len(self.model[1]))), self.model[1].astype("f8")
+        self._transfer(np.flatnonzero(self.last & ~self.first), np.empty(len(self.seqs)))
+        for j in np.flatnonzero(~self.last)[::-1].tolist():
+            out = at @ (self.through[j + 1] @ end[j + 1])
+            end[j] = out / out.sum()
+        return end
+
     def expect(self, emit: np.ndarray, move: np.ndarray, begin: np.ndarray) -> float:
         _, a, b = self.model
-        fit = 0.0
+        fit, end = 0.0, self._ends()
         for held, block in _blocks(self.seqs):
-            fit += block.expect(self.start[held].astype(b.dtype), a, b, emit, move, begin, self.first[held], self.end[held], self.enter[held])
+            fit += block.expect(self.start[held].astype(b.dtype), a, b, emit, move, begin, self.first[held], end[held], self.enter[held])
         return fit
 
 
@@ -275,14 +306,14 @@ def score(documents: DataFrame, held_out: F.Column | None = None, states: int =
     n_all, v_all = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
     head = sorted(frequent(counts, symbols).toArrow().to_pylist(), key=lambda r: (-r["c"], r["token"]))
     names, top = [r["token"] for r in head], np.array([r["c"] for r in head], "i8")
-    vocab = {t: k for k, t in enumerate(names)}
+    known_names = pa.array(names, pa.binary())
     # What the open classes hold: all of a class less its symbols.
     per_class = np.zeros((CLASSES, 2))
     for c, total, distinct in counts.filter(F.length("token") > 0).groupBy(_class_column()).agg(F.sum("c"), F.count("*")).collect():
         per_class[c] = total, distinct
-    for t, c in zip(names, top):
+    for t, k, c in zip(names, token_classes(known_names).tolist(), top):
         if t:
-            per_class[token_class(t)] -= c, 1
+            per_class[k] -= c, 1
     class_mass = per_class[:, 0] + 0.1 * (per_class[:, 1] + 1)
     n_symbols = len(names) + CLASSES
 
@@ -293,20 +324,15 @@ def score(documents: DataFrame, held_out: F.Column | None = None, states: int =
     # States start out lasting, so that the first rounds sort texts, not single words, among them.
     a = STAY * np.eye(states) + (1 - STAY) / states
     pi = np.full(states, 1 / states)
-    shared_vocab = sc.broadcast(vocab)
-
-    def ids(tokens: list[bytes], index: dict[bytes, int]) -> np.ndarray:
-        base = len(index)
-        found = [index.get(t, -1) for t in tokens]
-        out = np.array(found, "i4")
-        for k in np.flatnonzero(out < 0).tolist():
-            out[k] = base + token_class(tokens[k])
-        return out
+    shared_names = sc.broadcast(known_names)
 
     def numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in chunks(batches, "__raw"):
-            packed = [ids(_tokens(text), shared_vocab.value).astype(kind).tobytes() for text in batch.column("__raw").to_pylist()]
-            yield pa.RecordBatch.from_arrays([pa.array(packed, pa.binary())], ["ids"])
+            tokens, codes, sizes = tokenize(batch.column("__raw"))
+            found = symbols_of(tokens, shared_names.value).astype(kind)[codes]
+            ends = np.concatenate(([0], np.cumsum(sizes) * found.itemsize)).astype("i4")
+            packed = pa.Array.from_buffers(pa.binary(), len(sizes), [None, pa.py_buffer(ends), pa.py_buffer(found)])
+            yield pa.RecordBatch.from_arrays([packed], ["ids"])
 
     kind = "<u2" if n_symbols <= 1 << 16 else "<i4"
     sequences = durable(map_arrow(train, numbered, "ids binary")) if n_all and iterations else None
@@ -352,37 +378,29 @@ def score(documents: DataFrame, held_out: F.Column | None = None, states: int =
     final = sc.broadcast((pi, a, b, np.log10((top + 0.1) / denom)))
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index, (pi, a, b, base) = shared_vocab.value, final.value
+        known_names, (pi, a, b, base) = shared_names.value, final.value
+        base = np.append(base, np.zeros(CLASSES))
         for batch in chunks(batches, "__raw", CHUNK):
-            texts = batch.column("__raw").to_pylist()
-            seqs, known, known_base = [], [], []
-            of, toks, tfs = [], [], []
-            for k, text in enumerate(texts):
-                tokens = _tokens(text)
-                found = np.array([index.get(t, -1) for t in tokens], "i4")
-                own = found[found >= 0]
-                known.append(len(own))
-                known_base.append(float(base[own].sum()))
-                rest = np.flatnonzero(found < 0).tolist()
-                for j in rest:
-                    found[j] = len(index) + token_class(tokens[j])
-                seqs.append(found)
-                rare = Counter([tokens[j] for j in rest])
-                of += [k] * len(rare)
-                toks += rare.keys()
-                tfs += rare.values()
-            fit = Pieces(seqs, pi, a, b).likelihoods(len(texts))
-            n, m = len(texts), len(toks)
+            tokens, codes, sizes = tokenize(batch.column("__raw"))
+            found = symbols_of(tokens, known_names)[codes]
+            n, starts = len(sizes), np.cumsum(sizes) - sizes
+            fit = Pieces(np.split(found, starts[1:]), pi, a, b).likelihoods(n)
+            known = np.add.reduceat(found < len(known_names), starts, dtype="i8")
+            known_base = np.add.reduceat(base[found], starts)
+            # Tokens that are no symbols, once a text.
+            rare = np.flatnonzero(found >= len(known_names))
+            pairs, tfs = np.unique(np.repeat(np.arange(n), sizes)[rare] << 32 | codes[rare], return_counts=True)
+            m = len(pairs)
             blank = lambda kind: pa.nulls(m, kind)
-            own, place = [b" %d" % k for k in batch.column("h").to_pylist()], pa.array([*range(n), *of], pa.int32())
+            own, place = pa.array([b" %d" % k for k in batch.column("h").to_pylist()], pa.binary()), pa.array(np.append(np.arange(n), pairs >> 32), pa.int32())
             columns = {
                 "h": batch.column("h").take(place),
                 "doc_id": batch.column("doc_id").take(place),
                 # A row for the text itself joins to nothing: no token holds a blank.
-                "token": pa.array(own + toks, pa.binary()),
-                "tf": pa.array([0] * n + tfs, pa.int64()),
+                "token": pa.concat_arrays([own, tokens.take(pa.array(pairs & 0xFFFFFFFF))]),
+                "tf": pa.array(np.append(np.zeros(n, "i8"), tfs), pa.int64()),
                 "held_out": pa.concat_arrays([batch.column("held_out"), blank(pa.bool_())]),
-                "n": pa.concat_arrays([pa.array([len(x) for x in seqs], pa.int64()), blank(pa.int64())]),
+                "n": pa.concat_arrays([pa.array(sizes, pa.int64()), blank(pa.int64())]),
                 "known": pa.concat_arrays([pa.array(known, pa.int64()), blank(pa.int64())]),
                 "base": pa.concat_arrays([pa.array(known_base), blank(pa.float64())]),
                 "fit": pa.concat_arrays([pa.array(fit), blank(pa.float64())]),

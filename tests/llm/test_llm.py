@@ -9,6 +9,7 @@ from collections import Counter
 from itertools import combinations, product
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from driftline.llm import bpe, decontam, hmm, langid, neardup, quality, secrets, toxicity, urlrules, webp
@@ -93,6 +94,31 @@ def test_hmm_cuts_of_long_texts_change_nothing(spark, monkeypatch):
     assert len(whole) == 42 and all(x[:6] == y[:6] and abs(x.score - y.score) < 1e-3 * abs(y.score) for x, y in zip(whole, cut))
 
 
+def test_hmm_scoring_goes_through_each_piece_once(monkeypatch):
+    rng = np.random.default_rng(5)
+    b, a, pi = rng.dirichlet(np.ones(9), 3).T * np.geomspace(1, 1e-30, 9)[:, None], rng.dirichlet(np.ones(3), 3), rng.dirichlet(np.ones(3))
+    texts = [rng.integers(0, 9, n) for n in (1, 40, 2500, 12, 33, 700)]
+    whole = hmm.Pieces(texts, pi, a, b, 10**9).likelihoods(len(texts))
+    steps = []
+    for name in ("transfer", "forward"):
+        plain = getattr(hmm.Block, name)
+        monkeypatch.setattr(hmm.Block, name, lambda self, *given, plain=plain: steps.append(len(self.x)) or plain(self, *given))
+    cut = hmm.Pieces(texts, pi, a, b, 20).likelihoods(len(texts))
+    assert np.allclose(cut, whole, rtol=1e-9) and sum(steps) == sum(map(len, texts))
+
+
+def test_hmm_tokens_and_classes_against_plain_ones():
+    texts = [b"", b"  ", b"one", b" One  TWO\tthree\n", b"a\x0bb\x0cc\rd", "é\u00a0É \u2003x Ⅷ".encode(), b"\xff\xfe \x1c\x1d\x85 A1", b"x" * 70 + b" " + b"y" * 31 + b"9", b"one \x00 one"]
+    want = [t.lower().split() + [b""] for t in texts]
+    known = pa.array([b"one", b"", b"x"], pa.binary())
+    for some, lists in ((pa.array(texts, pa.binary()), want), (pa.array(texts, pa.binary()).slice(3, 4), want[3:7]), (pa.array([b"a b"], pa.binary()), [[b"a", b"b", b""]])):
+        names, codes, sizes = hmm.tokenize(some)
+        flat = [names.to_pylist()[k] for k in codes]
+        assert sizes.tolist() == list(map(len, lists)) and flat == sum(lists, [])
+        place = lambda t: known.to_pylist().index(t) if t in known.to_pylist() else 3 + min(len(t) >> 1, 15) + 16 * t.isalpha()
+        assert hmm.symbols_of(names, known)[codes].tolist() == list(map(place, flat))
+
+
 def test_hmm_symbols_without_sorting(spark):
     counts = spark.createDataFrame([(b"", 3), *((b"t%d" % k, k) for k in range(1, 200))], "token binary, c long")
     for size in (10, 100, 1000):
