@@ -66,7 +66,7 @@ def _class_column() -> F.Column:
 def tokenize(texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
     """The distinct tokens of binary texts, all tokens by their place in these, and how many each text has."""
     # Only ASCII matters to these functions, so that the bytes need not be checked.
-    parts = pc.ascii_split_whitespace(pc.ascii_lower(texts.view(pa.string())))
+    parts = pc.ascii_split_whitespace(pc.ascii_lower(texts.cast(pa.binary()).view(pa.string())))
     found = parts.flatten().dictionary_encode()
     names, codes = found.dictionary.view(pa.binary()), np.asarray(found.indices)
     # Blanks at either end of a text leave empty tokens; each text gets one, its end.
