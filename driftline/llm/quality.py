@@ -28,11 +28,12 @@ from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from driftline.llm.arrowio import chunks, map_arrow, raw, release
-from driftline.llm.decontam import words
+from driftline.llm.decontam import _WORD_BYTES
 from driftline.llm.linear import in_sample, labelled, logistic, sigmoid
 from driftline.llm.toxicity import vocabulary
 
@@ -47,6 +48,7 @@ HELD = 1_000_000
 LIMIT = 0.5
 
 _LETTERS = bytes([*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)])
+_NOT_SIGN = _LETTERS + b" \t\n\v\f\r"
 _NOT_UPPER = bytes(b for b in range(256) if not 65 <= b <= 90)
 _NOT_DIGIT = bytes(b for b in range(256) if not 48 <= b <= 57)
 
@@ -64,13 +66,32 @@ def _share(name: str, part: int, whole: int) -> bytes:
     return _measure(name, math.ceil(20 * part / whole) if whole else -1)
 
 
-def views(text: bytes, source: str | None, lang: str | None, n_chars: int | None) -> tuple[set[bytes], set[bytes]]:
-    """Features of the text view and of the metadata view."""
-    signs = text.translate(None, _LETTERS).split()
-    content = set(words(text))
-    content.update([b"s:" + s for s in set(signs)])
+def _split(texts: list[bytes]) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """The distinct words between blanks, all words by their place in these (-1: none), and how many each text has."""
+    # Only ASCII matters to the split, so that the bytes need not be checked. Blanks at either end leave empty words.
+    parts = pc.ascii_split_whitespace(pa.array(texts, pa.binary()).view(pa.string()))
+    found = parts.flatten().dictionary_encode()
+    names, places = found.dictionary.view(pa.binary()), np.asarray(found.indices)
+    empty = pc.index(names, pa.scalar(b"", pa.binary())).as_py()
+    return names, np.where(places == empty, -1, places) if empty >= 0 else places, np.asarray(pc.list_value_length(parts))
+
+
+def contents(texts: list[bytes]) -> tuple[list[bytes], list[np.ndarray]]:
+    """Features of the text view: those of all texts, and each text's by their place in these, once each."""
+    words, of_words, n_words = _split([text.translate(_WORD_BYTES) for text in texts])
+    signs, of_signs, n_signs = _split([text.translate(None, _LETTERS) for text in texts])
+    text = np.arange(len(texts)) << 32
+    key = np.concatenate((np.repeat(text, n_words) | of_words, np.repeat(text, n_signs) | np.where(of_signs < 0, -1, of_signs + len(words))))
+    key.sort()
+    key = key[np.flatnonzero(np.diff(key, prepend=-1))]
+    words, signs = (x.to_numpy(zero_copy_only=False).tolist() for x in (words, signs))
+    return words + [b"s:" + x for x in signs], np.split(key & 0xFFFFFFFF, np.searchsorted(key, text[1:]))
+
+
+def traits(text: bytes, source: str | None, lang: str | None, n_chars: int | None) -> set[bytes]:
+    """Features of the metadata view."""
     lines = text.split(b"\n")
-    meta = {
+    return {
         f"m:source:{source}".encode(),
         f"m:lang:{lang}".encode(),
         _step("chars", n_chars) if n_chars is not None and n_chars >= 0 else b"m:chars:?",
@@ -78,9 +99,18 @@ def views(text: bytes, source: str | None, lang: str | None, n_chars: int | None
         _share("repeated", len(lines) - len(set(lines)), len(lines)),
         _share("upper", len(text.translate(None, _NOT_UPPER)), len(text)),
         _share("digit", len(text.translate(None, _NOT_DIGIT)), len(text)),
-        _share("sign", len(b"".join(signs)), len(text)),
+        _share("sign", len(text.translate(None, _NOT_SIGN)), len(text)),
     }
-    return content, meta
+
+
+def views(batch: pa.RecordBatch, columns: Collection[str]) -> tuple[list[bytes], list[np.ndarray], list[set[bytes]]]:
+    """Features of the text view, each text's by their place in these, and each text's of the metadata view.
+
+    ``columns`` are the text and the page's source, language and length.
+    """
+    text, *known = (batch.column(c) for c in columns)
+    texts = text.to_pylist()
+    return *contents(texts), [traits(*row) for row in zip(texts, *(c.to_pylist() for c in known))]
 
 
 _INPUT = ("source", "lang", "n_chars")
@@ -93,8 +123,9 @@ def _typed(documents: DataFrame) -> list:
 def _collect(sample: DataFrame) -> list[dict]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in chunks(batches, "__raw"):
-            both = [views(*row) for row in zip(*(batch.column(c).to_pylist() for c in ("__raw", *_INPUT)))]
-            packed = [pa.array([sorted(x) for x in view], pa.list_(pa.binary())) for view in zip(*both)]
+            names, content, meta = views(batch, ("__raw", *_INPUT))
+            bags = [[names[k] for k in places.tolist()] for places in content], meta
+            packed = [pa.array([sorted(x) for x in view], pa.list_(pa.binary())) for view in bags]
             yield pa.RecordBatch.from_arrays([batch.column("h"), batch.column("t"), batch.column("quality"), *packed], ["h", "t", "quality", "content", "meta"])
 
     df = sample.select(F.xxhash64(F.col("doc_id").cast("string"), F.lit("fold")).alias("h"), F.xxhash64("text").alias("t"), F.col("quality").cast("int").alias("quality"), raw().alias("__raw"), *_typed(sample))
@@ -130,16 +161,24 @@ class Learner:
         """Where the bias and the features are in the table; -1 for those not met yet."""
         return np.fromiter(chain((0,), map(self.index.get, bag, repeat(-1))), "i8", len(bag) + 1)
 
+    def add(self, names: list[bytes]) -> np.ndarray:
+        """Places for features not met yet."""
+        places = np.arange(len(self.index), len(self.index) + len(names))
+        self.index.update(zip(names, places.tolist()))
+        if len(self.index) > len(self.table):
+            self.table = np.concatenate((self.table, np.zeros((len(self.index) + 1024, 3))))
+        return places
+
     def learn(self, bag: Collection[bytes], label: int, at: np.ndarray | None = None) -> None:
-        index = self.index
         at = self.places(bag) if at is None else at
-        new = np.flatnonzero(at < 0).tolist()
-        if new:
+        new = np.flatnonzero(at < 0)
+        if len(new):
             names = list(bag)
-            for k in new:
-                at[k] = index.setdefault(names[k - 1], len(index))
-            if len(index) > len(self.table):
-                self.table = np.concatenate((self.table, np.zeros((len(index) + 1024, 3))))
+            at[new] = self.add([names[k - 1] for k in new.tolist()])
+        self.update(at, label)
+
+    def update(self, at: np.ndarray, label: int) -> None:
+        """Learn from a row that has the features at these places, the bias first."""
         rows = self.table.take(at, 0)
         z, root, seen = rows.T
         w = self._weights(z, root, 0)
@@ -170,8 +209,8 @@ class Learner:
         return pa.RecordBatch.from_arrays([pa.array(np.full(len(met), view, "i4")), pa.array([names[k] for k in met.tolist()], pa.binary()), pa.array(seen.astype("i8")), pa.array(seen * w)], ["view", "feature", "c", "cw"])
 
 
-def _sums(weights: list[dict], bias: list[float], bags) -> list[float]:
-    return [bias[v] + math.fsum(map(weights[v].get, bag, repeat(0.0))) for v, bag in enumerate(bags)]
+def _sum(weights: dict, bag: Collection[bytes]) -> float:
+    return math.fsum(map(weights.get, bag, repeat(0.0)))
 
 
 def _union(start: tuple, weights: dict) -> tuple[tuple, np.ndarray]:
@@ -198,14 +237,21 @@ def hand_over(documents: DataFrame, starts: list[tuple], weights: list[dict], bi
         learners, known = [Learner(s) for s, _ in both], [len(s[0]) for s, _ in both]
         sure = math.log(SURE / (1 - SURE))
         for batch in chunks(batches, "__raw"):
-            for row in zip(*(batch.column(c).to_pylist() for c in ("__raw", *_INPUT))):
-                bags = views(*row)
-                places = [x.places(bag) for x, bag in zip(learners, bags)]
-                for v in (0, 1):
-                    # Features beyond the first ones were met in this task, or not yet, and read a weight of 0.
-                    s = bias[v] + float(both[v][1].take(places[v], mode="clip").sum())
-                    if abs(s) >= sure:
-                        learners[1 - v].learn(bags[1 - v], int(s > 0), places[1 - v])
+            names, content, meta = views(batch, ("__raw", *_INPUT))
+            # Each feature of the batch is looked up once, whatever texts hold it.
+            place = learners[0].places(names)[1:]
+            for words, bag in zip(content, meta):
+                places = [np.append(0, place[words]), learners[1].places(bag)]
+                # Features beyond the first ones were met in this task, or not yet, and read a weight of 0.
+                s = [bias[v] + float(both[v][1].take(places[v], mode="clip").sum()) for v in (0, 1)]
+                if abs(s[0]) >= sure:
+                    learners[1].learn(bag, int(s[0] > 0), places[1])
+                if abs(s[1]) >= sure:
+                    new = np.flatnonzero(places[0] < 0)
+                    if len(new):
+                        own = words[new - 1]
+                        place[own] = places[0][new] = learners[0].add([names[k] for k in own.tolist()])
+                    learners[0].update(places[0], int(s[1] > 0))
             for v in (0, 1):
                 if len(learners[v].index) > known[v] + HELD:
                     yield learners[v].part(v)
@@ -259,7 +305,7 @@ def fit(rows: list[dict], fresh: DataFrame, rounds: int = ROUNDS):
         del found, mixed
         release()
     at = np.flatnonzero(back) if back.any() else np.arange(len(y))
-    scores = np.array([_sums(weights, bias, bags[i]) for i in at])
+    scores = np.array([[bias[v] + _sum(weights[v], bags[i][v]) for v in (0, 1)] for i in at])
     own = [logistic(np.clip(scores[:, [v]], -20, 20), y[at]) for v in (0, 1)]
     both = logistic(np.clip(scores, -20, 20), y[at])
     return weights, bias, own, both
@@ -291,9 +337,9 @@ def score(documents: DataFrame, model, keep: tuple[str, ...] = ("doc_id",)) -> D
         for batch in chunks(batches, "__raw"):
             p = np.full((batch.num_rows, 3), 1.0 if model is None else model if isinstance(model, float) else 0.0)
             if isinstance(model, tuple):
-                s = np.empty((batch.num_rows, 2))
-                for i, row in enumerate(zip(*(batch.column(c).to_pylist() for c in ("__raw", *("__" + n for n in _INPUT))))):
-                    s[i] = _sums(weights, bias, views(*row))
+                names, content, meta = views(batch, ("__raw", *("__" + n for n in _INPUT)))
+                found = np.fromiter(map(weights[0].get, names, repeat(0.0)), "f8", len(names))
+                s = np.array([(bias[0] + found[words].sum(), bias[1] + _sum(weights[1], bag)) for words, bag in zip(content, meta)])
                 s = np.clip(s, -20, 20)
                 p = np.stack([sigmoid(own[0][0] + own[0][1] * s[:, 0]), sigmoid(own[1][0] + own[1][1] * s[:, 1]), sigmoid(both[0] + s @ both[1:])], 1)
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), *(pa.array(p[:, k]) for k in range(3))], schema.names)

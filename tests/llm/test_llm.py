@@ -448,6 +448,19 @@ def test_quality_learns_from_every_sure_document(spark):
     assert all(weights.get(w.encode(), 0) * (1 if k % 2 else -1) > 0 for k, w in enumerate(rare))
 
 
+def test_quality_features_by_columns_against_plain_ones():
+    texts = [b"", b"  ", b"one", b" One  TWO\tthree,\n", b"a\x0bb\x0cc\rd!?", "é É  x, Ⅷ x,".encode(), b"\xff\xfe \x1c\x1d\x85 A1", b"one \x00 one", b"... !! ..."]
+    letter = lambda b: b >= 128 or chr(b).isalnum()
+    for some in (texts, texts[:1], texts[1:3], texts[-1:]):
+        names, places = quality.contents(some)
+        for text, got in zip(some, places, strict=True):
+            words = bytes(b if letter(b) else 32 for b in text.lower()).split()
+            signs = bytes(b for b in text if not letter(b)).split()
+            assert sorted(names[k] for k in got.tolist()) == sorted({*words, *(b"s:" + s for s in signs)})
+            share = -1 if not text else math.ceil(20 * sum(map(len, signs)) / len(text))
+            assert b"m:sign:%d" % share in quality.traits(text, None, None, None)
+
+
 class Hashed(bytes):
     """A feature that counts how often it is looked up."""
 
