@@ -96,7 +96,7 @@ def compare(secs: DataFrame, cfg: Config = Config(), analyzer: analyze.Analyzer
     if analyzer is None or cfg.cluster_threshold is None:
         return analyze.analyze(items, analyzer, analyze.system_prompt(list(cfg.knowledge)), cfg.concurrency, patterns=cfg.patterns)
     items = durable(items.withColumn("row_id", F.col("item_id")).withColumn("item_id", F.xxhash64("pair_id", "item_id")).withColumn("text", cluster.item_text()))
-    mapped = cluster.clusters(items, cluster.edges(items, cfg.cluster_threshold, ("pair_id",)))
+    mapped = cluster.clusters(items, cluster.links(items, cfg.cluster_threshold, ("pair_id",)))
     reps = items.join(mapped.filter("is_rep").select("item_id"), "item_id", "left_semi")
     done = durable(analyze.analyze(reps, analyzer, analyze.system_prompt(list(cfg.knowledge)), cfg.concurrency, patterns=cfg.patterns).select("item_id", "llm_result"))
     return cluster.expand(items, mapped, done).drop("item_id", "text", "cluster_id").withColumnRenamed("row_id", "item_id")

@@ -4,7 +4,8 @@ import random
 
 from pyspark.sql import functions as F
 
-from driftline.operators import align, products
+from driftline.operators import align, cluster, products
+from driftline.operators.graph import components
 
 WORDS = ("widget", "bolt", "gear")
 
@@ -41,3 +42,29 @@ def test_matches_are_the_best_of_all_pairs_in_any_blocks(spark, monkeypatch):
             for j in range(60):
                 a, b = sets[p, "base", i], sets[p, "compare", j]
                 assert kw.get((p, i, j), 0.0) == (products.half_up(len(a & b) / len(a | b) * 0.5) if a & b else 0.0)
+
+
+def test_edges_and_links_of_repeated_texts(spark):
+    """Every pair of items that SQL would find, and the same clusters from far fewer links."""
+    texts = ["red bolt large", "red bolt large", "blue gear", "", "the", "red bolt small", "red, bolt LARGE!"]
+    rows = [(k, "pq"[k % 2], texts[k % 7]) for k in range(600)]
+    items = spark.createDataFrame(rows, "item_id long, pair_id string, text string").cache()
+    vec = {}
+    w = align.tfidf(items, ["pair_id"], ["item_id"]).collect()
+    for r in w:
+        vec.setdefault((r.pair_id, r.item_id), {})[r.term] = r.w
+    want = {}
+    for (p, a), x in vec.items():
+        for (q, b), y in vec.items():
+            if p == q and a < b and (c := round(sum(v * y.get(t, 0.0) for t, v in x.items()), 6)) >= 0.5:
+                want[a, b] = c
+    got = cluster.edges(items, 0.5, ("pair_id",)).collect()
+    assert len(got) == len(want) and {(r.a, r.b) for r in got} == want.keys() and all(abs(r.similarity - want[r.a, r.b]) < 2e-6 for r in got)
+    links = cluster.links(items, 0.5, ("pair_id",))
+    assert links.count() < 600 and set(components(links).collect()) == set(components(cluster.edges(items, 0.5, ("pair_id",))).collect())
+
+
+def test_links_of_one_repeated_text(spark):
+    # 5 * 10^9 edges, 99,999 links.
+    items = spark.range(100000).select(F.col("id").alias("item_id"), F.lit("p").alias("pair_id"), F.lit("red bolt").alias("text"))
+    assert cluster.clusters(items, cluster.links(items, corpus=("pair_id",))).filter("cluster_id = 0").count() == 100000
