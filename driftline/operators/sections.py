@@ -90,11 +90,14 @@ def associate_tables(tables: DataFrame, found: DataFrame) -> DataFrame:
     ahead = Window.partitionBy("doc_id").orderBy("page").rangeBetween(0, Window.unboundedFollowing)
     near = both.select("doc_id", "page", "own", F.max("own").over(back).alias("lo"), F.min("own").over(ahead).alias("hi")).filter("own IS NULL")
     near = near.select("doc_id", F.col("page").alias("table_page"), F.explode(F.array_distinct(F.array("lo", "hi"))).alias("section_page")).filter("section_page IS NOT NULL")
-    ranked = t.join(near, ["doc_id", "table_page"]).join(s, ["doc_id", "section_page"])
+    # What a page gives to tables on it and to others, once a page: its last numbered section or else its last, and its first.
+    here = F.max_by("seq", F.struct(F.when(F.col("numbered"), 1).otherwise(0).alias("n"), F.col("seq").alias("s")))
+    given = s.filter("section_page IS NOT NULL").groupBy("doc_id", "section_page").agg(here.alias("here"), F.min("seq").alias("there"))
     same = F.col("section_page") == F.col("table_page")
-    key = F.when(same, F.struct(F.lit(0).alias("d"), F.when(F.col("numbered"), 0).otherwise(1).alias("n"), (-F.col("seq")).alias("s"))).otherwise(F.struct(F.abs(F.col("section_page") - F.col("table_page")).alias("d"), F.lit(0).alias("n"), F.col("seq").alias("s")))
-    best = ranked.groupBy("doc_id", "table_index").agg(F.min_by("seq", key).alias("section_seq"))
-    return t.join(best, ["doc_id", "table_index"], "left").select("doc_id", "table_index", "table_page", "section_seq")
+    found = near.join(given, ["doc_id", "section_page"]).withColumn("seq", F.when(same, F.col("here")).otherwise(F.col("there")))
+    key = F.struct(F.abs(F.col("section_page") - F.col("table_page")).alias("d"), F.col("seq").alias("s"))
+    of = found.groupBy("doc_id", "table_page").agg(F.min_by("seq", key).alias("section_seq"))
+    return t.join(of, ["doc_id", "table_page"], "left").select("doc_id", "table_index", "table_page", "section_seq")
 
 
 def tables_appendix(tables: DataFrame) -> DataFrame:

@@ -4,7 +4,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from driftline.operators import align, cluster, products
+from driftline.operators import align, cluster, products, sections
 from driftline.operators.graph import components
 
 WORDS = ("widget", "bolt", "gear")
@@ -68,3 +68,14 @@ def test_links_of_one_repeated_text(spark):
     # 5 * 10^9 edges, 99,999 links.
     items = spark.range(100000).select(F.col("id").alias("item_id"), F.lit("p").alias("pair_id"), F.lit("red bolt").alias("text"))
     assert cluster.clusters(items, cluster.links(items, corpus=("pair_id",))).filter("cluster_id = 0").count() == 100000
+
+
+def test_tables_find_their_section_once_a_page(spark):
+    # 400 million pairs of a table and a section of its page or of the nearest.
+    at = lambda n: spark.range(n).select(F.lit("d").alias("doc_id"), F.col("id"))
+    found = at(20000).select("doc_id", F.col("id").alias("seq"), (F.col("id") % 2 * 4 + 1).cast("int").alias("page_num"), F.when(F.col("id") < 9000, "1").otherwise("").alias("number"))
+    tables = at(20000).select("doc_id", F.col("id").alias("table_index"), F.when(F.col("id") % 5 < 4, F.col("id") % 5 * 2).cast("int").alias("page_num"))
+    got = sections.associate_tables(tables.withColumn("page_num", F.when(F.col("table_index") == 7, 1).otherwise(F.col("page_num"))), found)
+    # Page 0 is nearest to 1, 2 to 1, 4 to 5, 6 to 5: the first there. On page 1 itself: the last with a number.
+    assert sorted((r.table_page, r.section_seq, r["count"]) for r in got.filter("table_page IS NOT NULL").groupBy("table_page", "section_seq").count().collect()) == [(0, 0, 4000), (1, 8998, 1), (2, 0, 4000), (4, 1, 3999), (6, 1, 4000)]
+    assert got.filter("table_page IS NULL AND section_seq IS NULL").count() == 4000
