@@ -1,10 +1,11 @@
 """Steps whose work must not grow with the square of the rows."""
 
 import random
+import time
 
 from pyspark.sql import functions as F
 
-from driftline.operators import align, cluster, products, sections
+from driftline.operators import align, cluster, products, sections, textdiff
 from driftline.operators.graph import components
 
 WORDS = ("widget", "bolt", "gear")
@@ -79,3 +80,24 @@ def test_tables_find_their_section_once_a_page(spark):
     # Page 0 is nearest to 1, 2 to 1, 4 to 5, 6 to 5: the first there. On page 1 itself: the last with a number.
     assert sorted((r.table_page, r.section_seq, r["count"]) for r in got.filter("table_page IS NOT NULL").groupBy("table_page", "section_seq").count().collect()) == [(0, 0, 4000), (1, 8998, 1), (2, 0, 4000), (4, 1, 3999), (6, 1, 4000)]
     assert got.filter("table_page IS NULL AND section_seq IS NULL").count() == 4000
+
+
+def test_bits_give_shortest_edits_too(monkeypatch):
+    rnd = random.Random(5)
+    for n in [14] * 300 + [300] * 20:
+        a, b = ("".join(rnd.choices(letters, k=rnd.randrange(n))) for letters in ("abcé", "abc😀"))
+        found = []
+        for cells in (1 << 29, 60, 0):
+            monkeypatch.setattr(textdiff, "CELLS", cells)
+            ops = textdiff.shortest_edits(a, b)
+            assert "".join(t for k, t in ops if k != "insert") == a and "".join(t for k, t in ops if k != "delete") == b
+            found.append(sum(len(t) for k, t in ops if k == "equal"))
+        assert len(set(found)) == 1
+
+
+def test_unlike_blocks_take_little_time():
+    rnd = random.Random(8)
+    a, b = ("".join(rnd.choices("abcdefghijklmnop", k=6000)) for _ in "ab")
+    began = time.process_time()
+    ops = textdiff.shortest_edits(a, b)
+    assert time.process_time() - began < 1 and sum(len(t) for k, t in ops if k != "insert") == 6000
